@@ -62,7 +62,7 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     joined = code[:-2] << np.uint64(16) | code[1:-1] << np.uint64(8) | code[2:]
     at = np.flatnonzero(LETTER[data[1:-1]])
-    return (mix(joined[at]) % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(offsets, at, side="right") - 1
+    return (mix(joined[at]) % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(offsets, at + 1, side="right") - 1
 
 
 def learn(df: DataFrame, text_col: str, declared: Column, languages: Sequence[str] = LANGUAGES, max_rows: int = MAX_TRAINING) -> np.ndarray:
