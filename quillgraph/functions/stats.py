@@ -1,0 +1,71 @@
+"""Statistics as column expressions and small aggregations."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+
+def capture_recapture(search: Column, snowball: Column, overlap: Column) -> dict[str, Column]:
+    """Chapman's estimate of a population from two samples and their overlap, with its interval; null without overlap."""
+    some = overlap > 0
+    observed = search + snowball - overlap
+    estimate = (search + 1) * (snowball + 1) / (overlap + 1) - 1
+    variance = (search + 1) * (snowball + 1) * (search - overlap) * (snowball - overlap) / ((overlap + 1) * (overlap + 1) * (overlap + 2))
+    spread = F.lit(1.96) * F.sqrt(variance)
+    return {
+        "observed": observed, "estimate": F.when(some, F.greatest(estimate, observed.cast("double"))), "low": F.when(some, F.greatest(estimate - spread, observed.cast("double"))),
+        "high": F.when(some, estimate + spread), "recall": F.when(some, F.least(observed / estimate, F.lit(1.0))),
+    }
+
+
+def log_choose(n: Column, k: Column) -> Column:
+    """log of n over k by a sum of logs over the smaller side."""
+    m = F.least(k, n - k).cast("int")
+    steps = F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.log((n - m + i) / i))
+
+
+def recall_stop(found: Column, screened: Column, total: Column, target: float = 0.95) -> Column:
+    """Chance of finding at most `found` relevant among `screened` of `total`, had the rest held enough to miss the target."""
+    missing = F.greatest(F.ceil(found / target).cast("int") - found + 1, F.lit(1))
+    relevant = found + missing
+    ks = F.sequence(F.lit(0), F.least(found, screened).cast("int"))
+    term = lambda k: F.exp(log_choose(relevant, k) + log_choose(total - relevant, screened - k) - log_choose(total, screened))
+    return F.aggregate(F.filter(ks, lambda k: screened - k <= total - relevant), F.lit(0.0), lambda acc, k: acc + term(k))
+
+
+def single_trust(confidence: Column, similarity: Column) -> Column:
+    return F.lit(0.7) * confidence + F.lit(0.3) * similarity
+
+
+def single_tier(confidence: Column, similarity: Column) -> Column:
+    """triple where both signals hold, double where one does, else single."""
+    n = (confidence >= 0.65).cast("int") + (similarity >= 0.5).cast("int")
+    return F.when(n == 2, "triple").when(n == 1, "double").otherwise("single")
+
+
+def arbiter_trust(first: Column, second: Column, similarity: Column) -> Column:
+    return F.lit(0.4) * first + F.lit(0.4) * second + F.lit(0.2) * similarity
+
+
+def auc(df: DataFrame, score: str, label: str) -> DataFrame:
+    """Area under the ROC curve by ranks, ties averaged: one row. Ranks come from counts by score, so only distinct scores are ordered."""
+    by = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = by.withColumn("rank", before + (F.col("n") + 1) / 2)
+    p, q = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
+    return ranked.agg(p.alias("positives"), q.alias("negatives"), F.when((p > 0) & (q > 0), (F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2) / (p * q)).alias("auc"))
+
+
+def reliability(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
+    """Rows, mean score and accuracy by bin of the score; the last bin holds 1."""
+    at = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
+    return df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("accuracy"))
+
+
+def calibration_error(bins: DataFrame) -> DataFrame:
+    """Expected calibration error over reliability(): bins' rounded gaps weighed by their rows."""
+    gap = F.abs(F.round("accuracy", 3) - F.round("mean_score", 3))
+    return bins.agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"))
