@@ -16,3 +16,5 @@ def query(name: str, sql: str | None = None):
         return function
 
     return add
+
+from quillgraph.plans import relational  # noqa: E402, F401  (registers its queries)
