@@ -129,17 +129,18 @@ def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
 def greedy_communities(edges: DataFrame, most_edges: int = 200_000) -> DataFrame:
     """node, community (0 is the largest; equal sizes by least node) by greedy modularity merging within each connected component.
 
-    Merging is sequential, so each component is one task; the sum of components must stay within most_edges edges, or
+    Merging is sequential, so each component is one task; a component of more than most_edges edges is refused, and
     label_communities() is the way. The gain of a merge depends on all edges' number, which is counted first.
     """
     import pandas as pd
 
     pairs = edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).where("u <> v").distinct()
     m = pairs.count()
-    if m > most_edges:
-        raise ValueError(f"{m} edges: greedy merging takes {most_edges} at most; use label_communities()")
     at = components(edges.where("src <> dst"))
-    joined = pairs.join(at, F.col("u") == F.col("node")).select("component", "u", "v")
+    joined = checkpointed(pairs.join(at, F.col("u") == F.col("node")).select("component", "u", "v"))
+    largest = joined.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+    if largest > most_edges:
+        raise ValueError(f"a component of {largest} edges: greedy merging takes {most_edges} at most; use label_communities()")
     kind = edges.schema["src"].dataType.simpleString()
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:

@@ -17,4 +17,4 @@ def query(name: str, sql: str | None = None):
 
     return add
 
-from quillgraph.plans import relational  # noqa: E402, F401  (registers its queries)
+from quillgraph.plans import graphs, relational  # noqa: E402, F401  (they register their queries)
