@@ -606,4 +606,5 @@ def t12(spark, d):
 @query("v08_coverage", f"WITH {PAPERS}, t AS (SELECT id, {TOKENS.format('title')} AS a, {TOKENS.format('substr(text, 61)')} AS b FROM papers) SELECT id, CASE WHEN len(a) > 0 THEN len(list_filter(a, lambda x: list_contains(b, x)))::DOUBLE / len(a) ELSE 0.0 END AS coverage FROM t")
 def v08(spark, d):
     p = papers(spark, d)
-    return p.select("id", T.coverage(T.tokens(F.col("title")), T.tokens(F.expr("substring(text, 61)"))).alias("coverage"))
+    words = p.select("id", T.tokens(F.col("title")).alias("a"), T.tokens(F.expr("substring(text, 61)")).alias("b"))
+    return words.select("id", T.coverage(F.col("a"), F.col("b")).alias("coverage"))
