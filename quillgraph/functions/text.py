@@ -23,7 +23,7 @@ def html_to_text(html: Column) -> Column:
     x = F.regexp_replace(x, r"(?s)<[^>]*>", " ")
     x = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), x)
     x = F.regexp_replace(x, r"[ \t\r\f]+", " ")
-    return F.trim(F.regexp_replace(x, r" ?\n[ \n]*", "\n"))
+    return F.btrim(F.regexp_replace(x, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def ligatures(text: Column) -> Column:
