@@ -36,3 +36,25 @@ def x12(spark, d):
   SELECT page_id, trim(regexp_replace(regexp_replace(x, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS text FROM c""")
 def x10(spark, d):
     return table(spark, d, "pages").select("page_id", F.btrim(T.html_to_text(F.col("html")), F.lit(" \n")).alias("text"))
+
+
+@query("e01_leader_dedup", """WITH k AS (SELECT doc_id, source, substr(text, 1, 60) AS title, trim(regexp_replace(lower(coalesce(substr(text, 1, 60), '')), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents)
+  SELECT min(doc_id) AS id, arg_min(source, doc_id) AS source, arg_min(title, doc_id) AS title, count(*)::INT AS n_versions FROM k GROUP BY CASE WHEN length(t) >= 8 THEN 'title:' || t ELSE doc_id::VARCHAR END""")
+def e01(spark, d):
+    """Works over all sources; documents have no identifiers and authors, so equal title keys decide."""
+    from quillgraph.operators.resolve import dedup
+
+    nothing = F.lit(None).cast("string")
+    records = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("doc_id").alias("id"), "source", F.substring("text", 1, 60).alias("title"), F.lit(None).cast("array<string>").alias("authors"), F.lit(None).cast("int").alias("year"), nothing.alias("url"), nothing.alias("doi"))
+    return dedup(records).select("id", "source", "title", "n_versions")
+
+
+@query("t06_bibliography_status", """SELECT doc_id, CASE WHEN text IS NULL OR trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'missing' ELSE 'no_block' END AS status FROM documents""")
+def t06(spark, d):
+    """Which texts have a reference list that parses; the driver's texts have none."""
+    import pandas as pd
+
+    from quillgraph.functions.bibliography import status
+
+    judged = F.pandas_udf(lambda s: pd.Series([status(t) for t in s]), "string")
+    return table(spark, d, "documents").select("doc_id", judged("text").alias("status"))
