@@ -32,6 +32,9 @@ SCALE, MOST = 1.5, 2
 #: Bits of the hash, and bits that each histogram looks at. What three histograms leave is split by whole hashes.
 HASH_BITS, LEVEL_BITS, LEVELS = 60, 12, 3
 
+#: Sources whose thresholds are sent to every task, at most: then a hot source needs no shuffle.
+BROADCAST_ROWS = 50_000
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -61,6 +64,8 @@ def mix(df: DataFrame, id_col: str, source_col: str, size: Column, weights: Sequ
     sized = checkpointed(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")).withColumn("hash", hash_of("id")))
     totals = checkpointed(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, scale, most))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    few = totals.count() <= BROADCAST_ROWS
+    small = F.broadcast if few else lambda df: df
     # before: tokens below the bucket under refinement; prefix: the bucket's leading bits.
     ends = totals.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("before", F.lit(0).cast("long")).withColumn("prefix", F.lit(0).cast("long"))
     for step in range(1, LEVELS + 2):
@@ -69,7 +74,7 @@ def mix(df: DataFrame, id_col: str, source_col: str, size: Column, weights: Sequ
         bucket = F.shiftright("hash", keep) if step <= LEVELS else F.col("hash")
         b, e = sized.alias("b"), ends.alias("e")
         inside = F.col("b.source").eqNullSafe(F.col("e.source")) & (F.shiftright(F.col("b.hash"), above) == F.col("e.prefix"))
-        histogram = b.join(e, inside).groupBy("b.source", bucket.alias("bucket")).agg(F.sum("b.size").alias("tokens"))
+        histogram = b.join(small(e), inside).groupBy("b.source", bucket.alias("bucket")).agg(F.sum("b.size").alias("tokens"))
         walked = histogram.alias("h").join(ends.alias("e"), F.col("h.source").eqNullSafe(F.col("e.source"))).select("e.*", "bucket", "tokens")
         below = F.coalesce(F.sum("tokens").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         walked = walked.withColumn("below", F.col("before") + below)
@@ -85,7 +90,7 @@ def mix(df: DataFrame, id_col: str, source_col: str, size: Column, weights: Sequ
             ends = joined.select(*columns, F.coalesce(F.col("f.at.bucket"), F.shiftleft(F.col("e.prefix"), HASH_BITS - LEVEL_BITS * LEVELS) - 1).alias("upto"))
     b, e = sized.alias("b"), ends.alias("e")
     copies = F.col("e.whole") + (F.col("b.hash") <= F.col("e.upto")).cast("long")
-    return b.join(e, F.col("b.source").eqNullSafe(F.col("e.source"))).select(
+    return b.join(small(e), F.col("b.source").eqNullSafe(F.col("e.source"))).select(
         F.col("b.id").alias(id_col), "b.source", "b.size", "e.source_size", "e.target", copies.alias("copies"), (copies * F.col("b.size")).alias("taken")
     )
 
