@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -39,6 +40,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of finished steps' shuffles and checkpoints: Spark deletes their files once the driver has collected the objects that name them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def powers(n: int) -> np.ndarray:
     """The first n powers of an odd base modulo 2**64."""
     global _powers

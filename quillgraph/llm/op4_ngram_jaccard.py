@@ -13,7 +13,7 @@ three steps, each of which keeps every link:
 3. Products. Within the posting lists, pairs whose sizes differ too much for the threshold are discarded, the others'
    overlaps are counted from their whole sets. Instead of all pairs, each list first pairs its classes
    with one leader, and components are joined; a list within one component has nothing left to find. When
-   few pairs across components remain, or after ROUNDS rounds, all of those are counted. So a group of
+   few pairs across components remain, or after ROUNDS rounds, all of those are counted. Lists of the same classes are one. So a group of
    thousands of near copies costs a few products each, and still no link between different components is missed.
 
 What the result holds are components, so links within one component need not all be known.
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import checkpointed, mix, table, text_chunks, words
+from quillgraph.llm.common import checkpointed, mix, release, table, text_chunks, words
 from quillgraph.llm.components import connected
 
 N = 5
@@ -46,6 +46,8 @@ OVERLAP, UNION = 3, 4
 ROW_BLOCK, COLUMN_BLOCK = 2_000_000, 1_000_000
 #: Rounds with leaders, and pairs for each posting from which another round is worth it.
 ROUNDS, PAIRS_A_POSTING = 6, 1
+#: Postings of a task: what is left of the lists is not spread thinner.
+POSTINGS_A_TASK = 100_000
 #: Ids that are sent to every task, at most.
 BROADCAST_ROWS = 200_000
 #: Classes that a task remembers to have posted.
@@ -277,6 +279,13 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "gu", "gv").mapInArrow(product, "u long, v long")
 
 
+def one_of_equals(postings: DataFrame) -> DataFrame:
+    """The posting lists without those that hold the same classes as another: they would only find the same pairs again."""
+    names = postings.groupBy("h").agg(F.count("*").alias("k"), F.sum(F.shiftright(F.xxhash64("cls"), 8)).alias("a"), F.sum(F.shiftright(F.xxhash64(F.lit("b"), "cls"), 8)).alias("b"))
+    kept = names.where("k > 1").groupBy("k", "a", "b").agg(F.min("h").alias("kept")).select("kept")
+    return postings.join(kept, F.col("h") == F.col("kept"), "left_semi")
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     """node, root of the classes that have links and are not their component's root."""
     spark = docs.sparkSession
@@ -288,14 +297,17 @@ def link_classes(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     wanted = checkpointed(classes.join(kept, "cls").select("id", "cls"))
     sets = checkpointed(gather(docs, wanted, n))
     postings = checkpointed(prefixes(sets.dropDuplicates(["cls"])).withColumn("comp", F.col("cls")))
+    tasks = 1 + postings.count() // POSTINGS_A_TASK
+    postings = checkpointed(one_of_equals(postings).coalesce(tasks))
+    release(spark)
     edges = spark.createDataFrame([], "u long, v long")
     fits = F.lit(OVERLAP) * F.greatest("n", "m") <= F.lit(UNION) * F.least("n", "m")
     for round_no in range(ROUNDS + 1):
         # Lists within one component are done with.
         mark = F.xxhash64(F.lit(round_no), "cls")
-        lists = postings.groupBy(F.col("h").alias("gram")).agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min_by(F.struct("cls", "n", "comp"), mark).alias("lead")).where(F.col("least") < F.col("most"))
-        live = checkpointed(postings.join(lists, F.col("h") == F.col("gram")).select("h", "cls", "n", "comp", "lead"))
-        spans = live.groupBy("h", "comp").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
+        lists = postings.groupBy(F.col("h").alias("gram")).agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min_by(F.struct("cls", "n", "comp"), mark).alias("lead")).where(F.col("least") < F.col("most")).coalesce(tasks)
+        live = checkpointed(postings.join(lists, F.col("h") == F.col("gram")).select("h", "cls", "n", "comp", "lead").coalesce(tasks))
+        spans = live.groupBy("h", "comp").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own")).coalesce(tasks)
         rows, left = spans.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("own")) / 2)).first()
         if not left:
             break
@@ -307,11 +319,12 @@ def link_classes(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
         else:
             pairs = live.where(F.col("comp") != F.col("lead.comp")).select(F.col("cls").alias("u"), F.col("lead.cls").alias("v"), "n", F.col("lead.n").alias("m")).where(fits).select("u", "v").distinct()
         found = linked(pairs, sets)
-        edges = checkpointed(edges.unionByName(found))
+        edges = checkpointed(edges.unionByName(found).coalesce(tasks))
+        release(spark)
         labels = connected(edges)
         if last:
             return labels
-        postings = checkpointed(live.drop("lead", "comp").join(labels, F.col("cls") == F.col("node"), "left").select("h", "cls", "n", F.coalesce("root", "cls").alias("comp")))
+        postings = checkpointed(live.drop("lead", "comp").join(labels, F.col("cls") == F.col("node"), "left").select("h", "cls", "n", F.coalesce("root", "cls").alias("comp")).coalesce(tasks))
     return labels if round_no else nothing
 
 
