@@ -2,7 +2,7 @@
 
 A text is split into chunks of white space and what follows up to the next white space; no match of the
 splitting pattern crosses a chunk's end, so the ids of a chunk depend on the chunk alone and are
-memoised per worker (up to CACHE_ENTRIES, then the memo starts anew: it bounds memory and changes no result). A pre-token is encoded by backtracking: an Aho-Corasick automaton over the vocabulary, its
+memoised per worker (up to PARTS and PIECES, then the memo starts anew: it bounds memory and changes no result). A pre-token is encoded by backtracking: an Aho-Corasick automaton over the vocabulary, its
 bytes mapped to Latin-1 characters, gives every token that lies in the pre-token; from the left the longest
 match is tried first, and accepted if it is compatible with the token before it, that is, if merging by rank
 would not have joined the two otherwise. Compatibility of two tokens is decided once and memoised. Each
@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm.common import batch, table
 
-CACHE_ENTRIES = 200_000
+#: Parts, and pre-tokens (and pairs of tokens), that a worker remembers.
+PARTS, PIECES = 80_000, 150_000
 
 #: Unicode's White_Space, which is what `\s` means to the pattern's library.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -127,7 +128,7 @@ class Bpe:
                     a = split[1]
                 else:
                     b = split[0]
-        if len(self.compatible) > 2 * CACHE_ENTRIES:
+        if len(self.compatible) > PIECES:
             self.compatible.clear()
         self.compatible[key] = good
         return good
@@ -182,8 +183,8 @@ class Bpe:
         return tuple(chain.from_iterable([self.of_piece[piece] for chunk in self.chunks.findall(text) for piece in self.pieces.findall(chunk)]))
 
     def encode(self, text: str) -> list[int]:
-        for memo in (self.of_part, self.of_piece):
-            if len(memo) > CACHE_ENTRIES:
+        for memo, most in ((self.of_part, PARTS), (self.of_piece, PIECES)):
+            if len(memo) > most:
                 memo.clear()
         if self.uncut.search(text):
             # Parts join until one ends a chunk; what ends the text is a chunk anyway.
@@ -251,6 +252,8 @@ def digests(df: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern:
                 ids_sha.append(sha(" ".join(map(decimal.__getitem__, ids)).encode()))
                 decoded_sha.append(sha(coder.decode(ids)))
             yield batch(out, id=rows.column(0), n_tokens=n, ids_sha256=ids_sha, decoded_sha256=decoded_sha)
+        # The worker lives on and runs other stages' tasks: what the batches took goes back.
+        pa.default_memory_pool().release_unused()
 
     return df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
