@@ -15,6 +15,9 @@ three steps, each of which keeps every link:
    with one leader, and components are joined; a list within one component has nothing left to find. When
    few pairs across components remain, or after ROUNDS rounds, all of those are counted. Lists of the same classes are one. So a group of
    thousands of near copies costs a few products each, and still no link between different components is missed.
+   Before that last count the rows are compared modulo 2: each class's n-grams are dealt to PARITY * 64 places and a
+   bit tells whether a place got an odd number. Two classes' bits differ at no more places than n-grams are in one
+   set only, so pairs whose bits differ too often for the threshold are discarded with no link lost.
 
 What the result holds are components, so links within one component need not all be known.
 
@@ -46,6 +49,8 @@ OVERLAP, UNION = 3, 4
 ROW_BLOCK, COLUMN_BLOCK = 2_000_000, 1_000_000
 #: Rounds with leaders, and pairs for each posting from which another round is worth it.
 ROUNDS, PAIRS_A_POSTING = 6, 1
+#: 64-bit words of a class's parities.
+PARITY = 16
 #: Postings of a task: what is left of the lists is not spread thinner.
 POSTINGS_A_TASK = 100_000
 #: Ids that are sent to every task, at most.
@@ -219,6 +224,25 @@ def candidates(docs: DataFrame, n: int, columns: int) -> DataFrame:
     return found.groupBy("block").applyInArrow(decide, "cls long")
 
 
+def parities(grams: np.ndarray) -> np.ndarray:
+    """For each of PARITY * 64 places whether an odd number of the n-grams falls there, as 64-bit words."""
+    place = (grams & np.uint64(64 * PARITY - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=64 * PARITY) & 1).astype(np.uint8)).view("<i8")
+
+
+def with_parities(postings: DataFrame, sets: DataFrame) -> DataFrame:
+    """The postings with p0, p1, ... of their class."""
+    names = [f"p{k}" for k in range(PARITY)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            words = np.array([parities(np.frombuffer(g.as_py(), "<u8")) for g in rows.column(1)], dtype=np.int64).reshape(-1, PARITY)
+            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(np.ascontiguousarray(w)) for w in words.T)], names=["of", *names])
+
+    found = sets.select("cls", "grams").mapInArrow(run, "of long, " + ", ".join(f"{p} long" for p in names)).dropDuplicates(["of"])
+    return postings.join(found, F.col("cls") == F.col("of")).drop("of")
+
+
 def gather(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """cls, n, grams (little-endian 64-bit hashes, ascending) of the wanted id, cls; rows may repeat."""
     if wanted.count() <= BROADCAST_ROWS:
@@ -313,9 +337,13 @@ def link_classes(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
             break
         last = round_no == ROUNDS or round_no > 0 and left <= PAIRS_A_POSTING * rows
         if last:
-            a = live.select("h", F.col("cls").alias("u"), "n", F.col("comp").alias("cu"))
-            b = live.select("h", F.col("cls").alias("v"), F.col("n").alias("m"), F.col("comp").alias("cv"))
-            pairs = a.join(b, "h").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & fits).select("u", "v").distinct()
+            sides = checkpointed(with_parities(live.drop("lead"), sets).coalesce(tasks))
+            a = sides.select("h", F.col("cls").alias("u"), "n", F.col("comp").alias("cu"), *(F.col(f"p{k}").alias(f"a{k}") for k in range(PARITY)))
+            b = sides.select("h", F.col("cls").alias("v"), F.col("n").alias("m"), F.col("comp").alias("cv"), *(F.col(f"p{k}").alias(f"b{k}") for k in range(PARITY)))
+            differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(PARITY)), F.lit(0))
+            # An overlap of OVERLAP / (OVERLAP + UNION) of both sizes leaves so many n-grams in one set only.
+            near = F.lit(UNION + OVERLAP) * differ <= F.lit(UNION - OVERLAP) * (F.col("n") + F.col("m"))
+            pairs = a.join(b, "h").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & fits & near).select("u", "v").distinct()
         else:
             pairs = live.where(F.col("comp") != F.col("lead.comp")).select(F.col("cls").alias("u"), F.col("lead.cls").alias("v"), "n", F.col("lead.n").alias("m")).where(fits).select("u", "v").distinct()
         found = linked(pairs, sets)
