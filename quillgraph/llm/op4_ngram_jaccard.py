@@ -59,6 +59,7 @@ BROADCAST_ROWS = 200_000
 REMEMBERED = 500_000
 
 _SHIFTS = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
+#: Stands for "no single class" in a row block, and is the most classes of one: their places are 16 bits.
 _NONE = 0xFFFF
 
 
@@ -137,7 +138,7 @@ def candidates(docs: DataFrame, n: int, columns: int) -> DataFrame:
         sizes: list[np.ndarray] = []
         names: list[np.ndarray] = []
         grams: list[np.ndarray] = []
-        held = 0
+        held = classes = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             size, name, h = np.concatenate(sizes), np.concatenate(names), np.concatenate(grams)
@@ -178,14 +179,19 @@ def candidates(docs: DataFrame, n: int, columns: int) -> DataFrame:
                             seen.clear()
                         seen.add(c)
                         fresh.append(i)
-                if fresh:
-                    sizes.append(size[fresh])
-                    names.append(name[fresh])
-                    grams.append(np.concatenate([h[at[i] : at[i + 1]] for i in fresh]))
+                for k in range(0, len(fresh), _NONE):
+                    part = fresh[k : k + _NONE]
+                    if classes + len(part) > _NONE:
+                        yield from flush()
+                        held = classes = 0
+                    sizes.append(size[part])
+                    names.append(name[part])
+                    grams.append(np.concatenate([h[at[i] : at[i + 1]] for i in part]))
                     held += len(grams[-1])
-                if held >= ROW_BLOCK or sum(map(len, sizes)) >= _NONE - 4096:
+                    classes += len(part)
+                if held >= ROW_BLOCK:
                     yield from flush()
-                    held = 0
+                    held = classes = 0
         if sizes:
             yield from flush()
 
