@@ -6,8 +6,9 @@ element). A word's weight is the log odds of words inside that element over word
 log odds of its own name, but never above zero. One linear scan finds the contiguous region of highest score.
 Parts that hold no content wherever they stand (scripts, menus, footers, forms, advertisements, notices,
 reader comments, by element name or by the words of class, id and role) score nothing and are left out of the
-region's text. Where a page has an element for its content, that element's edges bound regions and tags within cost
-nothing, nor do tags that only style text: such markup says itself what it holds.
+region's text. Where a page has elements for its content, the edges of the outermost ones bound regions and tags within cost
+nothing, nor do tags that only style text: such markup says itself what it holds. All of a page's content elements are one
+region, with all they hold, which competes with the regions outside of them.
 
 Learning counts tokens over all labelled pages by one small aggregation (a row per tag name and partition), so it
 grows with the vocabulary of tags only.
@@ -68,7 +69,7 @@ def marked(attributes: str) -> bool:
 def tokens(page: str) -> list[tuple[str, str, bool]]:
     """(tag name with a slash if it closes, or empty; text; whether it stands in a part that is dropped)."""
     out: list[tuple[str, str, bool]] = []
-    dropped, depth, at, n = "", 0, 0, len(page)
+    dropped, depth, inner, at, n = "", 0, 0, 0, len(page)
     for_text = lambda a, b: out.append(("", page[a:b], bool(dropped))) if b > a else None
     while at < n:
         m = TOKEN.search(page, at)
@@ -83,11 +84,14 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
             break
         name, closes = m[2].lower(), bool(m[1])
         if dropped:
-            # Within a dropped part, its own name opens and closes levels; the content's end closes all of it.
+            # Within a dropped part, its own name opens and closes levels; the content's end closes all of it, but not the end of content that it holds itself.
+            if name in CONTENT and dropped not in ("p", "head") and (inner or not closes):
+                inner += -1 if closes else 1
+                continue
             if name == dropped and name not in VOID:
                 depth += -1 if closes else 1
             if depth == 0 or (closes and name in (*CONTENT, "body", "html")) or (name in CONTENT and not closes and dropped in ("p", "head")) or (dropped == "head" and name == "body") or (dropped == "p" and depth > 1):
-                dropped, depth = "", 0
+                dropped, depth, inner = "", 0, 0
                 out.append((f"/{name}" if closes else name, "", False))
             continue
         if not closes and (name in DROPPED or name not in (*CONTENT, "body", "html") and marked(m[3])):
@@ -145,37 +149,56 @@ def learn(df: DataFrame, html_col: str) -> tuple[float, dict[str, float]]:
     return max(0.1, odds(a, b)), {tag: min(0.0, odds(*counts)) for tag, counts in found.items()}
 
 
-def region(parts: list[tuple[str, str, bool]], word: float, tags: dict[str, float]) -> tuple[int, int]:
-    """The half-open range of tokens with the highest sum; of equals, the first and longest."""
-    best, best_range, total, start, within = 0.0, (0, 0), 0.0, 0, False
+def region(parts: list[tuple[str, str, bool]], word: float, tags: dict[str, float]) -> list[tuple[int, int]]:
+    """The half-open ranges of tokens with the highest sum: one outside of the content elements, or all of these. Of equals the first and longest."""
+    best, best_range, total, start = 0.0, (0, 0), 0.0, 0
+    content, ranges, opened = 0.0, [], []
     for i, (tag, text, off) in enumerate(parts):
         name = tag.lstrip("/")
-        if name in CONTENT:
-            total, start, within = 0.0, i + 1, name == tag
+        if name in CONTENT or (opened and tag in ("/body", "/html")):
+            was = bool(opened)
+            if name == tag:
+                opened.append(name)
+            elif name not in CONTENT:
+                opened.clear()
+            elif name in opened:
+                # What is open within ends too.
+                while opened.pop() != name:
+                    pass
+            if was and not opened:
+                ranges.append((start, i))
+            if not (was and opened):
+                total, start = 0.0, i + 1
+            continue
+        gain = 0.0 if off or tag else word * len(text.split())
+        if opened:
+            content += gain
             continue
         if total < 0:
             total, start = 0.0, i
-        if tag:
-            total += 0.0 if off or within or name in INLINE else tags.get(name, DEFAULT_TAG)
-        elif not off:
-            total += word * len(text.split())
+        total += gain if not tag or off or name in INLINE else tags.get(name, DEFAULT_TAG)
         if total > best or (total == best and best > 0 and start == best_range[0]):
             best, best_range = total, (start, i + 1)
-    return best_range
+    if opened:
+        ranges.append((start, len(parts)))
+    if content > best or (content == best and best > 0 and ranges[0] < best_range):
+        return ranges
+    return [best_range]
 
 
 def extract(page: str | None, word: float = DEFAULT_WORD, tags: dict[str, float] | None = None) -> str:
     parts = tokens(page or "")
-    first, last = region(parts, word, tags or {})
     blocks, block = [], []
-    for tag, text, off in parts[first:last]:
-        if tag:
-            if tag.lstrip("/") not in INLINE:
-                blocks.append("".join(block))
-                block = []
-        elif not off:
-            block.append(text)
-    blocks.append("".join(block))
+    for first, last in region(parts, word, tags or {}):
+        for tag, text, off in parts[first:last]:
+            if tag:
+                if tag.lstrip("/") not in INLINE:
+                    blocks.append("".join(block))
+                    block = []
+            elif not off:
+                block.append(text)
+        blocks.append("".join(block))
+        block = []
     clean = (" ".join(html.unescape(b).split()) for b in blocks)
     return " ".join(b for b in clean if b)
 
