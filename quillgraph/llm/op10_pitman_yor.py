@@ -1,9 +1,8 @@
 """LM scoring by a hierarchical Pitman-Yor model of words in the context of the word before.
 
 Each context is a restaurant of a Chinese-restaurant process with discount, and all contexts share one
-parent restaurant over words, whose base is even over the vocabulary and one unknown word. Contexts are classes of the
-word before: the hash of that word, in CONTEXTS classes, and one for the beginning of a text. Frequent words
-hardly meet in a class, rare ones share theirs.
+parent restaurant over words, whose base is even over the vocabulary and one unknown word. Contexts are the
+words before, each by its whole 64-bit hash, and one for the beginning of a text: restaurants grow with the vocabulary.
 
 Seating is sampled by Gibbs: a sweep takes all customers of one dish in one restaurant from their tables
 and seats them anew one by one, given the parent's probability of the dish and the restaurant's other
@@ -14,11 +13,15 @@ probability that held when the step began. After BURN sweeps, the predictive pro
 they score the texts.
 
 Everything follows the corpus. Words are dealt into column blocks by hash; a block's restaurants' dishes need of
-other blocks only the totals of tables of each context, which a pass over all blocks sums (so all blocks sweep in parallel given the
-last pass's totals). Documents are cut into row blocks; each sends its (word, context) tokens once to each
-column block, and gets back one sum a document. Words that make HOT_SHARE of all training tokens or more
-are at most 1 / HOT_SHARE in number: their table is sent to every task and scores them on the spot, so a
-frequent word is no skewed block. Counts are summed within each row block before they are sent.
+other blocks only the totals of customers and tables of each context. These are a table with a row a context, summed over
+all blocks by a pass and joined with each block's own contexts (so all blocks sweep in parallel given the last pass's totals).
+Documents are cut into row blocks; each sends its distinct pairs of word and context once to each column block, with the rows
+they are in, and gets back one sum a document. Of pairs that the model does not know, the weight of the context
+is joined from the table of contexts.
+
+No block is skewed: words that make HOT_SHARE of the training tokens are dealt by word and context, and what concerns all of such a
+word (its parent's tables) is a table of 2 / HOT_SHARE rows at most, as are frequent contexts. Pairs that make HOT_PAIR of the
+tokens are 1 / HOT_PAIR at most: they are sent to every task and scored on the spot. Counts are summed within each row block before they are sent.
 
 What is learned comes from the training rows only; discounts are estimated from their counts of counts.
 
@@ -37,12 +40,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import checkpointed, mix, table, text_chunks, words
+from quillgraph.llm.common import checkpointed, mix, release, table, text_chunks, words
 
-CONTEXTS = 1024
 STRENGTH, ROOT_STRENGTH = 1.0, 1.0
 BURN, SAMPLES, EXACT = 2, 3, 64
-HOT_SHARE = 1 / 1024
+HOT_SHARE, HOT_PAIR = 1 / 1024, 1 / 65536
+NO_WORDS = np.zeros(0, dtype=np.uint64)
 #: Tokens of a row block, and of a column block, about.
 ROW_BLOCK, COLUMN_BLOCK = 2_000_000, 4_000_000
 END = mix(np.array([0xE4D], dtype=np.uint64))[0]
@@ -61,8 +64,8 @@ def tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         full = np.full(len(word) + n, END, dtype=np.uint64)
         full[at] = word
         rows = np.repeat(np.arange(n), count + 1)
-        context = np.zeros(len(full), dtype=np.int64)
-        context[1:] = (full[:-1] >> np.uint64(13)) % np.uint64(CONTEXTS - 1) + np.uint64(1)
+        context = np.zeros(len(full), dtype=np.uint64)
+        context[1:] = full[:-1]
         context[np.append(0, np.cumsum(count + 1)[:-1])] = 0
         yield first, n, rows, full, context
 
@@ -74,11 +77,58 @@ def pack(word: np.ndarray, payload: list[np.ndarray]) -> tuple[bytes, ...]:
     return (word[start].astype("<u8").tobytes(), times.astype("<u4").tobytes(), *(p.tobytes() for p in payload))
 
 
-def column_of(word: np.ndarray, columns: int) -> np.ndarray:
-    return ((word >> np.uint64(40)) % np.uint64(columns)).astype(np.int64)
+def starts_of(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Where another pair begins in sorted pairs."""
+    new = np.ones(len(word), dtype=bool)
+    new[1:] = (word[1:] != word[:-1]) | (context[1:] != context[:-1])
+    return np.flatnonzero(new)
+
+
+def find_in(names: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each asked value its place among the sorted names, and whether it is there."""
+    at = np.searchsorted(names, asked)
+    at[at == len(names)] = 0
+    return at, names[at] == asked if len(names) else np.zeros(len(asked), bool)
+
+
+def column_of(word: np.ndarray, context: np.ndarray, columns: int, hot: np.ndarray) -> np.ndarray:
+    """The column block of a word, of a hot one that of word and context."""
+    key = np.where(find_in(hot, word)[1], mix(word ^ mix(context + np.uint64(1))), word) if len(hot) else word
+    return ((key >> np.uint64(40)) % np.uint64(columns)).astype(np.int64)
+
+
+def frequent(docs: DataFrame) -> np.ndarray:
+    """Sorted words, at most 2 / HOT_SHARE, among them all that make HOT_SHARE of the training tokens."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            word, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            # What stays below in each run is less than half of HOT_SHARE together.
+            often = n >= HOT_SHARE / 2 * size
+            return pa.RecordBatch.from_arrays([pa.array([*word[often].view(np.int64).tolist(), None], pa.int64()), pa.array(np.append(n[often], size))], names=["word", "n"])
+
+        for rows in batches:
+            for _, _, _, word, _ in tokens(rows.column(0)):
+                held.append(word)
+                size += len(word)
+                if size >= ROW_BLOCK:
+                    yield flush()
+                    size = 0
+        if size:
+            yield flush()
+
+    found = docs.where(~F.col("held_out")).select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = checkpointed(found)
+    size = (found.where("word IS NULL").first() or (None, 0))[1]
+    rows = found.where(F.col("word").isNotNull() & (F.col("n") >= HOT_SHARE / 2 * size)).select("word").collect()
+    return np.sort(np.array([r.word for r in rows], dtype=np.int64).view(np.uint64))
 
 
-def count_words(docs: DataFrame, columns: int) -> DataFrame:
+def count_words(docs: DataFrame, columns: int, hot: np.ndarray = NO_WORDS) -> DataFrame:
     """column, body: the training tokens' distinct words of each column block, with their contexts and counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,15 +137,15 @@ def count_words(docs: DataFrame, columns: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             word, context = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            column = column_of(word, columns)
+            column = column_of(word, context, columns, hot)
             order = np.lexsort((context, word, column))
             word, context, column = word[order], context[order], column[order]
-            new = np.flatnonzero((np.diff(word, prepend=word[0] + np.uint64(1)) != 0) | (np.diff(context, prepend=-1) != 0))
+            new = starts_of(word, context)
             times = np.diff(np.append(new, len(word)))
             word, context, column = word[new], context[new], column[new]
             cut = np.searchsorted(column, np.arange(columns + 1))
             filled = [c for c in range(columns) if cut[c + 1] > cut[c]]
-            parts = [pack(word[s], [context[s].astype("<u2"), times[s].astype("<u4")]) for c in filled for s in (slice(cut[c], cut[c + 1]),)]
+            parts = [pack(word[s], [context[s].astype("<u8"), times[s].astype("<u4")]) for c in filled for s in (slice(cut[c], cut[c + 1]),)]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), *(pa.array([p[i] for p in parts], pa.binary()) for i in range(4))], names=["column", "word", "times", "context", "count"])
 
@@ -111,10 +161,10 @@ def count_words(docs: DataFrame, columns: int) -> DataFrame:
 
     def merge(rows: pa.Table) -> pa.Table:
         word = np.repeat(_joined(rows, "word", "<u8"), _joined(rows, "times", "<u4"))
-        context, count = _joined(rows, "context", "<u2"), _joined(rows, "count", "<u4").astype(np.int64)
+        context, count = _joined(rows, "context", "<u8"), _joined(rows, "count", "<u4").astype(np.int64)
         order = np.lexsort((context, word))
         word, context, count = word[order], context[order], count[order]
-        new = np.flatnonzero((np.diff(word, prepend=word[0] + np.uint64(1)) != 0) | (np.diff(context.astype(np.int64), prepend=-1) != 0))
+        new = starts_of(word, context)
         packed = pack(word[new], [context[new], np.add.reduceat(count, new).astype("<i8")])
         return pa.table({"column": rows.column("column").slice(0, 1), **{n: pa.array([p], pa.binary()) for n, p in zip(("word", "times", "context", "count"), packed, strict=True)}})
 
@@ -133,7 +183,10 @@ class Block:
         self.column = column
         self.word = np.frombuffer(word, "<u8")
         self.of = np.repeat(np.arange(len(self.word)), np.frombuffer(times, "<u4"))
-        self.context = np.frombuffer(context, "<u2").astype(np.int64)
+        self.context = np.frombuffer(context, "<u8")
+        #: The block's contexts, sorted, and each row's place among them.
+        self.names, self.at = np.unique(self.context, return_inverse=True)
+        self.customers = self.tables = np.zeros(0)
         self.count = np.frombuffer(count, "<i8")
         self.total = np.bincount(self.of, self.count, len(self.word)).astype(np.int64)
 
@@ -141,31 +194,38 @@ class Block:
         """Averages over the sampled sweeps, given the totals of all blocks: each row's probability, each word's parent probability, tables
         of each row, and customers and tables of each word in the parent."""
         rng = np.random.default_rng([SEED, self.column])
-        d, d0, tables, customers = totals["discount"], totals["root_discount"], totals["tables"], totals["customers"]
+        d, d0, tables, customers = totals["discount"], totals["root_discount"], self.tables, self.customers
+        place, is_hot = find_in(totals["hot"], self.word)
+        place = place[is_hot]
         base = 1.0 / (totals["words"] + 1)
         seats = np.ones(len(self.count), dtype=np.int64)
         norm = np.full(len(self.count), -np.inf)
         root_seats, root_norm = np.ones(len(self.word), dtype=np.int64), np.full(len(self.word), -np.inf)
         guests = np.bincount(self.of, seats, len(self.word)).astype(np.int64)
+        # Hot words' rows are in many blocks: their parent's tables are those of the pass before.
+        guests[is_hot], root_seats[is_hot] = totals["hot_guests"][place], totals["hot_seats"][place]
         several, root_last = np.flatnonzero(self.count > 1), None
         parent = self._parent(guests, root_seats, totals, d0, base)
         sums = [np.zeros(len(self.count)), np.zeros(len(self.word)), np.zeros(len(self.count)), np.zeros(len(self.word)), np.zeros(len(self.word))]
         share = (STRENGTH + d * tables) / (STRENGTH + customers)
         for sweep in range(BURN + SAMPLES):
-            others = np.maximum(tables[self.context[several]] - seats[several], 0)
+            others = np.maximum(tables[self.at[several]] - seats[several], 0)
             new, z = seat(self.count[several], (STRENGTH + d * others) * parent[self.of[several]], d * parent[self.of[several]], d, rng)
             taken = np.log(rng.random(len(several))) < z - norm[several]
             seats[several[taken]], norm[several[taken]] = new[taken], z[taken]
-            guests = np.bincount(self.of, seats, len(self.word)).astype(np.int64)
+            own = np.bincount(self.of, seats, len(self.word)).astype(np.int64)
+            guests = own.copy()
+            guests[is_hot] = totals["hot_guests"][place]
             new, z = seat(guests, np.full(len(guests), (ROOT_STRENGTH + d0 * totals["root_tables"]) * base), np.full(len(guests), d0 * base), d0, rng)
             # The parent's guests changed: its old arrangement is comparable only where they did not.
             same = root_last == guests if root_last is not None else np.zeros(len(guests), dtype=bool)
             taken = ~same | (np.log(rng.random(len(guests))) < z - root_norm)
             root_seats[taken], root_norm[taken] = new[taken], z[taken]
+            root_seats[is_hot] = totals["hot_seats"][place]
             root_last = guests
             parent = self._parent(guests, root_seats, totals, d0, base)
             if sweep >= BURN:
-                for s, x in zip(sums, ((self.count - d * seats) / (STRENGTH + customers[self.context]) + share[self.context] * parent[self.of], parent, seats, guests, root_seats), strict=True):
+                for s, x in zip(sums, ((self.count - d * seats) / (STRENGTH + customers[self.at]) + share[self.at] * parent[self.of], parent, seats, own, root_seats), strict=True):
                     s += x / SAMPLES
         return tuple(sums)
 
@@ -205,95 +265,185 @@ def blocks_in(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
             yield Block(*(rows.column(n)[i].as_py() for n in BLOCK))
 
 
-def learn(blocks: DataFrame) -> dict:
-    """Totals over all blocks: what a block has to know of the others. A few numbers, and two for each context."""
+class Contexts:
+    """Customers and tables of each context: a table, context, customers, tables."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def of(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of a few contexts, on the driver."""
+        found = {r.context: (r.customers, r.tables) for r in self.rows.where(F.col("context").isin(names.view(np.int64).tolist())).collect()}
+        pairs = np.array([found.get(int(c), (0, 0)) for c in names.view(np.int64)], dtype=np.float64).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]
+
+
+class Shares:
+    """By context the share that goes to the parent, asked for one by one."""
+
+    def __init__(self, totals: dict):
+        self.totals = totals
+
+    def __getitem__(self, context: np.uint64) -> float:
+        customers, tables = self.totals["contexts"].of(np.array([context], dtype=np.uint64))
+        return float((STRENGTH + self.totals["discount"] * tables[0]) / (STRENGTH + customers[0]))
+
+
+def plain(totals: dict) -> dict:
+    """What tasks can be sent: a few numbers, and those of hot words."""
+    return {k: v for k, v in totals.items() if k != "contexts"}
+
+
+def flat(column: int, names: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), column, np.int32)), pa.array(names.view(np.int64)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["column", "context", "a", "b"])
+
+
+FLAT = "column int, context long, a long, b long"
+#: In the place of a column: hot words' rows, and those of the whole.
+OF_HOT, OF_ALL = -1, -2
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    return checkpointed(rows.groupBy(F.least("column", F.lit(0)).alias("kind"), "context").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+
+
+def small(sums: DataFrame, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a and b of each hot word, and of the whole."""
+    of_hot, whole = np.zeros((len(hot), 2)), np.zeros((6, 2))
+    for r in sums.where("kind < 0").collect():
+        if r.kind == OF_ALL:
+            whole[r.context] = r.a, r.b
+        else:
+            of_hot[np.searchsorted(hot, np.uint64(r.context % (1 << 64)))] = r.a, r.b
+    return of_hot, whole
+
+
+def members(blocks: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Of each block its contexts with their customers and dishes, and the same of hot words; of the whole a few counts."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        customers, tables, few = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64), np.zeros(6, np.int64)
         for b in blocks_in(batches):
-            customers += np.bincount(b.context, b.count, CONTEXTS).astype(np.int64)
-            tables += np.bincount(b.context, minlength=CONTEXTS)
-            kinds = np.bincount(b.of, minlength=len(b.word))
-            few += [len(b.word), int(b.count.sum()), int((b.count == 1).sum()), int((b.count == 2).sum()), int((kinds == 1).sum()), int((kinds == 2).sum())]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CONTEXTS + 6, dtype=np.int32)), pa.array(np.append(customers, few)), pa.array(np.append(tables, few * 0))], names=["at", "a", "b"])
-
-    got = {r.at: (r.a, r.b) for r in blocks.mapInArrow(describe, "at int, a long, b long").groupBy("at").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()}
-    a, b = (np.array([got.get(i, (0, 0))[j] for i in range(CONTEXTS + 6)], dtype=np.float64) for j in (0, 1))
-    few = a[CONTEXTS:]
+            yield flat(b.column, b.names, np.bincount(b.at, b.count), np.bincount(b.at))
+            kinds, is_hot = np.bincount(b.of, minlength=len(b.word)), find_in(hot, b.word)[1]
+            yield flat(OF_HOT, b.word[is_hot], b.total[is_hot], kinds[is_hot])
+            kinds = kinds[~is_hot]
+            few = np.array([len(kinds), b.count.sum(), (b.count == 1).sum(), (b.count == 2).sum(), (kinds == 1).sum(), (kinds == 2).sum()])
+            yield flat(OF_ALL, np.arange(6, dtype=np.uint64), few, few * 0)
+
+    return blocks.mapInArrow(describe, FLAT)
+
+
+def with_totals(blocks: DataFrame, contexts: DataFrame, hot: np.ndarray, use, schema: str) -> DataFrame:
+    """use(block) of each block, when it knows the totals of its contexts."""
+    asked = members(blocks, hot).where("column >= 0").select("column", "context").join(contexts, "context").select(F.col("column").alias("of"), "context", F.col("customers").cast("double").alias("customers"), F.col("tables").cast("double").alias("tables"))
+
+    def run(mine: pa.Table, told: pa.Table) -> pa.Table:
+        block = Block(*(mine.column(n)[0].as_py() for n in BLOCK))
+        order = np.argsort(told.column("context").to_numpy().view(np.uint64))
+        block.customers, block.tables = (told.column(n).to_numpy()[order] for n in ("customers", "tables"))
+        return use(block)
+
+    return blocks.groupBy("column").cogroup(asked.groupBy("of")).applyInArrow(run, schema)
+
+
+def learn(blocks: DataFrame, hot: np.ndarray = NO_WORDS) -> dict:
+    """Totals over all blocks: what a block has to know of the others. A few numbers, some for each hot word, and a table of contexts."""
+    first = summed(members(blocks, hot))
+    of_hot, whole = small(first, hot)
+    few = whole[:, 0]
+    kinds = of_hot[:, 1]
     discount = lambda once, twice: float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.95))
+    contexts = first.where("kind = 0").select("context", F.col("a").alias("customers"), F.col("b").alias("tables"))
+    dishes = contexts.agg(F.sum("tables")).first()[0] or 0
     totals = {
-        "customers": a[:CONTEXTS], "tables": b[:CONTEXTS], "words": int(few[0]), "tokens": int(few[1]), "discount": discount(few[2], few[3]), "root_discount": discount(few[4], few[5]),
-        "root_customers": float(b.sum()), "root_tables": float(few[0]),
+        "words": int(few[0]) + int((kinds > 0).sum()), "tokens": int(few[1]), "discount": discount(few[2], few[3]), "root_discount": discount(few[4] + (kinds == 1).sum(), few[5] + (kinds == 2).sum()),
+        "root_customers": float(dishes), "root_tables": float(few[0] + (kinds > 0).sum()), "hot": hot, "hot_count": of_hot[:, 0], "hot_guests": kinds.astype(np.int64), "hot_seats": np.ones(len(hot), dtype=np.int64),
     }
-
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, root = np.zeros(CONTEXTS), np.zeros(2)
-        for b in blocks_in(batches):
-            _, _, seats, guests, root_seats = b.sample(totals)
-            tables += np.bincount(b.context, seats, CONTEXTS)
-            root += [guests.sum(), root_seats.sum()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CONTEXTS + 2, dtype=np.int32)), pa.array(np.append(tables, root))], names=["at", "a"])
-
     if totals["tokens"]:
-        # Summed in order of partitions and rounded, so that reruns agree.
-        rows = blocks.mapInArrow(sweep, "at int, a double").groupBy("at").agg(F.sum(F.round(F.col("a") * 3).cast("long")).alias("a")).collect()
-        sums = np.zeros(CONTEXTS + 2)
-        for r in rows:
-            sums[r.at] = r.a / 3
-        totals |= {"tables": sums[:CONTEXTS], "root_customers": float(sums[CONTEXTS]), "root_tables": float(sums[CONTEXTS + 1])}
-    return totals
+        given = plain(totals)
+
+        def sweep(block: Block) -> pa.Table:
+            _, _, seats, guests, root_seats = block.sample(given)
+            is_hot = find_in(given["hot"], block.word)[1]
+            # Whole numbers, so that reruns agree: averages over SAMPLES sweeps are thirds.
+            times = lambda x: np.rint(x * SAMPLES)
+            return pa.Table.from_batches(
+                [
+                    flat(block.column, block.names, times(np.bincount(block.at, seats)), np.zeros(len(block.names))), flat(OF_HOT, block.word[is_hot], times(guests[is_hot]), np.zeros(int(is_hot.sum()))),
+                    flat(OF_ALL, np.zeros(1, np.uint64), times(guests[~is_hot].sum(keepdims=True)), times(root_seats[~is_hot].sum(keepdims=True))),
+                ]
+            )
+
+        swept = summed(with_totals(blocks, contexts, hot, sweep, FLAT))
+        release(blocks.sparkSession)
+        of_hot, whole = small(swept, hot)
+        guests = np.rint(of_hot[:, 0] / SAMPLES).astype(np.int64)
+        d0, base = totals["root_discount"], 1.0 / (totals["words"] + 1)
+        seats, _ = seat(guests, np.full(len(hot), (ROOT_STRENGTH + d0 * totals["root_tables"]) * base), np.full(len(hot), d0 * base), d0, np.random.default_rng(SEED))
+        contexts = contexts.select("context", "customers").join(swept.where("kind = 0").select("context", (F.col("a") / SAMPLES).alias("tables")), "context")
+        totals |= {"hot_guests": guests, "hot_seats": seats, "root_customers": float(whole[0, 0] / SAMPLES + guests.sum()), "root_tables": float(whole[0, 1] / SAMPLES + seats.sum())}
+    return totals | {"contexts": Contexts(contexts)}
 
 
 def logs(block: Block, totals: dict) -> tuple[np.ndarray, np.ndarray]:
     """log10 of each row's probability, and the parent's probability of each word."""
+    if len(block.tables) < len(block.names):
+        block.customers, block.tables = totals["contexts"].of(block.names)
     p, parent, *_ = block.sample(totals)
     return np.log10(p), parent
 
 
-def backoff(totals: dict) -> tuple[np.ndarray, float]:
+def backoff(totals: dict) -> tuple[Shares, float]:
     """By context the share that goes to the parent, and the parent's probability of an unknown word."""
-    share = (STRENGTH + totals["discount"] * totals["tables"]) / (STRENGTH + totals["customers"])
     unknown = (ROOT_STRENGTH + totals["root_discount"] * totals["root_tables"]) / (ROOT_STRENGTH + totals["root_customers"]) / (totals["words"] + 1)
-    return share, unknown
+    return Shares(totals), unknown
 
 
-def hot_words(blocks: DataFrame, totals: dict, share: float = HOT_SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words of at least `share` of the training tokens, so 1 / share at most: sorted, their counts, and log10 probabilities by context."""
-    least = max(2, int(np.ceil(share * totals["tokens"])))
-    weight, _ = backoff(totals)
+MODEL = ("word", "times", "context", "p", "upper", "total")
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks_in(batches):
-            hot = np.flatnonzero(b.total >= least)
-            if not len(hot):
-                continue
-            p, parent = logs(b, totals)
-            out = []
-            for w in hot:
-                line = np.log10(weight * parent[w])
-                rows = np.flatnonzero(b.of == w)
-                line[b.context[rows]] = p[rows]
-                out.append(line.astype("<f8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(b.word[hot].view("<i8")), pa.array(b.total[hot]), pa.array(out, pa.binary())], names=["word", "count", "line"])
-
-    rows = blocks.mapInArrow(find, "word long, count long, line binary").collect() if totals["tokens"] else []
-    rows.sort(key=lambda r: r.word % (1 << 64))
-    lines = np.frombuffer(b"".join(r.line for r in rows), "<f8").reshape(len(rows), CONTEXTS)
-    return np.array([r.word for r in rows], dtype=np.int64).view(np.uint64), np.array([r["count"] for r in rows], dtype=np.int64), lines
-
-
-def score_documents(docs: DataFrame, blocks: DataFrame, totals: dict, columns: int) -> DataFrame:
+
+def probabilities(blocks: DataFrame, totals: dict) -> DataFrame:
+    """column, and of each block its words and contexts with log10 probabilities of rows and words, counts of words, and the pairs that make HOT_PAIR of the tokens."""
+    given = plain(totals)
+    least = max(2, int(np.ceil(HOT_PAIR * given["tokens"])))
+
+    def run(block: Block) -> pa.Table:
+        p, parent = logs(block, given)
+        place, is_hot = find_in(given["hot"], block.word)
+        total = block.total.astype(np.float64)
+        total[is_hot] = given["hot_count"][place[is_hot]]
+        often = np.flatnonzero(block.count >= least)
+        pairs = np.stack([block.word[block.of[often]].view(np.float64), block.context[often].view(np.float64), p[often], np.log10(total[block.of[often]] + 1.0)])
+        times = np.bincount(block.of, minlength=len(block.word)).astype("<u4")
+        body = (block.word, times, block.context, p, np.log10(parent), total)
+        return pa.table({"column": pa.array([block.column], pa.int32()), **{n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(MODEL, body, strict=True)}, "pairs": pa.array([pairs.T.tobytes()], pa.binary())})
+
+    return checkpointed(with_totals(blocks, totals["contexts"].rows, given["hot"], run, "column int, " + ", ".join(f"{n} binary" for n in (*MODEL, "pairs"))))
+
+
+def pair_key(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return word ^ mix(context + np.uint64(1))
+
+
+def score_documents(docs: DataFrame, model: DataFrame, totals: dict, columns: int) -> DataFrame:
     """id, held_out, n_tokens, n_known, base_score, score."""
-    hot, hot_count, hot_lines = hot_words(blocks, totals)
-    n, v = totals["tokens"], totals["words"]
-    weight, unknown = backoff(totals)
-    log_weight, log_unknown = np.log10(weight), float(np.log10(unknown))
-    context = docs.sparkSession.sparkContext
-    # 1 / HOT_SHARE rows of CONTEXTS numbers at most.
-    table_of_hot = context.broadcast((hot, np.log10(hot_count + 1.0), hot_lines))
+    n, v, hot = totals["tokens"], totals["words"], totals["hot"]
+    pairs = np.frombuffer(b"".join(r.pairs for r in model.select("pairs").collect()), "<f8").reshape(-1, 4)
+    pairs = pairs[np.argsort(pair_key(pairs[:, 0].copy().view(np.uint64), pairs[:, 1].copy().view(np.uint64)))]
+    _, unknown = backoff(totals)
+    log_unknown = float(np.log10(unknown))
+    hot_upper = np.log10(Block._parent(totals["hot_guests"], totals["hot_seats"], totals, totals["root_discount"], 1.0 / (v + 1)))
+    hot_base = np.log10(totals["hot_count"] + 1.0)
+    weights = totals["contexts"].rows.select(F.col("context").alias("of"), "customers", F.log10((STRENGTH + totals["discount"] * F.col("tables")) / (STRENGTH + F.col("customers"))).alias("weight"))
+    # The contexts that make HOT_SHARE of the tokens are 1 / HOT_SHARE at most.
+    often = sorted((r.of % (1 << 64), r.weight) for r in weights.where(F.col("customers") >= max(1.0, HOT_SHARE * n)).collect()) if columns > 1 else []
+    often_names, often_weights = np.array([x for x, _ in often], dtype=np.uint64), np.array([w for _, w in often])
+    sent = docs.sparkSession.sparkContext.broadcast(pairs)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, hot_base, lines = table_of_hot.value
+        hot_word, hot_context = (sent.value[:, i].copy().view(np.uint64) for i in (0, 1))
+        hot_key = pair_key(hot_word, hot_context)
+        logp, pair_base = sent.value[:, 2].copy(), sent.value[:, 3].copy()
         held: list[tuple] = []
         docs_held = tokens_held = flushes = 0
         task = TaskContext.get().partitionId()
@@ -302,12 +452,17 @@ def score_documents(docs: DataFrame, blocks: DataFrame, totals: dict, columns: i
             nonlocal flushes
             ids, held_out, count, known, base, score = (np.concatenate([h[i] for h in held]) for i in range(6))
             word, where, row = (np.concatenate([h[i] for h in held]) for i in (6, 7, 8))
-            column = column_of(word, columns)
-            order = np.lexsort((row, word, column))
+            column = column_of(word, where, columns, hot)
+            order = np.lexsort((row, where, word, column))
             word, where, row, column = word[order], where[order], row[order], column[order]
-            cut = np.searchsorted(column, np.arange(columns + 1))
+            start = starts_of(word, where)
+            times, ends = np.diff(np.append(start, len(word))), np.append(start, len(word))
+            cut = np.searchsorted(column[start], np.arange(columns + 1))
             filled = [c for c in range(columns) if cut[c + 1] > cut[c]]
-            parts = [pack(word[s], [where[s].astype("<u2"), row[s].astype("<u4")]) for c in filled for s in (slice(cut[c], cut[c + 1]),)]
+            parts = [
+                (word[start[s]].astype("<u8").tobytes(), times[s].astype("<u4").tobytes(), where[start[s]].astype("<u8").tobytes(), row[ends[s.start] : ends[s.stop]].astype("<u4").tobytes())
+                for c in filled for s in (slice(cut[c], cut[c + 1]),)
+            ]
             name = task << 24 | flushes
             flushes += 1
             head = np.concatenate([ids.astype("<i8").view("<f8"), held_out, count, known, base, score]).astype("<f8", copy=False).tobytes()
@@ -317,20 +472,18 @@ def score_documents(docs: DataFrame, blocks: DataFrame, totals: dict, columns: i
                     pa.array([*filled, -1 - name % columns], pa.int32()), pa.array([name] * (len(filled) + 1), pa.int64()),
                     *(pa.array([*(p[i] for p in parts), head if i == 0 else None], pa.binary()) for i in range(4)),
                 ],
-                names=["column", "block", "word", "times", "context", "count"],
+                names=["column", "block", "word", "times", "context", "row"],
             )
 
         for rows in batches:
             ids, out = rows.column(0).to_numpy(zero_copy_only=False), rows.column(1).to_numpy(zero_copy_only=False)
             for first, k, row, word, where in tokens(rows.column(2)):
-                at = np.searchsorted(hot, word)
-                at[at == len(hot)] = 0
-                is_hot = hot[at] == word if len(hot) else np.zeros(len(word), bool)
-                r, h, c = row[is_hot], at[is_hot], where[is_hot]
-                base = np.bincount(r, hot_base[h], k) if len(hot) else np.zeros(k)
-                score = np.bincount(r, lines[h, c], k) if len(hot) else np.zeros(k)
+                at, _ = find_in(hot_key, pair_key(word, where))
+                is_hot = (hot_word[at] == word) & (hot_context[at] == where) if len(hot_key) else np.zeros(len(word), bool)
+                r, h = row[is_hot], at[is_hot]
                 cold = ~is_hot
-                held.append((ids[first : first + k], out[first : first + k].astype(np.float64), np.bincount(row, minlength=k).astype(np.float64), np.bincount(r, minlength=k).astype(np.float64), base, score, word[cold], where[cold], row[cold] + docs_held))
+                head = (np.bincount(row, minlength=k), np.bincount(r, minlength=k), np.bincount(r, pair_base[h], k), np.bincount(r, logp[h], k))
+                held.append((ids[first : first + k], out[first : first + k].astype(np.float64), *(x.astype(np.float64) for x in head), word[cold], where[cold], row[cold] + docs_held))
                 docs_held += k
                 tokens_held += len(word)
                 if tokens_held >= ROW_BLOCK:
@@ -339,43 +492,55 @@ def score_documents(docs: DataFrame, blocks: DataFrame, totals: dict, columns: i
         if docs_held:
             yield flush()
 
+    found_schema = "block long, head boolean, body binary, context long, row int"
+
+    def found_rows(block, head, body, context=None, row=None) -> pa.Table:
+        nothing = [None] * len(block)
+        return pa.table([pa.array(block, pa.int64()), pa.array(head, pa.bool_()), pa.array(body, pa.binary()), pa.array(nothing if context is None else context, pa.int64()), pa.array(nothing if row is None else row, pa.int32())], names=["block", "head", "body", "context", "row"])
+
     def look_up(rows: pa.Table) -> pa.Table:
-        """A column block: for each row block, the sums of its documents' tokens here."""
+        """A column block: for each row block, the sums of its documents' tokens here, and contexts whose weight is to be added."""
         if rows.column("column")[0].as_py() < 0:
-            return pa.table({"block": rows.column("block"), "head": pa.array([True] * rows.num_rows), "body": rows.column("word")})
+            return found_rows(rows.column("block").to_pylist(), [True] * rows.num_rows, rows.column("word").to_pylist())
         mine = rows.column("block").is_null()
-        asked, model = rows.filter(pa.compute.invert(mine)), rows.filter(mine)
-        block = Block(*(model.column(n)[0].as_py() for n in BLOCK)) if model.num_rows else Block(0, b"", b"", b"", b"")
-        p, parent = logs(block, totals) if len(block.word) else (np.zeros(0), np.zeros(0))
-        log_parent = np.log10(parent)
-        key = block.of * CONTEXTS + block.context
-        out = []
+        asked, own = rows.filter(pa.compute.invert(mine)), rows.filter(mine)
+        kinds = ("<u8", "<u4", "<u8", "<f8", "<f8", "<f8")
+        words_here, times_here, contexts_here, p, upper_here, total = (np.frombuffer(own.column(c)[0].as_py() if own.num_rows else b"", t) for c, t in zip(MODEL, kinds, strict=True))
+        names, place_of = np.unique(contexts_here, return_inverse=True)
+        key = np.repeat(np.arange(len(words_here)), times_here) * len(names) + place_of
+        out, late = [], []
         for i in range(asked.num_rows):
-            word, times, where, row = (np.frombuffer(asked.column(c)[i].as_py(), t) for c, t in (("word", "<u8"), ("times", "<u4"), ("context", "<u2"), ("count", "<u4")))
-            at = np.searchsorted(block.word, word)
-            at[at == len(block.word)] = 0
-            known = block.word[at] == word if len(block.word) else np.zeros(len(word), bool)
-            base = np.where(known, np.log10(block.total[at] + 1.0), 0.0) if len(block.word) else np.zeros(len(word))
-            upper = np.where(known, log_parent[at], log_unknown) if len(block.word) else np.full(len(word), log_unknown)
-            of, known, base, upper = (np.repeat(x, times) for x in (at, known, base, upper))
-            where = where.astype(np.int64)
-            score = upper + log_weight[where]
-            if len(key):
-                place = np.searchsorted(key, of * CONTEXTS + where)
-                place[place == len(key)] = 0
-                seen = known & (key[place] == of * CONTEXTS + where)
-                score[seen] = p[place[seen]]
+            word, times, where, row = (np.frombuffer(asked.column(c)[i].as_py(), t) for c, t in (("word", "<u8"), ("times", "<u4"), ("context", "<u8"), ("row", "<u4")))
+            at, known = find_in(words_here, word)
+            base, score = np.zeros(len(word)), np.full(len(word), log_unknown)
+            base[known], score[known] = np.log10(total[at[known]] + 1.0), upper_here[at[known]]
+            place, is_hot = find_in(hot, word)
+            base[is_hot], score[is_hot] = hot_base[place[is_hot]], hot_upper[place[is_hot]]
+            near, has = find_in(names, where)
+            pair, seen = find_in(key, at * len(names) + near)
+            seen &= known & has
+            score[seen] = p[pair[seen]]
+            place, is_often = find_in(often_names, where)
+            is_often &= ~seen
+            score[is_often] += often_weights[place[is_often]]
+            known, base, score, asks = (np.repeat(x, times) for x in (known | is_hot, base, score, ~seen & ~is_often))
+            late.append(found_rows([asked.column("block")[i].as_py()] * int(asks.sum()), [False] * int(asks.sum()), [None] * int(asks.sum()), np.repeat(where, times)[asks].view(np.int64), row[asks].astype(np.int32)))
             present, inverse = np.unique(row, return_inverse=True)
             sums = [np.bincount(inverse, x, len(present)) for x in (known, base, score)]
             out.append(np.concatenate([present, *sums]).astype("<f8").tobytes())
-        return pa.table({"block": asked.column("block"), "head": pa.array([False] * len(out), pa.bool_()), "body": pa.array(out, pa.binary())})
+        return pa.concat_tables([found_rows(asked.column("block").to_pylist(), [False] * len(out), out), *late])
 
     def add(rows: pa.Table) -> pa.Table:
-        head = np.frombuffer(rows.filter(rows.column("head")).column("body")[0].as_py(), "<f8").reshape(6, -1).copy()
+        whole = rows.filter(rows.column("body").is_valid())
+        head = np.frombuffer(whole.filter(whole.column("head")).column("body")[0].as_py(), "<f8").reshape(6, -1).copy()
         # Row blocks in a fixed order: sums of floating-point numbers then agree between runs.
-        for body in sorted(rows.filter(pa.compute.invert(rows.column("head"))).column("body").to_pylist()):
+        for body in sorted(whole.filter(pa.compute.invert(whole.column("head"))).column("body").to_pylist()):
             row, *sums = np.frombuffer(body, "<f8").reshape(4, -1)
             head[3:, row.astype(np.int64)] += sums
+        late = rows.filter(rows.column("row").is_valid())
+        row, weight = late.column("row").to_numpy(), late.column("weight").to_numpy()
+        order = np.lexsort((weight, row))
+        head[5] += np.bincount(row[order], weight[order], head.shape[1])
         ids, held_out, count, known, base, score = head
         return pa.table(
             {
@@ -384,10 +549,13 @@ def score_documents(docs: DataFrame, blocks: DataFrame, totals: dict, columns: i
             }
         )
 
-    posted = docs.select("id", "held_out", "text").mapInArrow(post, "column int, block long, word binary, times binary, context binary, count binary")
-    both = posted.unionByName(blocks.select("column", F.lit(None).cast("long").alias("block"), "word", "times", "context", "count"))
-    found = both.groupBy("column").applyInArrow(look_up, "block long, head boolean, body binary")
-    return found.groupBy("block").applyInArrow(add, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    posted = docs.select("id", "held_out", "text").mapInArrow(post, "column int, block long, word binary, times binary, context binary, row binary")
+    both = posted.unionByName(model.drop("pairs"), allowMissingColumns=True)
+    found = checkpointed(both.groupBy("column").applyInArrow(look_up, found_schema))
+    # A word that the training rows do not have is a context without customers: all goes to the parent.
+    late = found.where("context IS NOT NULL").join(weights, F.col("context") == F.col("of"), "left").select("block", "head", "body", "row", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    done = found.where("context IS NULL").select("block", "head", "body", "row", F.lit(None).cast("double").alias("weight"))
+    return done.unionByName(late).groupBy("block").applyInArrow(add, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def score_texts(df: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
@@ -395,9 +563,15 @@ def score_texts(df: DataFrame, id_col: str, text_col: str, held_out: Column) ->
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     columns = max(1, -(-(size // 6) // COLUMN_BLOCK))
-    blocks = checkpointed(count_words(docs, columns))
-    totals = learn(blocks)
-    scored = score_documents(docs, blocks, totals, columns)
+    # A single block needs no words dealt otherwise.
+    hot = frequent(docs) if columns > 1 else NO_WORDS
+    blocks = checkpointed(count_words(docs, columns, hot))
+    release(df.sparkSession)
+    totals = learn(blocks, hot)
+    model = probabilities(blocks, totals)
+    del blocks
+    release(df.sparkSession)
+    scored = score_documents(docs, model, totals, columns)
     return scored.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(totals["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
