@@ -209,6 +209,14 @@ def m02(spark, d):
     return x.select("id", F.round(S.recall_stop(F.col("found"), F.col("screened"), F.col("total")), 8).alias("p"))
 
 
+@query("m02_recall_reached")  # no SQL: tested against brute force
+def m02b(spark, d):
+    """The survival probability of each customer's search, and whether it may stop."""
+    x = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (3 + F.col("c_custkey") % 5).cast("int").alias("found"), (40 + F.col("c_custkey") % 30).cast("int").alias("screened"), F.lit(200).alias("total"))
+    state = (F.col("found"), F.col("screened"), F.col("total"))
+    return x.select("id", F.round(S.stop_p_value(*state), 8).alias("p"), S.recall_reached(*state).alias("reached"))
+
+
 @query("m04_arbiter", f"WITH {EDGES} SELECT dst, round(avg(0.4 * confidence + 0.4 * (1 - similarity) + 0.2 * similarity), 9) AS trust, count(*) AS n FROM edges GROUP BY dst")
 def m04(spark, d):
     e = edges(spark, d)
