@@ -373,7 +373,7 @@ def j22(spark, d):
   s AS (SELECT n.id AS a_id, w.id AS b_id, len(list_intersect(n.ws, w.ws))::DOUBLE / len(list_distinct(list_concat(n.ws, w.ws))) AS jaccard FROM n JOIN w ON n.id <> w.id)
   SELECT a_id, b_id, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY jaccard DESC, b_id) AS r FROM s WHERE jaccard >= 0.6) WHERE r = 1""")
 def j26(spark, d):
-    """Best match by Jaccard of at least 0.6 (also J-25, J-29 with other thresholds)."""
+    """Best match of the parts of size 1, by Jaccard of at least 0.6."""
     from quillgraph.operators.retrieval import set_join, top
 
     words = F.array_distinct(T.tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand")))
