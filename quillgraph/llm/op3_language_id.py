@@ -47,7 +47,8 @@ BROADCAST_ROWS = 200_000
 #: Languages of address labels (fixed list).
 SUFFIXES = {"en": "en", "uk": "en", "us": "en", "au": "en", "ie": "en", "de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es"}
 
-MARKUP_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2})", re.IGNORECASE)
+HTML_TAG = re.compile(r"<html\b[^>]*", re.IGNORECASE)
+MARKUP_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2})", re.IGNORECASE)
 ADDRESS = re.compile(r"(?:https?://|www\.|@)([A-Za-z0-9.-]+)(?:/([a-z]{2})(?=[/?#\s]|$))?")
 FOLD = np.arange(256, dtype=np.uint64)
 FOLD[65:91] += 32
@@ -104,6 +105,11 @@ def likelihoods(batch_texts, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return total - total.max(axis=1, keepdims=True, initial=-np.inf) if len(model) else total, count
 
 
+def markup_lang(text: str) -> str | None:
+    """The first declaration by an html element, wherever it stands."""
+    return next((m[1] for tag in HTML_TAG.finditer(text) if (m := MARKUP_LANG.search(tag[0]))), None)
+
+
 def evidence(df: DataFrame, key: str, text_col: str, model: np.ndarray, declared: Column, url: Column, host: Column, languages: Sequence[str] = LANGUAGES) -> DataFrame:
     """key, host, parent, n (trigrams), text (log likelihoods), outside (log likelihoods of declaration and suffix)."""
     kind = df.schema[key].dataType.simpleString()
@@ -123,8 +129,8 @@ def evidence(df: DataFrame, key: str, text_col: str, model: np.ndarray, declared
             outside = []
             for text, lang, address in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 text = text.as_py() or ""
-                if lang is None and (m := MARKUP_LANG.search(text, 0, 4096)):
-                    lang = m[1]
+                if lang is None:
+                    lang = markup_lang(text)
                 m = ADDRESS.search(address if address is not None else text)
                 suffix = (m[2] if m and m[2] in SUFFIXES else m[1].rstrip(".").rpartition(".")[2].lower()) if m else ""
                 outside.append(told(lang[:2].lower() if lang else None, DECLARED_RIGHT) + told(SUFFIXES.get(suffix), SUFFIX_RIGHT))
