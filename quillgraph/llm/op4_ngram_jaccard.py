@@ -9,15 +9,16 @@ three steps, each of which keeps every link:
    row, as their fate is known. A column block counts, and returns to each row block how many of each
    class's n-grams it found elsewhere. The summed counts discard all classes below the bound.
 2. Prefixes. Among the rest, n-grams are ordered by how many classes have them. A pair that overlaps enough for
-   the threshold shares one of the rarest n - ceil(3n/4) + 1 n-grams of each, so only these are posted.
-3. Products. Within the posting lists, pairs whose sizes differ too much for the threshold are discarded, the others'
-   overlaps are counted from their whole sets. Instead of all pairs, each list first pairs its classes
-   with one leader, and components are joined; a list within one component has nothing left to find. When
-   few pairs across components remain, or after ROUNDS rounds, all of those are counted. Lists of the same classes are one. So a group of
-   thousands of near copies costs a few products each, and still no link between different components is missed.
-   Before that last count the rows are compared modulo 2: each class's n-grams are dealt to PARITY * 64 places and a
-   bit tells whether a place got an odd number. Two classes' bits differ at no more places than n-grams are in one
-   set only, so pairs whose bits differ too often for the threshold are discarded with no link lost.
+   the threshold shares one of the rarest n - ceil(3n/4) + 1 n-grams of each, so only these are posted, each with
+   its class's size n and the number `a` of the class's shared n-grams from this one on. Lists of the same classes are one.
+3. Products. A pair's first common n-gram is in the lists, and there its overlap is at most the lesser `a` of the two. So a
+   pair whose sizes differ too much, or with 7 * least(a, b) < 3 * (n + m), is discarded where it would be formed, and no link is
+   lost, as 7 * overlap >= 3 * (n + m) is the threshold itself. Of the others the overlaps are counted from their whole sets. First
+   each list pairs its classes with one leader, the class with the largest share of shared n-grams: in a group of near copies
+   the one that the others vary. Components are joined; then all pairs across components that the bounds leave are counted, in lists
+   that still span several. Of such a pair the smaller class must be dense, 7a >= 6n, so classes that merely share
+   a passage, and hold much else, don't meet each other, and lists without a dense class small enough for them let go of them.
+   A group of thousands of near copies costs a few products each.
 
 What the result holds are components, so links within one component need not all be known.
 
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import checkpointed, mix, release, table, text_chunks, words
@@ -47,10 +48,6 @@ N = 5
 OVERLAP, UNION = 3, 4
 #: N-grams of a row block, and of a column block, about.
 ROW_BLOCK, COLUMN_BLOCK = 2_000_000, 1_000_000
-#: Rounds with leaders, and pairs for each posting from which another round is worth it.
-ROUNDS, PAIRS_A_POSTING = 6, 1
-#: 64-bit words of a class's parities.
-PARITY = 16
 #: Postings of a task: what is left of the lists is not spread thinner.
 POSTINGS_A_TASK = 100_000
 #: Ids that are sent to every task, at most.
@@ -230,25 +227,6 @@ def candidates(docs: DataFrame, n: int, columns: int) -> DataFrame:
     return found.groupBy("block").applyInArrow(decide, "cls long")
 
 
-def parities(grams: np.ndarray) -> np.ndarray:
-    """For each of PARITY * 64 places whether an odd number of the n-grams falls there, as 64-bit words."""
-    place = (grams & np.uint64(64 * PARITY - 1)).astype(np.int64)
-    return np.packbits((np.bincount(place, minlength=64 * PARITY) & 1).astype(np.uint8)).view("<i8")
-
-
-def with_parities(postings: DataFrame, sets: DataFrame) -> DataFrame:
-    """The postings with p0, p1, ... of their class."""
-    names = [f"p{k}" for k in range(PARITY)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            words = np.array([parities(np.frombuffer(g.as_py(), "<u8")) for g in rows.column(1)], dtype=np.int64).reshape(-1, PARITY)
-            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(np.ascontiguousarray(w)) for w in words.T)], names=["of", *names])
-
-    found = sets.select("cls", "grams").mapInArrow(run, "of long, " + ", ".join(f"{p} long" for p in names)).dropDuplicates(["of"])
-    return postings.join(found, F.col("cls") == F.col("of")).drop("of")
-
-
 def gather(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """cls, n, grams (little-endian 64-bit hashes, ascending) of the wanted id, cls; rows may repeat."""
     if wanted.count() <= BROADCAST_ROWS:
@@ -267,7 +245,7 @@ def gather(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """h, cls, n: the rarest n-grams of each class, of those that another class has: step 2."""
+    """h, df, cls, n, shared, a: the rarest n-grams of each class, of those that another class has, with the number of the class's shared n-grams, and of those from this one on: step 2."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -282,10 +260,11 @@ def prefixes(sets: DataFrame) -> DataFrame:
     posted = sets.mapInArrow(spread, "h long, cls long, n long")
     often = posted.groupBy(F.col("h").alias("gram")).agg(F.count("*").alias("df")).where(F.col("df") > 1)
     shared = posted.join(often, F.col("h") == F.col("gram")).select("h", "cls", "n", "df")
-    ranked = shared.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("grams"))
+    ranked = shared.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("grams")).withColumn("shared", F.size("grams").cast("long"))
     # Of the prefix of n - ceil(3n/4) + 1 n-grams, those that no other class has come first.
-    length = F.col("n") - F.ceil(F.lit(OVERLAP) * F.col("n") / F.lit(UNION)) + 1 - (F.col("n") - F.size("grams"))
-    return ranked.withColumn("length", length.cast("int")).where(F.col("length") > 0).select(F.explode(F.slice("grams", 1, F.col("length"))).alias("g"), "cls", "n").select("g.h", "cls", "n")
+    length = F.col("n") - F.ceil(F.lit(OVERLAP) * F.col("n") / F.lit(UNION)) + 1 - (F.col("n") - F.col("shared"))
+    listed = ranked.withColumn("length", length.cast("int")).where(F.col("length") > 0).select(F.posexplode(F.slice("grams", 1, F.col("length"))).alias("pos", "g"), "cls", "n", "shared")
+    return listed.select("g.h", "g.df", "cls", "n", "shared", (F.col("shared") - F.col("pos")).alias("a"))
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -310,56 +289,60 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def one_of_equals(postings: DataFrame) -> DataFrame:
-    """The posting lists without those that hold the same classes as another: they would only find the same pairs again."""
-    names = postings.groupBy("h").agg(F.count("*").alias("k"), F.sum(F.shiftright(F.xxhash64("cls"), 8)).alias("a"), F.sum(F.shiftright(F.xxhash64(F.lit("b"), "cls"), 8)).alias("b"))
-    kept = names.where("k > 1").groupBy("k", "a", "b").agg(F.min("h").alias("kept")).select("kept")
+    """The posting lists without those that hold the same classes as another: they would only find the same pairs again, and later in the order of n-grams."""
+    names = postings.groupBy("h").agg(F.first("df").alias("df"), F.count("*").alias("k"), F.sum(F.shiftright(F.xxhash64("cls"), 8)).alias("a"), F.sum(F.shiftright(F.xxhash64(F.lit("b"), "cls"), 8)).alias("b"))
+    kept = names.where("k > 1").groupBy("k", "a", "b").agg(F.min(F.struct("df", "h"))["h"].alias("kept")).select("kept")
     return postings.join(kept, F.col("h") == F.col("kept"), "left_semi")
 
 
+def within(n: Column, a: Column, m: Column, b: Column) -> Column:
+    """Whether sets of n and m n-grams can overlap enough if they have nothing in common before the n-gram from which on a and b of theirs are shared."""
+    fits = F.lit(OVERLAP) * F.greatest(n, m) <= F.lit(UNION) * F.least(n, m)
+    return fits & (F.lit(OVERLAP + UNION) * F.least(a, b) >= F.lit(OVERLAP) * (n + m))
+
+
+def with_leaders(postings: DataFrame) -> DataFrame:
+    """u, v: of each posting list all pairs with its leader that the bounds leave."""
+    lead = postings.groupBy(F.col("h").alias("gram")).agg(F.max_by(F.struct("cls", "n", "a"), F.struct(F.col("shared") / F.col("n"), "cls")).alias("lead"))
+    both = postings.join(lead, (F.col("h") == F.col("gram")) & (F.col("cls") != F.col("lead.cls")) & within(F.col("n"), F.col("a"), F.col("lead.n"), F.col("lead.a")))
+    return both.select(F.least("cls", "lead.cls").alias("u"), F.greatest("cls", "lead.cls").alias("v")).distinct()
+
+
+def across(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """u, v: all pairs of different components that the bounds leave in a posting list."""
+    named = postings.join(labels, F.col("cls") == F.col("node"), "left").select("h", "cls", "n", "a", F.coalesce("root", "cls").alias("comp")).withColumn("dense", F.lit(OVERLAP + UNION) * F.col("a") >= F.lit(2 * OVERLAP) * F.col("n"))
+    # Lists within one component are done with, and a class leaves those without a dense class small enough for it.
+    lists = named.groupBy(F.col("h").alias("gram")).agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.min(F.when(F.col("dense"), F.col("n"))).alias("least")).where(F.col("first") < F.col("last"))
+    open_ = (F.col("h") == F.col("gram")) & (F.lit(OVERLAP) * (F.col("n") + F.col("least")) <= F.lit(OVERLAP + UNION) * F.col("a"))
+    live = checkpointed(named.join(lists, open_).select("h", "cls", "n", "a", "comp", "dense"))
+    large = live.select("h", F.col("cls").alias("u"), "n", "a", F.col("comp").alias("cu"))
+    small = live.where("dense").select(F.col("h").alias("g"), F.col("cls").alias("v"), F.col("n").alias("m"), F.col("a").alias("b"), F.col("comp").alias("cv"))
+    # Of equal sizes both are dense where the bounds hold.
+    first = (F.col("m") < F.col("n")) | (F.col("m") == F.col("n")) & (F.col("v") < F.col("u"))
+    met = large.join(small, (F.col("h") == F.col("g")) & (F.col("cu") != F.col("cv")) & first & within(F.col("n"), F.col("a"), F.col("m"), F.col("b")))
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     """node, root of the classes that have links and are not their component's root."""
     spark = docs.sparkSession
     grams = classes.agg(F.sum("n")).first()[0] or 0
-    nothing = spark.createDataFrame([], "node long, root long")
     if not grams:
-        return nothing
+        return spark.createDataFrame([], "node long, root long")
     kept = candidates(docs, n, max(1, -(-grams // COLUMN_BLOCK))).distinct()
     wanted = checkpointed(classes.join(kept, "cls").select("id", "cls"))
     sets = checkpointed(gather(docs, wanted, n))
-    postings = checkpointed(prefixes(sets.dropDuplicates(["cls"])).withColumn("comp", F.col("cls")))
+    postings = checkpointed(prefixes(sets.dropDuplicates(["cls"])))
     tasks = 1 + postings.count() // POSTINGS_A_TASK
     postings = checkpointed(one_of_equals(postings).coalesce(tasks))
     release(spark)
-    edges = spark.createDataFrame([], "u long, v long")
-    fits = F.lit(OVERLAP) * F.greatest("n", "m") <= F.lit(UNION) * F.least("n", "m")
-    for round_no in range(ROUNDS + 1):
-        # Lists within one component are done with.
-        mark = F.xxhash64(F.lit(round_no), "cls")
-        lists = postings.groupBy(F.col("h").alias("gram")).agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min_by(F.struct("cls", "n", "comp"), mark).alias("lead")).where(F.col("least") < F.col("most")).coalesce(tasks)
-        live = checkpointed(postings.join(lists, F.col("h") == F.col("gram")).select("h", "cls", "n", "comp", "lead").coalesce(tasks))
-        spans = live.groupBy("h", "comp").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own")).coalesce(tasks)
-        rows, left = spans.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("own")) / 2)).first()
-        if not left:
-            break
-        last = round_no == ROUNDS or round_no > 0 and left <= PAIRS_A_POSTING * rows
-        if last:
-            sides = checkpointed(with_parities(live.drop("lead"), sets).coalesce(tasks))
-            a = sides.select("h", F.col("cls").alias("u"), "n", F.col("comp").alias("cu"), *(F.col(f"p{k}").alias(f"a{k}") for k in range(PARITY)))
-            b = sides.select("h", F.col("cls").alias("v"), F.col("n").alias("m"), F.col("comp").alias("cv"), *(F.col(f"p{k}").alias(f"b{k}") for k in range(PARITY)))
-            differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(PARITY)), F.lit(0))
-            # An overlap of OVERLAP / (OVERLAP + UNION) of both sizes leaves so many n-grams in one set only.
-            near = F.lit(UNION + OVERLAP) * differ <= F.lit(UNION - OVERLAP) * (F.col("n") + F.col("m"))
-            pairs = a.join(b, "h").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & fits & near).select("u", "v").distinct()
-        else:
-            pairs = live.where(F.col("comp") != F.col("lead.comp")).select(F.col("cls").alias("u"), F.col("lead.cls").alias("v"), "n", F.col("lead.n").alias("m")).where(fits).select("u", "v").distinct()
-        found = linked(pairs, sets)
-        edges = checkpointed(edges.unionByName(found).coalesce(tasks))
-        release(spark)
-        labels = connected(edges)
-        if last:
-            return labels
-        postings = checkpointed(live.drop("lead", "comp").join(labels, F.col("cls") == F.col("node"), "left").select("h", "cls", "n", F.coalesce("root", "cls").alias("comp")).coalesce(tasks))
-    return labels if round_no else nothing
+    edges = checkpointed(linked(with_leaders(postings), sets))
+    labels = connected(edges)
+    rest = checkpointed(linked(across(postings, labels), sets))
+    release(spark)
+    if not rest.head(1):
+        return labels
+    return connected(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(rest))
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, n: int = N) -> DataFrame:
