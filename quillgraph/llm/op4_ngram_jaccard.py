@@ -115,16 +115,17 @@ def sets_of(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarr
 
 
 def name_sets(docs: DataFrame, n: int) -> DataFrame:
-    """id, text -> id, cls, n (size; 0 where the set is empty)."""
+    """id, text and any other columns -> id, cls, n (size; 0 where the set is empty) and the other columns."""
+    others = docs.schema.fields[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             size, name = np.zeros(rows.num_rows, np.int64), np.zeros(rows.num_rows, np.uint64)
             for first, s, c, _, _ in sets_of(rows.column(1), n):
                 size[first : first + len(s)], name[first : first + len(s)] = s, c
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(name.view(np.int64)), pa.array(size)], names=["id", "cls", "n"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(name.view(np.int64)), pa.array(size), *rows.columns[2:]], names=["id", "cls", "n", *(f.name for f in others)])
 
-    return docs.mapInArrow(run, "id long, cls long, n long")
+    return docs.mapInArrow(run, ", ".join(["id long, cls long, n long", *(f"{f.name} {f.dataType.simpleString()}" for f in others)]))
 
 
 def candidates(docs: DataFrame, n: int, columns: int) -> DataFrame:
@@ -228,7 +229,7 @@ def candidates(docs: DataFrame, n: int, columns: int) -> DataFrame:
 
 
 def gather(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """cls, n, grams (little-endian 64-bit hashes, ascending) of the wanted id, cls; rows may repeat."""
+    """cls, n, grams (little-endian 64-bit hashes, ascending) of the wanted id, mark, cls; rows may repeat."""
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
 
@@ -241,7 +242,8 @@ def gather(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     [pa.array(name[keep].view(np.int64)), pa.array(size[keep]), pa.array([h[at[i] : at[i + 1]].astype("<u8").tobytes() for i in keep], pa.binary())], names=["cls", "n", "grams"]
                 )
 
-    return docs.join(wanted.select(F.col("id").alias("wanted_id"), "cls"), F.col("id") == F.col("wanted_id")).select("text", "cls").mapInArrow(run, "cls long, n long, grams binary")
+    asked = wanted.select(F.col("id").alias("wanted_id"), F.col("mark").alias("wanted_mark"), "cls")
+    return docs.join(asked, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("mark") == F.col("wanted_mark"))).select("text", "cls").mapInArrow(run, "cls long, n long, grams binary")
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
@@ -330,7 +332,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     if not grams:
         return spark.createDataFrame([], "node long, root long")
     kept = candidates(docs, n, max(1, -(-grams // COLUMN_BLOCK))).distinct()
-    wanted = checkpointed(classes.join(kept, "cls").select("id", "cls"))
+    wanted = checkpointed(classes.join(kept, "cls").select("id", "mark", "cls"))
     sets = checkpointed(gather(docs, wanted, n))
     postings = checkpointed(prefixes(sets.dropDuplicates(["cls"])))
     tasks = 1 + postings.count() // POSTINGS_A_TASK
@@ -345,13 +347,18 @@ def link_classes(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     return connected(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(rest))
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, n: int = N) -> DataFrame:
-    """id_col, n_shingles, component_id (the smallest id reachable by links) of each row."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def judged(df: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """id, cls, n, mark (a hash of the text) of each row; and cls, id (its smallest, null if it has none), comp of each class."""
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("mark"))
     named = checkpointed(name_sets(docs, n))
-    classes = checkpointed(named.where(F.col("n") > 0).groupBy("cls").agg(F.min("id").alias("id"), F.max("n").alias("n")))
+    classes = checkpointed(named.where(F.col("n") > 0).groupBy("cls").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("one"), F.max("n").alias("n")).select("cls", "n", "one.id", "one.mark"))
     labels = checkpointed(link_classes(docs, classes, n))
-    rooted = classes.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "id", F.coalesce("root", "cls").alias("comp"))
+    return named, classes.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "id", F.coalesce("root", "cls").alias("comp"))
+
+
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, n: int = N) -> DataFrame:
+    """id_col, n_shingles, component_id (the smallest id reachable by links) of each row."""
+    named, rooted = judged(df, id_col, text_col, n)
     least = rooted.groupBy(F.col("comp").alias("c")).agg(F.min("id").alias("component_id"))
     # Only components of several classes change their name.
     moved = rooted.join(least, F.col("comp") == F.col("c")).select(F.col("cls").alias("of"), "component_id")
@@ -360,15 +367,28 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, n: int = N) -> Da
     )
 
 
-def keep_one(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of docs whose id names their component, one of each id."""
-    judged = checkpointed(near_duplicates(docs, id_col, text_col))
-    dropped = checkpointed(judged.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("dropped_id")).distinct())
-    repeated = judged.groupBy(id_col).count().where("count > 1").limit(1).count() > 0
-    if dropped.count() <= BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
-    kept = docs.join(dropped, docs[id_col] == dropped["dropped_id"], "left_anti")
-    return kept.dropDuplicates([id_col]) if repeated else kept
+def keep_one(df: DataFrame, id_col: str, text_col: str, n: int = N) -> DataFrame:
+    """Of each component one row of df: that with the smallest id, a null id only if there is no other, and of several texts under that
+    id one. Rows without words are components of their own and all stay. Rows whose texts aren't linked stay though they share an id."""
+    named, rooted = judged(df, id_col, text_col, n)
+    rows = checkpointed(named.where(F.col("n") > 0).join(rooted.select(F.col("cls").alias("of"), "comp"), F.col("cls") == F.col("of")).select("id", "mark", "comp"))
+    first = rows.groupBy(F.col("comp").alias("c")).agg(F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("first"))
+    others = rows.join(first, F.col("comp") == F.col("c")).where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))))
+    kept = without(df, id_col, text_col, others.select("id", "mark").distinct())
+    again = checkpointed(rows.groupBy("id", "mark").count().where("count > 1").select("id", "mark"))
+    if not again.head(1):
+        return kept
+    once = without(kept, id_col, text_col, again)
+    repeated = without(kept, id_col, text_col, again, how="left_semi").withColumn("mark of text", F.xxhash64(F.col(text_col)))
+    return once.unionByName(repeated.dropDuplicates([id_col, "mark of text"]).drop("mark of text"))
+
+
+def without(df: DataFrame, id_col: str, text_col: str, listed: DataFrame, how: str = "left_anti") -> DataFrame:
+    """The rows of df that are not listed by id and hash of the text; with how="left_semi" those that are."""
+    listed = checkpointed(listed.select(F.col("id").alias("listed id"), F.col("mark").alias("listed mark")))
+    if listed.count() <= BROADCAST_ROWS:
+        listed = F.broadcast(listed)
+    return df.join(listed, df[id_col].cast("long").eqNullSafe(listed["listed id"]) & (F.xxhash64(df[text_col]) == listed["listed mark"]), how)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
