@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import table
+from quillgraph.llm.common import table, tidy
 
 #: Labelled rows that are learned from, and terms of the lexicon, at most.
 MAX_TRAINING, LEXICON = 16_000, 4096
@@ -232,7 +232,7 @@ def learn(texts: DataFrame, id_col: str, text_col: str, labels: DataFrame, label
         names = sorted({*counts[0], *counts[1]})
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][t] for t in names], pa.int64()), pa.array([counts[0][t] for t in names], pa.int64())], names=["term", "toxic", "other"])
 
-    terms = known.where("NOT calibrates").select("text", "toxic").mapInArrow(count_terms, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    terms = known.where("NOT calibrates").select("text", "toxic").mapInArrow(tidy(count_terms), "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     strong = terms.where((F.col("toxic") >= MIN_TOXIC) | (F.col("term") == "")).orderBy(F.col("term") != "", F.desc((F.col("toxic") + 0.5) / (F.col("other") + 0.5)), F.desc("toxic"), "term").limit(2 * LEXICON).collect()
     n_toxic, n_other = next(((r.toxic, r.other) for r in strong if r.term == ""), (0, 0))
     model = Model()
@@ -251,7 +251,7 @@ def learn(texts: DataFrame, id_col: str, text_col: str, labels: DataFrame, label
                 part = rows.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([features(t.as_py(), weights) for t in part.column(1)], pa.list_(pa.float64()))], names=["id", "toxic", "calibrates", "x"])
 
-    rows = known.select(F.col("id").cast("string").alias("id"), "text", "toxic", "calibrates").mapInArrow(describe, "id string, toxic int, calibrates boolean, x array<double>")
+    rows = known.select(F.col("id").cast("string").alias("id"), "text", "toxic", "calibrates").mapInArrow(tidy(describe), "id string, toxic int, calibrates boolean, x array<double>")
     got = sorted(rows.collect(), key=lambda r: (r.id, r.x))
     x, y, held = np.array([r.x for r in got]), np.array([r.toxic for r in got], dtype=np.float64), np.array([r.calibrates for r in got])
     boost(x[~held], y[~held], model)
@@ -270,7 +270,7 @@ def score(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
                 part = rows.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score([t.as_py() for t in part.column(1)]))], names=["id", "score"])
 
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(tidy(run), f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def remainder(column: Column, n: int) -> Column:
@@ -296,7 +296,7 @@ def keep_clean(docs: DataFrame, model: Model, reject_at: float = REJECT_AT) -> D
                 part = rows.slice(at, 256)
                 yield part.filter(pa.array(model.score([t.as_py() for t in part.column(at_text)]) < reject_at))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

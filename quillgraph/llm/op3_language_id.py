@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import checkpointed, mix, table, text_chunks
+from quillgraph.llm.common import checkpointed, mix, table, text_chunks, tidy
 
 LANGUAGES = ("en", "de", "fr", "es")
 MAX_TRAINING, BUCKETS = 8_000, 1 << 15
@@ -85,7 +85,7 @@ def learn(df: DataFrame, text_col: str, declared: Column, languages: Sequence[st
 
     # At most languages x BUCKETS rows reach the driver.
     totals = np.ones((len(languages), BUCKETS))
-    for r in sample.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
+    for r in sample.mapInArrow(tidy(count), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
         totals[r.lang, r.bucket] += r.n
     return (np.log(totals) - np.log(totals.sum(axis=1, keepdims=True))).astype(np.float32)
 
@@ -140,7 +140,7 @@ def evidence(df: DataFrame, key: str, text_col: str, model: np.ndarray, declared
             )
 
     found = df.select(F.col(key).alias("key"), F.col(text_col).alias("body"), declared.cast("string").alias("lang"), url.cast("string").alias("url"), host.cast("string").alias("host")).mapInArrow(
-        run, f"key {kind}, host string, n long, text array<double>, outside array<double>"
+        tidy(run), f"key {kind}, host string, n long, text array<double>, outside array<double>"
     )
     # The parent of a host is what follows its first dot; a name without a dot loses its digits (src12 -> src).
     dotted = F.regexp_replace("host", r"^[^.]*\.", "")

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import checkpointed, mix, release, table, text_chunks, words
+from quillgraph.llm.common import checkpointed, mix, release, table, text_chunks, tidy, words
 from quillgraph.llm.components import connected
 
 N = 5
@@ -125,7 +125,7 @@ def name_sets(docs: DataFrame, n: int) -> DataFrame:
                 size[first : first + len(s)], name[first : first + len(s)] = s, c
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(name.view(np.int64)), pa.array(size), *rows.columns[2:]], names=["id", "cls", "n", *(f.name for f in others)])
 
-    return docs.mapInArrow(run, ", ".join(["id long, cls long, n long", *(f"{f.name} {f.dataType.simpleString()}" for f in others)]))
+    return docs.mapInArrow(tidy(run), ", ".join(["id long, cls long, n long", *(f"{f.name} {f.dataType.simpleString()}" for f in others)]))
 
 
 def candidates(docs: DataFrame, n: int, columns: int) -> DataFrame:
@@ -223,7 +223,7 @@ def candidates(docs: DataFrame, n: int, columns: int) -> DataFrame:
             shared[has] += count
         return pa.table({"cls": pa.array(name[UNION * shared >= OVERLAP * size])})
 
-    posted = docs.select("text").mapInArrow(post, "column int, block long, keys binary, who binary")
+    posted = docs.select("text").mapInArrow(tidy(post), "column int, block long, keys binary, who binary")
     found = posted.groupBy("column").applyInArrow(find, "block long, body binary, head boolean")
     return found.groupBy("block").applyInArrow(decide, "cls long")
 
@@ -243,7 +243,7 @@ def gather(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 )
 
     asked = wanted.select(F.col("id").alias("wanted_id"), F.col("mark").alias("wanted_mark"), "cls")
-    return docs.join(asked, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("mark") == F.col("wanted_mark"))).select("text", "cls").mapInArrow(run, "cls long, n long, grams binary")
+    return docs.join(asked, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("mark") == F.col("wanted_mark"))).select("text", "cls").mapInArrow(tidy(run), "cls long, n long, grams binary")
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
                     [pa.array(np.frombuffer(b"".join(grams), "<i8")), pa.array(np.repeat(rows.column("cls").to_numpy()[part], size[part])), pa.array(np.repeat(size[part], size[part]))], names=["h", "cls", "n"]
                 )
 
-    posted = sets.mapInArrow(spread, "h long, cls long, n long")
+    posted = sets.mapInArrow(tidy(spread), "h long, cls long, n long")
     often = posted.groupBy(F.col("h").alias("gram")).agg(F.count("*").alias("df")).where(F.col("df") > 1)
     shared = posted.join(often, F.col("h") == F.col("gram")).select("h", "cls", "n", "df")
     ranked = shared.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("grams")).withColumn("shared", F.size("grams").cast("long"))
@@ -287,7 +287,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield rows.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     # Sets may repeat where rows do, so pairs may: components do not mind.
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "gu", "gv").mapInArrow(product, "u long, v long")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "gu", "gv").mapInArrow(tidy(product), "u long, v long")
 
 
 def one_of_equals(postings: DataFrame) -> DataFrame:

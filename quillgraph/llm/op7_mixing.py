@@ -59,9 +59,13 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, scale: float = S
     return leveled.withColumn("final", final).select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("weight") * F.col("final"), F.col("cap").cast("double"))).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str, source_col: str, size: Column, weights: Sequence[int] = WEIGHTS, scale: float = SCALE, most: int = MOST) -> DataFrame:
-    """id_col, source, size, source_size, target, copies, taken of each row of df; size is a long expression over df."""
-    sized = checkpointed(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")).withColumn("hash", hash_of("id")))
+def sizes_of(df: DataFrame, id_col: str, source_col: str, size: Column) -> DataFrame:
+    """source, size, id, hash of each row of df."""
+    return checkpointed(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")).withColumn("hash", hash_of("id")))
+
+
+def thresholds(sized: DataFrame, weights: Sequence[int] = WEIGHTS, scale: float = SCALE, most: int = MOST) -> DataFrame:
+    """source, source_size, target, whole (passes), upto (hashes up to it are taken once more): one row a source, sent to every task if they are few."""
     totals = checkpointed(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, scale, most))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     few = totals.count() <= BROADCAST_ROWS
@@ -86,17 +90,34 @@ def mix(df: DataFrame, id_col: str, source_col: str, size: Column, weights: Sequ
         if step <= LEVELS:
             ends = checkpointed(joined.select(*columns, F.coalesce("f.at.below", F.lit(0)).alias("before"), F.coalesce("f.at.bucket", F.lit(0)).alias("prefix")))
         else:
-            # The threshold: all hashes up to it are taken. Without one in the last bucket, those below the bucket.
+            # Without one in the last bucket, the hashes below the bucket.
             ends = joined.select(*columns, F.coalesce(F.col("f.at.bucket"), F.shiftleft(F.col("e.prefix"), HASH_BITS - LEVEL_BITS * LEVELS) - 1).alias("upto"))
-    b, e = sized.alias("b"), ends.alias("e")
+    return small(checkpointed(ends))
+
+
+def mix(df: DataFrame, id_col: str, source_col: str, size: Column, weights: Sequence[int] = WEIGHTS, scale: float = SCALE, most: int = MOST) -> DataFrame:
+    """id_col, source, size, source_size, target, copies, taken of each row of df; size is a long expression over df."""
+    sized = sizes_of(df, id_col, source_col, size)
+    b, e = sized.alias("b"), thresholds(sized, weights, scale, most).alias("e")
     copies = F.col("e.whole") + (F.col("b.hash") <= F.col("e.upto")).cast("long")
-    return b.join(small(e), F.col("b.source").eqNullSafe(F.col("e.source"))).select(
+    return b.join(e, F.col("b.source").eqNullSafe(F.col("e.source"))).select(
         F.col("b.id").alias(id_col), "b.source", "b.size", "e.source_size", "e.target", copies.alias("copies"), (copies * F.col("b.size")).alias("taken")
     )
 
 
+def take(df: DataFrame, id_col: str, source_col: str, size: Column, weights: Sequence[int] = WEIGHTS, scale: float = SCALE, most: int = MOST) -> DataFrame:
+    """The rows of df with their columns, each as often as the mix takes it. With few sources no row is shuffled."""
+    ends = thresholds(sizes_of(df, id_col, source_col, size), weights, scale, most)
+    d, e = df.alias("d"), ends.select(F.col("source").alias("mixed source"), "whole", "upto").alias("e")
+    copies = F.col("e.whole") + (hash_of(f"d.{id_col}") <= F.col("e.upto")).cast("long")
+    taken = d.join(e, F.col(f"d.{source_col}").eqNullSafe(F.col("e.mixed source"))).where(copies > 0)
+    return taken.select("d.*", F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("mixed copy")).drop("mixed copy")
+
+
 def words_in(column: str) -> Column:
-    return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")
+    """The number of words. Each becomes one letter, so no list of a text's words is made."""
+    letters = F.regexp_replace(F.regexp_replace(F.col(column), WORD, "x"), "[^x]+", "")
+    return F.coalesce(F.length(letters), F.lit(0)).cast("long")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

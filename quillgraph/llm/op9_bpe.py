@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm.common import batch, table
+from quillgraph.llm.common import batch, table, tidy
 
 #: Parts, and pre-tokens (and pairs of tokens), that a worker remembers.
 PARTS, PIECES = 80_000, 150_000
@@ -221,7 +221,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern:
                 part = rows.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([coder.encode(t or "") for t in part.column(1).to_pylist()], type=pa.list_(pa.int32()))], names=["id", "ids"])
 
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(tidy(run), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, id_col: str, ids_col: str, ranks_path: str, pattern: str) -> DataFrame:
@@ -233,7 +233,7 @@ def decode(df: DataFrame, id_col: str, ids_col: str, ranks_path: str, pattern: s
         for rows in batches:
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([coder.decode(i or []) for i in rows.column(1).to_pylist()], type=pa.binary())], names=["id", "decoded"])
 
-    return df.select(df[id_col].alias("id"), df[ids_col].alias("ids")).mapInArrow(run, f"id {kind}, decoded binary").withColumnRenamed("id", id_col)
+    return df.select(df[id_col].alias("id"), df[ids_col].alias("ids")).mapInArrow(tidy(run), f"id {kind}, decoded binary").withColumnRenamed("id", id_col)
 
 
 def digests(df: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern: str) -> DataFrame:
@@ -252,10 +252,8 @@ def digests(df: DataFrame, id_col: str, text_col: str, ranks_path: str, pattern:
                 ids_sha.append(sha(" ".join(map(decimal.__getitem__, ids)).encode()))
                 decoded_sha.append(sha(coder.decode(ids)))
             yield batch(out, id=rows.column(0), n_tokens=n, ids_sha256=ids_sha, decoded_sha256=decoded_sha)
-        # The worker lives on and runs other stages' tasks: what the batches took goes back.
-        pa.default_memory_pool().release_unused()
 
-    return df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")).mapInArrow(tidy(run), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def vocabulary() -> tuple[str, str]:
