@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), where docs is what the stage before it kept, and returns a DataFrame that is
 written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+In all stages a null text is an empty one, rows that repeat an id are rows of their own, columns other than those of
+documents are dropped, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,28 +22,24 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose calibrated toxicity is 0.7 or more; the model learns from the labelled ones among docs."""
+    """Drops documents whose calibrated toxicity is 0.7 or more, each row by its own text; the model learns from the labelled ones among docs. Empty texts stay unless most labelled ones are toxic."""
     model = op2_toxicity.fitted(spark, sf_dir, docs)
     return op2_toxicity.keep_clean(docs.select(*COLUMNS), model)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which no language is probable, or that hold no letters."""
+    """Drops documents of which no language is probable, or that hold no letters (so empty texts go). Rows of one id, or all without one, go only together: they stay if any of them does. A null source is a host of its own."""
     return op3_language_id.keep_known(docs.select(*COLUMNS), "doc_id", "text", F.col("lang"), F.col("source"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near duplicates the document with the smallest id."""
+    """Keeps of each component of near duplicates the document with the smallest id (without an id only if none has one). Different texts under one id are told apart; texts without words all stay."""
     return op4_ngram_jaccard.keep_one(docs.select(*COLUMNS), "doc_id", "text")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixes the sources to their target weights: a document comes as often as the mix takes it, up to twice or not at all."""
-    docs = docs.select(*COLUMNS)
-    mixed = op7_mixing.mix(docs, "doc_id", "source", op7_mixing.words_in("text")).groupBy(F.col("doc_id").alias("mixed_id"), F.col("source").alias("mixed_source")).agg(F.max("copies").alias("copies"))
-    same = docs["doc_id"].eqNullSafe(mixed["mixed_id"]) & docs["source"].eqNullSafe(mixed["mixed_source"])
-    taken = docs.join(mixed, same).where(F.col("copies") > 0)
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    """Mixes the sources to their target weights: a document comes as often as the mix takes it, up to twice or not at all. Null is a source; rows of one id and source are taken alike; texts without words count nothing and come with their hash."""
+    return op7_mixing.take(docs.select(*COLUMNS), "doc_id", "source", op7_mixing.words_in("text"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
