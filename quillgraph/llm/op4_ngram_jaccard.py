@@ -348,12 +348,12 @@ def link_classes(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
 
 
 def judged(df: DataFrame, id_col: str, text_col: str, n: int) -> tuple[DataFrame, DataFrame]:
-    """id, cls, n, mark (a hash of the text) of each row; and cls, id (its smallest, null if it has none), comp of each class."""
+    """id, cls, n, mark (a hash of the text) of each row; and cls, id (its smallest, null if it has none), mark, comp of each class."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("mark"))
     named = checkpointed(name_sets(docs, n))
     classes = checkpointed(named.where(F.col("n") > 0).groupBy("cls").agg(F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("one"), F.max("n").alias("n")).select("cls", "n", "one.id", "one.mark"))
     labels = checkpointed(link_classes(docs, classes, n))
-    return named, classes.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "id", F.coalesce("root", "cls").alias("comp"))
+    return named, classes.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "id", "mark", F.coalesce("root", "cls").alias("comp"))
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, n: int = N) -> DataFrame:
@@ -371,9 +371,12 @@ def keep_one(df: DataFrame, id_col: str, text_col: str, n: int = N) -> DataFrame
     """Of each component one row of df: that with the smallest id, a null id only if there is no other, and of several texts under that
     id one. Rows without words are components of their own and all stay. Rows whose texts aren't linked stay though they share an id."""
     named, rooted = judged(df, id_col, text_col, n)
-    rows = checkpointed(named.where(F.col("n") > 0).join(rooted.select(F.col("cls").alias("of"), "comp"), F.col("cls") == F.col("of")).select("id", "mark", "comp"))
-    first = rows.groupBy(F.col("comp").alias("c")).agg(F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("first"))
-    others = rows.join(first, F.col("comp") == F.col("c")).where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark"))))
+    rooted = checkpointed(rooted)
+    # Copies are one class here, so only classes meet by component; a class of very many copies is a skewed key of the last join, which Spark splits.
+    first = rooted.groupBy(F.col("comp").alias("c")).agg(F.min(F.struct(F.col("id").isNull(), "id", "mark")).alias("first"))
+    firsts = rooted.join(first, F.col("comp") == F.col("c")).select(F.col("cls").alias("of"), F.col("first.id").alias("first_id"), F.col("first.mark").alias("first_mark"))
+    rows = checkpointed(named.where(F.col("n") > 0).join(firsts, F.col("cls") == F.col("of")).select("id", "mark", "first_id", "first_mark"))
+    others = rows.where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))))
     kept = without(df, id_col, text_col, others.select("id", "mark").distinct())
     again = checkpointed(rows.groupBy("id", "mark").count().where("count > 1").select("id", "mark"))
     if not again.head(1):
