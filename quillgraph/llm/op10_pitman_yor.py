@@ -7,21 +7,28 @@ words before, each by its whole 64-bit hash, and one for the beginning of a text
 Seating is sampled by Gibbs: a sweep takes all customers of one dish in one restaurant from their tables
 and seats them anew one by one, given the parent's probability of the dish and the restaurant's other
 tables; as seating one by one ignores what follows, a new arrangement is accepted by the Metropolis
-ratio of the normalisers. A new table is a customer of the parent, whose tables are sampled alike. Of more than EXACT
-customers of a dish in a restaurant, those beyond are seated in steps of a sixteenth, at the
-probability that held when the step began. After BURN sweeps, the predictive probabilities of SAMPLES sweeps are averaged;
-they score the texts.
-
-Everything follows the corpus. Words are dealt into column blocks by hash; a block's restaurants' dishes need of
-other blocks only the totals of customers and tables of each context. These are a table with a row a context, summed over
-all blocks by a pass and joined with each block's own contexts (so all blocks sweep in parallel given the last pass's totals).
-Documents are cut into row blocks; each sends its distinct pairs of word and context once to each column block, with the rows
-they are in, and gets back one sum a document. Of pairs that the model does not know, the weight of the context
-is joined from the table of contexts.
-
-No block is skewed: words that make HOT_SHARE of the training tokens are dealt by word and context, and what concerns all of such a
-word (its parent's tables) is a table of 2 / HOT_SHARE rows at most, as are frequent contexts. Pairs that make HOT_PAIR of the
-tokens are 1 / HOT_PAIR at most: they are sent to every task and scored on the spot. Counts are summed within each row block before they are sent.
+ratio of the normalisers. Customers of a dish beyond EXACT are seated in steps of a 256th, at the
+probability that held when the step began. While contexts are seated, the parent's probabilities are those of
+one table a dish and context; then a table is a customer of the parent, whose seating is sampled alike. After BURN sweeps the
+tables of SAMPLES sweeps are averaged; they score the texts.
+
+The predictive probabilities sum to one: a context's totals are the sums of its own dishes, and so are the parent's.
+
+Everything follows the corpus and moves as packed messages between blocks, each a task's work whatever the corpus:
+
+1. Row blocks (runs of training texts) send the counts of their pairs of word and context to the word's column block.
+2. Column blocks of words merge them, know each word's count and in how many contexts it is, and send the pairs on to
+   the context's block. A block of contexts holds whole restaurants, seats them, and sends dishes and tables to the word's block.
+3. Column blocks of words sum the tables that came as customers, and seat the parent.
+4. Row blocks (of all texts) ask the words' blocks for their distinct pairs once, with the rows they are in, and get back sums
+   a document. Of a pair that the model does not know, the context's weight is asked of the context's block.
+
+Words that are frequent, at most CODES, are written as codes of two bytes; their restaurants' totals are a table
+of as many rows that every task has. It is a way of writing: other words travel as hashes, with the totals of their context.
+
+No block is skewed: words and contexts that make HOT_SHARE of the training tokens are dealt by word and context, and their
+totals are summed apart, 2 / HOT_SHARE at most. Pairs that make HOT_PAIR of the tokens are 1 / HOT_PAIR at most: they are sent to
+every task and scored on the spot. Counts are summed within each row block before they are sent.
 
 What is learned comes from the training rows only; discounts are estimated from their counts of counts.
 
@@ -33,6 +40,7 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +48,116 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import checkpointed, mix, release, table, text_chunks, words
+from quillgraph.llm.common import checkpointed, mix, release, table, text_chunks, tidy, words
 
 STRENGTH, ROOT_STRENGTH = 1.0, 1.0
-BURN, SAMPLES, EXACT = 2, 3, 64
+BURN, SAMPLES, EXACT = 2, 3, 4096
 HOT_SHARE, HOT_PAIR = 1 / 1024, 1 / 65536
-NO_WORDS = np.zeros(0, dtype=np.uint64)
-#: Tokens of a row block, and of a column block, about.
-ROW_BLOCK, COLUMN_BLOCK = 2_000_000, 4_000_000
+#: Words with a code, at most, and the share of the tokens that one of them makes, about.
+CODES, CODE_SHARE = 65_533, 1 / 262_144
+#: Tokens of a row block, and of a column block, about; rows of a row block at most.
+ROW_BLOCK, COLUMN_BLOCK, ROWS = 2_000_000, 4_000_000, 65_535
 END = mix(np.array([0xE4D], dtype=np.uint64))[0]
 SEED = 20240607
 #: Stands for a null id within the row blocks.
 NO_ID = -(2**63)
 
+#: A message goes to a column block; x, y and block are numbers of its kind, the rest are arrays.
+ARRAYS = "abcdefgh"
+SCHEMA = pa.schema([("column", pa.int32()), ("kind", pa.int32()), *((n, pa.int64()) for n in ("block", "x", "y")), *((n, pa.binary()) for n in ARRAYS)])
+SQL_SCHEMA = "column int, kind int, block long, x long, y long, " + ", ".join(f"{n} binary" for n in ARRAYS)
+PAIRS, WORDS, EXTRA, CONTEXTS, QUERY, HEAD, ANSWER, LATE, OF_CONTEXT, OF_WORD, OF_ALL, HOT = range(12)
+
+
+def message(column: int, kind: int, *arrays: bytes, block: int = 0, x: int = 0, y: int = 0) -> tuple:
+    return (column, kind, block, x, y, *arrays, *[None] * (len(ARRAYS) - len(arrays)))
+
+
+def numbers(kind: int, key: np.ndarray, x: np.ndarray, y: np.ndarray | None = None) -> list[tuple]:
+    """Rows that are summed by key."""
+    y = np.zeros(len(key), np.int64) if y is None else y
+    return [message(0, kind, block=k, x=i, y=j) for k, i, j in zip(key.tolist(), x.tolist(), y.tolist(), strict=True)]
+
+
+def rows_of(messages: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*messages, strict=True) if messages else [[]] * len(SCHEMA)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, SCHEMA, strict=True)], schema=SCHEMA)
+
+
+def table_of(messages: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([rows_of(messages)], schema=SCHEMA)
+
+
+def put(x: np.ndarray, kind: str) -> bytes:
+    raw = np.ascontiguousarray(x, kind).tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.Codec("zstd", 1).compress(raw, asbytes=True) if raw else b"")
+
+
+def got(body: bytes, kind: str) -> np.ndarray:
+    size = int.from_bytes(body[:8], "little")
+    return np.frombuffer(pa.Codec("zstd").decompress(body[8:], size, asbytes=True) if size else b"", kind)
+
+
+def find_in(names: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each asked value its place among the sorted names, and whether it is there."""
+    at = np.searchsorted(names, asked)
+    at[at == len(names)] = 0
+    return at, names[at] == asked if len(names) else np.zeros(len(asked), bool)
+
+
+@dataclass
+class Codes:
+    """names: sorted hashes of frequent words, a code each; hot: sorted hashes of words and contexts that are dealt apart."""
+
+    names: np.ndarray
+    hot: np.ndarray
+
+    def put(self, x: np.ndarray) -> tuple[bytes, bytes]:
+        at, has = find_in(self.names, x)
+        return put(np.where(has, at, 0xFFFF), "<u2"), put(x[~has], "<u8")
+
+    def got(self, short: bytes, rare: bytes) -> np.ndarray:
+        code = got(short, "<u2")
+        out = np.empty(len(code), np.uint64)
+        has = code != 0xFFFF
+        out[has], out[~has] = self.names[code[has]], got(rare, "<u8")
+        return out
+
+    def column(self, of: np.ndarray, other: np.ndarray, columns: int) -> np.ndarray:
+        """The column block of each `of`; of a hot one that of both."""
+        is_hot = find_in(self.hot, of)[1]
+        key = mix(np.where(is_hot, of ^ mix(other + np.uint64(1)), of) ^ np.uint64(0xC01))
+        return ((key >> np.uint64(40)) % np.uint64(columns)).astype(np.int64)
+
+    def put_pairs(self, first: np.ndarray, second: np.ndarray) -> tuple[bytes, ...]:
+        """Five arrays; the firsts are sorted."""
+        start = starts_of(first)
+        return (*self.put(first[start]), put(np.diff(np.append(start, len(first))), "<u4"), *self.put(second))
+
+    def got_pairs(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(self.got(row["a"], row["b"]), got(row["c"], "<u4")), self.got(row["d"], row["e"])
+
+
+def starts_of(*sorted_: np.ndarray) -> np.ndarray:
+    """Where another value, or pair of values, begins."""
+    new = np.ones(len(sorted_[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_])
+    return np.flatnonzero(new)
+
+
+def parts(column: np.ndarray, columns: int) -> Iterator[tuple[int, slice]]:
+    """The filled columns of sorted ones, and where they are."""
+    cut = np.searchsorted(column, np.arange(columns + 1))
+    return ((c, slice(cut[c], cut[c + 1])) for c in range(columns) if cut[c + 1] > cut[c])
+
+
+def joined(found: list[np.ndarray], kind: str = "<u8") -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *found])
+
+
+def pair_key(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return word ^ mix(context + np.uint64(1))
+
 
 def tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """By runs of rows: first row, rows, and of each token its row (from 0), word and context; an end closes each text."""
@@ -70,35 +175,30 @@ def tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield first, n, rows, full, context
 
 
-def pack(word: np.ndarray, payload: list[np.ndarray]) -> tuple[bytes, ...]:
-    """Of rows sorted by word: the distinct words, how often each comes, and the columns of payload as they are."""
-    start = np.flatnonzero(np.diff(word, prepend=word[:1] + np.uint64(1))) if len(word) else np.zeros(0, np.int64)
-    times = np.diff(np.append(start, len(word)))
-    return (word[start].astype("<u8").tobytes(), times.astype("<u4").tobytes(), *(p.tobytes() for p in payload))
-
-
-def starts_of(word: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Where another pair begins in sorted pairs."""
-    new = np.ones(len(word), dtype=bool)
-    new[1:] = (word[1:] != word[:-1]) | (context[1:] != context[:-1])
-    return np.flatnonzero(new)
-
-
-def find_in(names: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each asked value its place among the sorted names, and whether it is there."""
-    at = np.searchsorted(names, asked)
-    at[at == len(names)] = 0
-    return at, names[at] == asked if len(names) else np.zeros(len(asked), bool)
-
+def seat(customers: np.ndarray, fresh: np.ndarray, grows: np.ndarray, discount: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Seats each dish's customers one by one: tables, and the log of the product of the normalisers.
 
-def column_of(word: np.ndarray, context: np.ndarray, columns: int, hot: np.ndarray) -> np.ndarray:
-    """The column block of a word, of a hot one that of word and context."""
-    key = np.where(find_in(hot, word)[1], mix(word ^ mix(context + np.uint64(1))), word) if len(hot) else word
-    return ((key >> np.uint64(40)) % np.uint64(columns)).astype(np.int64)
+    Weight of a new table is fresh + grows * tables, of the present ones the seated customers less discount * tables.
+    """
+    tables, norm = np.ones(len(customers), dtype=np.int64), np.zeros(len(customers))
+    active, seated = np.flatnonzero(customers > 1), 1
+    while len(active):
+        step = 1 if seated < EXACT else seated // 256
+        t = tables[active]
+        new = fresh[active] + grows[active] * t
+        both = new + np.maximum(seated - discount * t, 0)
+        here = np.minimum(step, customers[active] - seated)
+        chance = new / both
+        opened = (rng.random(len(active)) < chance).astype(np.int64) if step == 1 else rng.binomial(here, np.minimum(chance, 1.0))
+        tables[active] = t + opened
+        norm[active] += here * np.log(both)
+        seated += step
+        active = active[customers[active] > seated]
+    return tables, norm
 
 
-def frequent(docs: DataFrame) -> np.ndarray:
-    """Sorted words, at most 2 / HOT_SHARE, among them all that make HOT_SHARE of the training tokens."""
+def frequent(docs: DataFrame) -> Codes:
+    """The frequent words of the training texts, the beginning of a text and its end; hot are all that make HOT_SHARE of the tokens, and at most 2 / HOT_SHARE."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -107,8 +207,8 @@ def frequent(docs: DataFrame) -> np.ndarray:
         def flush() -> pa.RecordBatch:
             word, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            # What stays below in each run is less than half of HOT_SHARE together.
-            often = n >= HOT_SHARE / 2 * size
+            # What stays below in each run is less than half of the share together.
+            often = n >= CODE_SHARE / 2 * size
             return pa.RecordBatch.from_arrays([pa.array([*word[often].view(np.int64).tolist(), None], pa.int64()), pa.array(np.append(n[often], size))], names=["word", "n"])
 
         for rows in batches:
@@ -121,15 +221,18 @@ def frequent(docs: DataFrame) -> np.ndarray:
         if size:
             yield flush()
 
-    found = docs.where(~F.col("held_out")).select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = docs.where(~F.col("held_out")).select("text").mapInArrow(tidy(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     found = checkpointed(found)
     size = (found.where("word IS NULL").first() or (None, 0))[1]
-    rows = found.where(F.col("word").isNotNull() & (F.col("n") >= HOT_SHARE / 2 * size)).select("word").collect()
-    return np.sort(np.array([r.word for r in rows], dtype=np.int64).view(np.uint64))
+    rows = found.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(CODES).collect()
+    name = lambda wanted: np.array([r.word for r in rows if r.n >= wanted], dtype=np.int64).view(np.uint64)
+    hot = np.unique(name(HOT_SHARE / 2 * size))
+    beginning = np.zeros(int(find_in(hot, np.array([END]))[1][0]), np.uint64)
+    return Codes(np.unique(np.concatenate([name(0), np.array([0, END], dtype=np.uint64)])), np.unique(np.concatenate([hot, beginning])))
 
 
-def count_words(docs: DataFrame, columns: int, hot: np.ndarray = NO_WORDS) -> DataFrame:
-    """column, body: the training tokens' distinct words of each column block, with their contexts and counts."""
+def count_pairs(docs: DataFrame, columns: int, codes: Codes) -> DataFrame:
+    """Messages of pairs to blocks of contexts, with the number of contexts of words whose pair comes again; words; sums: steps 1 and 2."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -137,17 +240,14 @@ def count_words(docs: DataFrame, columns: int, hot: np.ndarray = NO_WORDS) -> Da
 
         def flush() -> pa.RecordBatch:
             word, context = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            column = column_of(word, context, columns, hot)
+            held.clear()
+            column = codes.column(word, context, columns)
             order = np.lexsort((context, word, column))
             word, context, column = word[order], context[order], column[order]
             new = starts_of(word, context)
             times = np.diff(np.append(new, len(word)))
             word, context, column = word[new], context[new], column[new]
-            cut = np.searchsorted(column, np.arange(columns + 1))
-            filled = [c for c in range(columns) if cut[c + 1] > cut[c]]
-            parts = [pack(word[s], [context[s].astype("<u8"), times[s].astype("<u4")]) for c in filled for s in (slice(cut[c], cut[c + 1]),)]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), *(pa.array([p[i] for p in parts], pa.binary()) for i in range(4))], names=["column", "word", "times", "context", "count"])
+            return rows_of([message(c, PAIRS, *codes.put_pairs(word[s], context[s]), put(times[s], "<u4")) for c, s in parts(column, columns)])
 
         for rows in batches:
             for _, _, _, word, context in tokens(rows.column(0)):
@@ -160,285 +260,243 @@ def count_words(docs: DataFrame, columns: int, hot: np.ndarray = NO_WORDS) -> Da
             yield flush()
 
     def merge(rows: pa.Table) -> pa.Table:
-        word = np.repeat(_joined(rows, "word", "<u8"), _joined(rows, "times", "<u4"))
-        context, count = _joined(rows, "context", "<u8"), _joined(rows, "count", "<u4").astype(np.int64)
+        here = int(rows.column("column")[0].as_py())
+        found = [(*codes.got_pairs(r), got(r["f"], "<u4")) for r in rows.to_pylist()]
+        word, context, times = joined([f[0] for f in found]), joined([f[1] for f in found]), joined([f[2] for f in found], "<u4")
         order = np.lexsort((context, word))
-        word, context, count = word[order], context[order], count[order]
+        word, context, times = word[order], context[order], times[order].astype(np.int64)
         new = starts_of(word, context)
-        packed = pack(word[new], [context[new], np.add.reduceat(count, new).astype("<i8")])
-        return pa.table({"column": rows.column("column").slice(0, 1), **{n: pa.array([p], pa.binary()) for n, p in zip(("word", "times", "context", "count"), packed, strict=True)}})
-
-    counted = docs.where(~F.col("held_out")).select("text").mapInArrow(count, "column int, word binary, times binary, context binary, count binary")
-    return counted.groupBy("column").applyInArrow(merge, "column int, word binary, times binary, context binary, count binary")
-
-
-def _joined(rows: pa.Table, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(rows.column(name).drop_null().to_pylist()), kind)
-
-
-class Block:
-    """The restaurants' dishes whose words lie in one column block: one row a (word, context)."""
-
-    def __init__(self, column: int, word: bytes, times: bytes, context: bytes, count: bytes):
-        self.column = column
-        self.word = np.frombuffer(word, "<u8")
-        self.of = np.repeat(np.arange(len(self.word)), np.frombuffer(times, "<u4"))
-        self.context = np.frombuffer(context, "<u8")
-        #: The block's contexts, sorted, and each row's place among them.
-        self.names, self.at = np.unique(self.context, return_inverse=True)
-        self.customers = self.tables = np.zeros(0)
-        self.count = np.frombuffer(count, "<i8")
-        self.total = np.bincount(self.of, self.count, len(self.word)).astype(np.int64)
-
-    def sample(self, totals: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Averages over the sampled sweeps, given the totals of all blocks: each row's probability, each word's parent probability, tables
-        of each row, and customers and tables of each word in the parent."""
-        rng = np.random.default_rng([SEED, self.column])
-        d, d0, tables, customers = totals["discount"], totals["root_discount"], self.tables, self.customers
-        place, is_hot = find_in(totals["hot"], self.word)
-        place = place[is_hot]
-        base = 1.0 / (totals["words"] + 1)
-        seats = np.ones(len(self.count), dtype=np.int64)
-        norm = np.full(len(self.count), -np.inf)
-        root_seats, root_norm = np.ones(len(self.word), dtype=np.int64), np.full(len(self.word), -np.inf)
-        guests = np.bincount(self.of, seats, len(self.word)).astype(np.int64)
-        # Hot words' rows are in many blocks: their parent's tables are those of the pass before.
-        guests[is_hot], root_seats[is_hot] = totals["hot_guests"][place], totals["hot_seats"][place]
-        several, root_last = np.flatnonzero(self.count > 1), None
-        parent = self._parent(guests, root_seats, totals, d0, base)
-        sums = [np.zeros(len(self.count)), np.zeros(len(self.word)), np.zeros(len(self.count)), np.zeros(len(self.word)), np.zeros(len(self.word))]
-        share = (STRENGTH + d * tables) / (STRENGTH + customers)
-        for sweep in range(BURN + SAMPLES):
-            others = np.maximum(tables[self.at[several]] - seats[several], 0)
-            new, z = seat(self.count[several], (STRENGTH + d * others) * parent[self.of[several]], d * parent[self.of[several]], d, rng)
-            taken = np.log(rng.random(len(several))) < z - norm[several]
-            seats[several[taken]], norm[several[taken]] = new[taken], z[taken]
-            own = np.bincount(self.of, seats, len(self.word)).astype(np.int64)
-            guests = own.copy()
-            guests[is_hot] = totals["hot_guests"][place]
-            new, z = seat(guests, np.full(len(guests), (ROOT_STRENGTH + d0 * totals["root_tables"]) * base), np.full(len(guests), d0 * base), d0, rng)
-            # The parent's guests changed: its old arrangement is comparable only where they did not.
-            same = root_last == guests if root_last is not None else np.zeros(len(guests), dtype=bool)
-            taken = ~same | (np.log(rng.random(len(guests))) < z - root_norm)
-            root_seats[taken], root_norm[taken] = new[taken], z[taken]
-            root_seats[is_hot] = totals["hot_seats"][place]
-            root_last = guests
-            parent = self._parent(guests, root_seats, totals, d0, base)
+        word, context, times = word[new], context[new], np.add.reduceat(times, new)
+        start = starts_of(word)
+        kinds = np.diff(np.append(start, len(word)))
+        total = np.add.reduceat(times, start)
+        place, is_hot = find_in(codes.hot, word[start])
+        out = [message(here, WORDS, put(word[start][~is_hot], "<u8"), put(total[~is_hot], "<u8"), put(kinds[~is_hot], "<u4"))]
+        out += numbers(OF_WORD, place[is_hot], total[is_hot], kinds[is_hot])
+        few = kinds[~is_hot]
+        out += numbers(OF_ALL, np.arange(4), np.array([times.sum(), len(few), (times == 1).sum(), (few == 1).sum()]), np.array([len(word), 0, (times == 2).sum(), (few == 2).sum()]))
+        code, has = find_in(codes.names, context)
+        customers, dishes = np.bincount(code[has], times[has], len(codes.names)).astype(np.int64), np.bincount(code[has], minlength=len(codes.names))
+        seen = np.flatnonzero(dishes)
+        out += numbers(OF_CONTEXT, seen, customers[seen], dishes[seen])
+        kinds = np.repeat(kinds, kinds)
+        column = codes.column(context, word, columns)
+        order = np.lexsort((word, context, column))
+        word, context, times, kinds, column = word[order], context[order], times[order], kinds[order], column[order]
+        for c, s in parts(column, columns):
+            out.append(message(c, PAIRS, *codes.put_pairs(context[s], word[s]), put(times[s], "<u4"), put(kinds[s][times[s] > 1], "<u4")))
+        return table_of(out)
+
+    counted = docs.where(~F.col("held_out")).select("text").mapInArrow(tidy(count), SQL_SCHEMA)
+    return checkpointed(counted.groupBy("column").applyInArrow(merge, SQL_SCHEMA))
+
+
+def summed(messages: DataFrame, codes: Codes) -> dict[int, np.ndarray]:
+    """x and y of the kinds that are summed, by key: some numbers of each hot word and of each code."""
+    out = {OF_CONTEXT: np.zeros((len(codes.names), 2), np.int64), OF_WORD: np.zeros((len(codes.hot), 2), np.int64), OF_ALL: np.zeros((4, 2), np.int64)}
+    for r in messages.where(F.col("kind").isin(*out)).groupBy("kind", "block").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect():
+        out[r.kind][r.block] = r.x, r.y
+    return out
+
+
+def seat_contexts(counted: DataFrame, columns: int, codes: Codes, told: dict) -> DataFrame:
+    """Messages of pairs with their tables to blocks of words; tables beyond one a pair, by word; contexts; sums; hot pairs: the rest of step 2."""
+    d, d0, base = told["discount"], told["root_discount"], 1.0 / (told["words"] + 1)
+    least = max(2, int(np.ceil(HOT_PAIR * told["tokens"])))
+
+    def run(rows: pa.Table) -> pa.Table:
+        here = int(rows.column("column")[0].as_py())
+        rng = np.random.default_rng([SEED, here])
+        found = []
+        for r in rows.to_pylist():
+            context, word = codes.got_pairs(r)
+            times = got(r["f"], "<u4").astype(np.int64)
+            kinds = np.zeros(len(times), np.int64)
+            kinds[times > 1] = got(r["g"], "<u4")
+            found.append((context, word, times, kinds))
+        context, word, times, kinds = (joined([f[i] for f in found], k) for i, k in enumerate(("<u8", "<u8", "<i8", "<i8")))
+        order = np.lexsort((word, context))
+        context, word, times, kinds = context[order], word[order], times[order], kinds[order]
+        start = starts_of(context)
+        names = context[start]
+        of = np.repeat(np.arange(len(names)), np.diff(np.append(start, len(context))))
+        code, has_code = find_in(codes.names, names)
+        # A hot context is in several blocks: its other tables are those of one a dish.
+        elsewhere = np.where(find_in(codes.hot, names)[1], told["dishes"][code] - np.bincount(of), 0)
+        several = np.flatnonzero(times > 1)
+        place, is_hot = find_in(codes.hot, word[several])
+        parents_kinds = np.where(is_hot, told["hot_kinds"][place] if len(codes.hot) else 0, kinds[several])
+        parent = (parents_kinds - d0 + (ROOT_STRENGTH + d0 * told["words"]) * base) / (ROOT_STRENGTH + told["pairs"])
+        seats, norm = np.ones(len(times), np.int64), np.full(len(several), -np.inf)
+        sums = np.full(len(times), SAMPLES, np.int64)
+        sums[several] = 0
+        for sweep in range(BURN + SAMPLES if len(several) else 0):
+            tables = np.bincount(of, seats).astype(np.int64) + elsewhere
+            others = tables[of[several]] - seats[several]
+            new, z = seat(times[several], (STRENGTH + d * others) * parent, d * parent, d, rng)
+            taken = np.log(rng.random(len(several))) < z - norm
+            seats[several[taken]], norm[taken] = new[taken], z[taken]
             if sweep >= BURN:
-                for s, x in zip(sums, ((self.count - d * seats) / (STRENGTH + customers[self.at]) + share[self.at] * parent[self.of], parent, seats, own, root_seats), strict=True):
-                    s += x / SAMPLES
-        return tuple(sums)
-
-    @staticmethod
-    def _parent(guests: np.ndarray, tables: np.ndarray, totals: dict, d0: float, base: float) -> np.ndarray:
-        return (guests - d0 * tables + (ROOT_STRENGTH + d0 * totals["root_tables"]) * base) / (ROOT_STRENGTH + totals["root_customers"])
-
-
-def seat(customers: np.ndarray, fresh: np.ndarray, grows: np.ndarray, discount: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Seats each dish's customers one by one: tables, and the log of the product of the normalisers.
-
-    Weight of a new table is fresh + grows * tables, of the present ones the seated customers less discount * tables.
-    """
-    tables, norm = np.ones(len(customers), dtype=np.int64), np.zeros(len(customers))
-    active, seated = np.flatnonzero(customers > 1), 1
-    while len(active):
-        step = 1 if seated < EXACT else seated // 16
-        t = tables[active]
-        new = fresh[active] + grows[active] * t
-        both = new + np.maximum(seated - discount * t, 0)
-        here = np.minimum(step, customers[active] - seated)
-        chance = new / both
-        opened = (rng.random(len(active)) < chance).astype(np.int64) if step == 1 else rng.binomial(here, np.minimum(chance, 1.0))
-        tables[active] = t + opened
-        norm[active] += here * np.log(both)
-        seated += step
-        active = active[customers[active] > seated]
-    return tables, norm
-
-
-BLOCK = ("column", "word", "times", "context", "count")
-
-
-def blocks_in(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    for rows in batches:
-        for i in range(rows.num_rows):
-            yield Block(*(rows.column(n)[i].as_py() for n in BLOCK))
-
-
-class Contexts:
-    """Customers and tables of each context: a table, context, customers, tables."""
-
-    def __init__(self, rows: DataFrame):
-        self.rows = rows
-
-    def of(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Those of a few contexts, on the driver."""
-        found = {r.context: (r.customers, r.tables) for r in self.rows.where(F.col("context").isin(names.view(np.int64).tolist())).collect()}
-        pairs = np.array([found.get(int(c), (0, 0)) for c in names.view(np.int64)], dtype=np.float64).reshape(-1, 2)
-        return pairs[:, 0], pairs[:, 1]
-
-
-class Shares:
-    """By context the share that goes to the parent, asked for one by one."""
-
-    def __init__(self, totals: dict):
-        self.totals = totals
-
-    def __getitem__(self, context: np.uint64) -> float:
-        customers, tables = self.totals["contexts"].of(np.array([context], dtype=np.uint64))
-        return float((STRENGTH + self.totals["discount"] * tables[0]) / (STRENGTH + customers[0]))
-
-
-def plain(totals: dict) -> dict:
-    """What tasks can be sent: a few numbers, and those of hot words."""
-    return {k: v for k, v in totals.items() if k != "contexts"}
-
-
-def flat(column: int, names: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), column, np.int32)), pa.array(names.view(np.int64)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["column", "context", "a", "b"])
-
-
-FLAT = "column int, context long, a long, b long"
-#: In the place of a column: hot words' rows, and those of the whole.
-OF_HOT, OF_ALL = -1, -2
-
-
-def summed(rows: DataFrame) -> DataFrame:
-    return checkpointed(rows.groupBy(F.least("column", F.lit(0)).alias("kind"), "context").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
-
-
-def small(sums: DataFrame, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """a and b of each hot word, and of the whole."""
-    of_hot, whole = np.zeros((len(hot), 2)), np.zeros((6, 2))
-    for r in sums.where("kind < 0").collect():
-        if r.kind == OF_ALL:
-            whole[r.context] = r.a, r.b
-        else:
-            of_hot[np.searchsorted(hot, np.uint64(r.context % (1 << 64)))] = r.a, r.b
-    return of_hot, whole
-
-
-def members(blocks: DataFrame, hot: np.ndarray) -> DataFrame:
-    """Of each block its contexts with their customers and dishes, and the same of hot words; of the whole a few counts."""
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks_in(batches):
-            yield flat(b.column, b.names, np.bincount(b.at, b.count), np.bincount(b.at))
-            kinds, is_hot = np.bincount(b.of, minlength=len(b.word)), find_in(hot, b.word)[1]
-            yield flat(OF_HOT, b.word[is_hot], b.total[is_hot], kinds[is_hot])
-            kinds = kinds[~is_hot]
-            few = np.array([len(kinds), b.count.sum(), (b.count == 1).sum(), (b.count == 2).sum(), (kinds == 1).sum(), (kinds == 2).sum()])
-            yield flat(OF_ALL, np.arange(6, dtype=np.uint64), few, few * 0)
-
-    return blocks.mapInArrow(describe, FLAT)
-
-
-def with_totals(blocks: DataFrame, contexts: DataFrame, hot: np.ndarray, use, schema: str) -> DataFrame:
-    """use(block) of each block, when it knows the totals of its contexts."""
-    asked = members(blocks, hot).where("column >= 0").select("column", "context").join(contexts, "context").select(F.col("column").alias("of"), "context", F.col("customers").cast("double").alias("customers"), F.col("tables").cast("double").alias("tables"))
-
-    def run(mine: pa.Table, told: pa.Table) -> pa.Table:
-        block = Block(*(mine.column(n)[0].as_py() for n in BLOCK))
-        order = np.argsort(told.column("context").to_numpy().view(np.uint64))
-        block.customers, block.tables = (told.column(n).to_numpy()[order] for n in ("customers", "tables"))
-        return use(block)
-
-    return blocks.groupBy("column").cogroup(asked.groupBy("of")).applyInArrow(run, schema)
-
-
-def learn(blocks: DataFrame, hot: np.ndarray = NO_WORDS) -> dict:
-    """Totals over all blocks: what a block has to know of the others. A few numbers, some for each hot word, and a table of contexts."""
-    first = summed(members(blocks, hot))
-    of_hot, whole = small(first, hot)
-    few = whole[:, 0]
-    kinds = of_hot[:, 1]
+                sums[several] += seats[several]
+        customers, tables = np.bincount(of, times).astype(np.int64), np.bincount(of, sums).astype(np.int64)
+        out = [message(here, CONTEXTS, put(names[~has_code], "<u8"), put(customers[~has_code], "<u4"), put(tables[~has_code], "<u4"))]
+        out += numbers(OF_CONTEXT, code[has_code], customers[has_code], tables[has_code])
+        often = np.flatnonzero(times >= least)
+        for i in often.tolist():
+            out.append(message(0, HOT, put(np.array([word[i], context[i]]), "<u8"), put(np.array([times[i], sums[i], customers[of[i]], tables[of[i]]]), "<i8")))
+        more = np.flatnonzero(sums > SAMPLES)
+        by_word, inverse = np.unique(word[more], return_inverse=True)
+        extra = np.bincount(inverse, sums[more] - SAMPLES, len(by_word)).astype(np.int64)
+        place, is_hot = find_in(codes.hot, by_word)
+        out += numbers(OF_WORD, place[is_hot], extra[is_hot])
+        by_word, extra = by_word[~is_hot], extra[~is_hot]
+        column = codes.column(by_word, by_word, columns)
+        order = np.argsort(column, kind="stable")
+        by_word, extra, column = by_word[order], extra[order], column[order]
+        out += [message(c, EXTRA, put(by_word[s], "<u8"), put(extra[s], "<u4")) for c, s in parts(column, columns)]
+        column = codes.column(word, context, columns)
+        order = np.lexsort((context, word, column))
+        column, rare = column[order], ~has_code[of[order]]
+        for c, s in parts(column, columns):
+            i, r = order[s], order[s][rare[s]]
+            totals = put(np.concatenate([customers[of[r]], tables[of[r]]]), "<u4")
+            out.append(message(c, PAIRS, *codes.put_pairs(word[i], context[i]), put(times[i], "<u4"), put(sums[i][times[i] > 1], "<u4"), totals))
+        return table_of(out)
+
+    return checkpointed(counted.where(F.col("kind") == PAIRS).groupBy("column").applyInArrow(run, SQL_SCHEMA))
+
+
+def root_seats(guests: np.ndarray, told: dict, seed: int) -> np.ndarray:
+    """Tables of each word in the parent, of which it is guests customers."""
+    d0, base = told["root_discount"], 1.0 / (told["words"] + 1)
+    fresh = np.full(len(guests), (ROOT_STRENGTH + d0 * told["words"]) * base)
+    rng = np.random.default_rng([SEED, seed])
+    seats, norm = np.ones(len(guests), np.int64), np.full(len(guests), -np.inf)
+    for _ in range(BURN + 1):
+        new, z = seat(guests, fresh, np.full(len(guests), d0 * base), d0, rng)
+        taken = np.log(rng.random(len(guests))) < z - norm
+        seats[taken], norm[taken] = new[taken], z[taken]
+    return seats
+
+
+def seat_words(counted: DataFrame, seated: DataFrame, told: dict) -> DataFrame:
+    """Words with their counts, customers (times SAMPLES) and tables in the parent; x and y are the sums of the latter two: step 3."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        here = int(rows.column("column")[0].as_py())
+        rows = rows.to_pylist()
+        own = next((r for r in rows if r["kind"] == WORDS), None)
+        if own is None:
+            return table_of([])
+        word, total, kinds = got(own["a"], "<u8"), got(own["b"], "<u8"), got(own["c"], "<u4")
+        customers = kinds.astype(np.int64) * SAMPLES
+        for r in rows:
+            if r["kind"] == EXTRA:
+                customers[find_in(word, got(r["a"], "<u8"))[0]] += got(r["b"], "<u4")
+        seats = root_seats(customers // SAMPLES, told, here)
+        return table_of([message(here, WORDS, put(word, "<u8"), put(total, "<u8"), put(customers, "<u8"), put(seats, "<u4"), x=int(customers.sum()), y=int(seats.sum()))])
+
+    both = counted.where(F.col("kind") == WORDS).unionByName(seated.where(F.col("kind") == EXTRA))
+    return checkpointed(both.groupBy("column").applyInArrow(run, SQL_SCHEMA))
+
+
+@dataclass
+class Model:
+    """pairs and contexts are messages of seat_contexts, words those of seat_words; told holds numbers, some for each code and each hot word."""
+
+    codes: Codes
+    columns: int
+    told: dict
+    pairs: DataFrame
+    words: DataFrame
+    contexts: DataFrame
+    hot_pairs: np.ndarray  # word, context, log10 of the probability, log10 of the word's count + 1
+
+    def parent(self, customers: np.ndarray, seats: np.ndarray) -> np.ndarray:
+        """The parent's probability of words of so many customers (times SAMPLES) and tables."""
+        return parent_of(self.told, customers, seats)
+
+
+def parent_of(told: dict, customers: np.ndarray, seats: np.ndarray) -> np.ndarray:
+    d0 = told["root_discount"]
+    return (customers / SAMPLES - d0 * seats + (ROOT_STRENGTH + d0 * told["root_tables"]) / (told["words"] + 1)) / (ROOT_STRENGTH + told["root_customers"])
+
+
+def context_weight(told: dict, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """The share of a context that goes to the parent; tables are times SAMPLES."""
+    return (STRENGTH + told["discount"] * tables / SAMPLES) / (STRENGTH + customers)
+
+
+def in_context(told: dict, times: np.ndarray, seats: np.ndarray, customers: np.ndarray, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """A known pair's probability; seats and tables are times SAMPLES."""
+    return (times - told["discount"] * seats / SAMPLES) / (STRENGTH + customers) + context_weight(told, customers, tables) * parent
+
+
+def learn(docs: DataFrame, columns: int) -> Model:
+    """docs: text, held_out."""
+    codes = frequent(docs)
+    counted = count_pairs(docs, columns, codes)
+    release(docs.sparkSession)
+    sums = summed(counted, codes)
+    (tokens_, pairs), (vocabulary, _), once_twice, root_once_twice = sums[OF_ALL].tolist()
+    total, kinds = sums[OF_WORD].T
     discount = lambda once, twice: float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.95))
-    contexts = first.where("kind = 0").select("context", F.col("a").alias("customers"), F.col("b").alias("tables"))
-    dishes = contexts.agg(F.sum("tables")).first()[0] or 0
-    totals = {
-        "words": int(few[0]) + int((kinds > 0).sum()), "tokens": int(few[1]), "discount": discount(few[2], few[3]), "root_discount": discount(few[4] + (kinds == 1).sum(), few[5] + (kinds == 2).sum()),
-        "root_customers": float(dishes), "root_tables": float(few[0] + (kinds > 0).sum()), "hot": hot, "hot_count": of_hot[:, 0], "hot_guests": kinds.astype(np.int64), "hot_seats": np.ones(len(hot), dtype=np.int64),
+    told = {
+        "tokens": tokens_, "pairs": pairs, "words": vocabulary + int((kinds > 0).sum()), "discount": discount(*once_twice), "root_discount": discount(root_once_twice[0] + int((kinds == 1).sum()), root_once_twice[1] + int((kinds == 2).sum())),
+        "hot_count": total, "hot_kinds": kinds, "dishes": sums[OF_CONTEXT][:, 1],
     }
-    if totals["tokens"]:
-        given = plain(totals)
-
-        def sweep(block: Block) -> pa.Table:
-            _, _, seats, guests, root_seats = block.sample(given)
-            is_hot = find_in(given["hot"], block.word)[1]
-            # Whole numbers, so that reruns agree: averages over SAMPLES sweeps are thirds.
-            times = lambda x: np.rint(x * SAMPLES)
-            return pa.Table.from_batches(
-                [
-                    flat(block.column, block.names, times(np.bincount(block.at, seats)), np.zeros(len(block.names))), flat(OF_HOT, block.word[is_hot], times(guests[is_hot]), np.zeros(int(is_hot.sum()))),
-                    flat(OF_ALL, np.zeros(1, np.uint64), times(guests[~is_hot].sum(keepdims=True)), times(root_seats[~is_hot].sum(keepdims=True))),
-                ]
-            )
-
-        swept = summed(with_totals(blocks, contexts, hot, sweep, FLAT))
-        release(blocks.sparkSession)
-        of_hot, whole = small(swept, hot)
-        guests = np.rint(of_hot[:, 0] / SAMPLES).astype(np.int64)
-        d0, base = totals["root_discount"], 1.0 / (totals["words"] + 1)
-        seats, _ = seat(guests, np.full(len(hot), (ROOT_STRENGTH + d0 * totals["root_tables"]) * base), np.full(len(hot), d0 * base), d0, np.random.default_rng(SEED))
-        contexts = contexts.select("context", "customers").join(swept.where("kind = 0").select("context", (F.col("a") / SAMPLES).alias("tables")), "context")
-        totals |= {"hot_guests": guests, "hot_seats": seats, "root_customers": float(whole[0, 0] / SAMPLES + guests.sum()), "root_tables": float(whole[0, 1] / SAMPLES + seats.sum())}
-    return totals | {"contexts": Contexts(contexts)}
-
-
-def logs(block: Block, totals: dict) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of each row's probability, and the parent's probability of each word."""
-    if len(block.tables) < len(block.names):
-        block.customers, block.tables = totals["contexts"].of(block.names)
-    p, parent, *_ = block.sample(totals)
-    return np.log10(p), parent
-
-
-def backoff(totals: dict) -> tuple[Shares, float]:
-    """By context the share that goes to the parent, and the parent's probability of an unknown word."""
-    unknown = (ROOT_STRENGTH + totals["root_discount"] * totals["root_tables"]) / (ROOT_STRENGTH + totals["root_customers"]) / (totals["words"] + 1)
-    return Shares(totals), unknown
-
-
-MODEL = ("word", "times", "context", "p", "upper", "total")
-
-
-def probabilities(blocks: DataFrame, totals: dict) -> DataFrame:
-    """column, and of each block its words and contexts with log10 probabilities of rows and words, counts of words, and the pairs that make HOT_PAIR of the tokens."""
-    given = plain(totals)
-    least = max(2, int(np.ceil(HOT_PAIR * given["tokens"])))
-
-    def run(block: Block) -> pa.Table:
-        p, parent = logs(block, given)
-        place, is_hot = find_in(given["hot"], block.word)
-        total = block.total.astype(np.float64)
-        total[is_hot] = given["hot_count"][place[is_hot]]
-        often = np.flatnonzero(block.count >= least)
-        pairs = np.stack([block.word[block.of[often]].view(np.float64), block.context[often].view(np.float64), p[often], np.log10(total[block.of[often]] + 1.0)])
-        times = np.bincount(block.of, minlength=len(block.word)).astype("<u4")
-        body = (block.word, times, block.context, p, np.log10(parent), total)
-        return pa.table({"column": pa.array([block.column], pa.int32()), **{n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(MODEL, body, strict=True)}, "pairs": pa.array([pairs.T.tobytes()], pa.binary())})
-
-    return checkpointed(with_totals(blocks, totals["contexts"].rows, given["hot"], run, "column int, " + ", ".join(f"{n} binary" for n in (*MODEL, "pairs"))))
-
-
-def pair_key(word: np.ndarray, context: np.ndarray) -> np.ndarray:
-    return word ^ mix(context + np.uint64(1))
-
-
-def score_documents(docs: DataFrame, model: DataFrame, totals: dict, columns: int) -> DataFrame:
-    """id, held_out, n_tokens, n_known, base_score, score."""
-    n, v, hot = totals["tokens"], totals["words"], totals["hot"]
-    pairs = np.frombuffer(b"".join(r.pairs for r in model.select("pairs").collect()), "<f8").reshape(-1, 4)
-    pairs = pairs[np.argsort(pair_key(pairs[:, 0].copy().view(np.uint64), pairs[:, 1].copy().view(np.uint64)))]
-    _, unknown = backoff(totals)
-    log_unknown = float(np.log10(unknown))
-    hot_upper = np.log10(Block._parent(totals["hot_guests"], totals["hot_seats"], totals, totals["root_discount"], 1.0 / (v + 1)))
-    hot_base = np.log10(totals["hot_count"] + 1.0)
-    weights = totals["contexts"].rows.select(F.col("context").alias("of"), "customers", F.log10((STRENGTH + totals["discount"] * F.col("tables")) / (STRENGTH + F.col("customers"))).alias("weight"))
-    # The contexts that make HOT_SHARE of the tokens are 1 / HOT_SHARE at most.
-    often = sorted((r.of % (1 << 64), r.weight) for r in weights.where(F.col("customers") >= max(1.0, HOT_SHARE * n)).collect()) if columns > 1 else []
-    often_names, often_weights = np.array([x for x, _ in often], dtype=np.uint64), np.array([w for _, w in often])
-    sent = docs.sparkSession.sparkContext.broadcast(pairs)
+    seated = seat_contexts(counted, columns, codes, told)
+    sums = summed(seated, codes)
+    told |= {"customers": sums[OF_CONTEXT][:, 0], "tables": sums[OF_CONTEXT][:, 1], "hot_customers": kinds * SAMPLES + sums[OF_WORD][:, 0]}
+    told["hot_seats"] = np.where(kinds > 0, root_seats(told["hot_customers"] // SAMPLES, told, columns), 0)
+    worded = seat_words(counted, seated, told)
+    del counted
+    release(docs.sparkSession)
+    of_rest = worded.agg(F.coalesce(F.sum("x"), F.lit(0)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    told |= {"root_customers": (of_rest[0] + int(told["hot_customers"].sum())) / SAMPLES, "root_tables": of_rest[1] + int(told["hot_seats"].sum())}
+    kind = lambda k: seated.where(F.col("kind") == k)
+    model = Model(codes, columns, told, kind(PAIRS), worded, kind(CONTEXTS), np.zeros((0, 4)))
+    model.hot_pairs = hot_pairs(model, kind(HOT))
+    return model
+
+
+def hot_pairs(model: Model, found: DataFrame) -> np.ndarray:
+    """Of the pairs that make HOT_PAIR of the tokens, 1 / HOT_PAIR at most, what scores them."""
+    told, codes = model.told, model.codes
+    rows = found.select("a", "b").collect()
+    if not rows:
+        return np.zeros((0, 4))
+    word, context = np.array([got(r.a, "<u8") for r in rows]).T
+    times, seats, customers, tables = np.array([got(r.b, "<i8") for r in rows]).T
+    code, has = find_in(codes.names, context)
+    customers, tables = np.where(has, told["customers"][code], customers), np.where(has, told["tables"][code], tables)
+    asked = np.unique(word)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for r in rows.to_pylist():
+                at, has = find_in(asked, got(r["a"], "<u8"))
+                yield pa.RecordBatch.from_arrays([pa.array(at[has]), *(pa.array(got(r[n], k).astype(np.int64)[has]) for n, k in (("b", "<u8"), ("c", "<u8"), ("d", "<u4")))], names=["place", "n", "customers", "seats"])
+
+    n, guests, root = np.zeros((3, len(asked)), np.int64)
+    for r in model.words.select("a", "b", "c", "d").mapInArrow(pick, "place long, n long, customers long, seats long").collect():
+        n[r.place], guests[r.place], root[r.place] = r.n, r.customers, r.seats
+    place, is_hot = find_in(codes.hot, asked)
+    n[is_hot], guests[is_hot], root[is_hot] = (told[k][place[is_hot]] for k in ("hot_count", "hot_customers", "hot_seats"))
+    of = np.searchsorted(asked, word)
+    p = in_context(told, times, seats, customers, tables, model.parent(guests, root)[of])
+    key = np.argsort(pair_key(word, context))
+    return np.stack([word.view(np.float64), context.view(np.float64), np.log10(p), np.log10(n[of] + 1.0)], axis=1)[key]
+
+
+def score_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """id, held_out, n_tokens, n_known, base_score, score: step 4."""
+    told, codes, columns = model.told, model.codes, model.columns
+    n, v = told["tokens"], told["words"]
+    log_unknown = float(np.log10(model.parent(np.zeros(1), np.zeros(1))[0]))
+    code_weight = np.log10(context_weight(told, told["customers"], told["tables"]))
+    hot_parent, hot_base = model.parent(told["hot_customers"], told["hot_seats"]), np.log10(told["hot_count"] + 1.0)
+    sent = docs.sparkSession.sparkContext.broadcast(model.hot_pairs)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_word, hot_context = (sent.value[:, i].copy().view(np.uint64) for i in (0, 1))
@@ -450,40 +508,32 @@ def score_documents(docs: DataFrame, model: DataFrame, totals: dict, columns: in
 
         def flush() -> pa.RecordBatch:
             nonlocal flushes
-            ids, held_out, count, known, base, score = (np.concatenate([h[i] for h in held]) for i in range(6))
-            word, where, row = (np.concatenate([h[i] for h in held]) for i in (6, 7, 8))
-            column = column_of(word, where, columns, hot)
-            order = np.lexsort((row, where, word, column))
-            word, where, row, column = word[order], where[order], row[order], column[order]
-            start = starts_of(word, where)
-            times, ends = np.diff(np.append(start, len(word))), np.append(start, len(word))
-            cut = np.searchsorted(column[start], np.arange(columns + 1))
-            filled = [c for c in range(columns) if cut[c + 1] > cut[c]]
-            parts = [
-                (word[start[s]].astype("<u8").tobytes(), times[s].astype("<u4").tobytes(), where[start[s]].astype("<u8").tobytes(), row[ends[s.start] : ends[s.stop]].astype("<u4").tobytes())
-                for c in filled for s in (slice(cut[c], cut[c + 1]),)
-            ]
+            ids, held_out, count, known, base, score, word, context, row = (np.concatenate([h[i] for h in held]) for i in range(9))
+            held.clear()
+            column = codes.column(word, context, columns)
+            order = np.lexsort((row, context, word, column))
+            word, context, row, column = word[order], context[order], row[order], column[order]
+            start = starts_of(word, context)
+            ends = np.append(start, len(word))
             name = task << 24 | flushes
             flushes += 1
-            head = np.concatenate([ids.astype("<i8").view("<f8"), held_out, count, known, base, score]).astype("<f8", copy=False).tobytes()
-            held.clear()
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*filled, -1 - name % columns], pa.int32()), pa.array([name] * (len(filled) + 1), pa.int64()),
-                    *(pa.array([*(p[i] for p in parts), head if i == 0 else None], pa.binary()) for i in range(4)),
-                ],
-                names=["column", "block", "word", "times", "context", "row"],
-            )
+            out = [message(-1 - name % columns, HEAD, put(ids, "<i8"), put(held_out, "u1"), put(count, "<u4"), put(known, "<u4"), put(base, "<f8"), put(score, "<f8"), block=name)]
+            for c, s in parts(column[start], columns):
+                at = start[s]
+                out.append(message(c, QUERY, *codes.put_pairs(word[at], context[at]), put(np.diff(ends[s.start : s.stop + 1]), "<u4"), put(row[ends[s.start] : ends[s.stop]], "<u2"), block=name))
+            return rows_of(out)
 
         for rows in batches:
             ids, out = rows.column(0).to_numpy(zero_copy_only=False), rows.column(1).to_numpy(zero_copy_only=False)
-            for first, k, row, word, where in tokens(rows.column(2)):
-                at, _ = find_in(hot_key, pair_key(word, where))
-                is_hot = (hot_word[at] == word) & (hot_context[at] == where) if len(hot_key) else np.zeros(len(word), bool)
+            for first, k, row, word, context in tokens(rows.column(2)):
+                if docs_held + k > ROWS:
+                    yield flush()
+                    docs_held = tokens_held = 0
+                at, _ = find_in(hot_key, pair_key(word, context))
+                is_hot = (hot_word[at] == word) & (hot_context[at] == context) if len(hot_key) else np.zeros(len(word), bool)
                 r, h = row[is_hot], at[is_hot]
                 cold = ~is_hot
-                head = (np.bincount(row, minlength=k), np.bincount(r, minlength=k), np.bincount(r, pair_base[h], k), np.bincount(r, logp[h], k))
-                held.append((ids[first : first + k], out[first : first + k].astype(np.float64), *(x.astype(np.float64) for x in head), word[cold], where[cold], row[cold] + docs_held))
+                held.append((ids[first : first + k], out[first : first + k], np.bincount(row, minlength=k), np.bincount(r, minlength=k), np.bincount(r, pair_base[h], k), np.bincount(r, logp[h], k), word[cold], context[cold], row[cold] + docs_held))
                 docs_held += k
                 tokens_held += len(word)
                 if tokens_held >= ROW_BLOCK:
@@ -492,69 +542,106 @@ def score_documents(docs: DataFrame, model: DataFrame, totals: dict, columns: in
         if docs_held:
             yield flush()
 
-    found_schema = "block long, head boolean, body binary, context long, row int"
-
-    def found_rows(block, head, body, context=None, row=None) -> pa.Table:
-        nothing = [None] * len(block)
-        return pa.table([pa.array(block, pa.int64()), pa.array(head, pa.bool_()), pa.array(body, pa.binary()), pa.array(nothing if context is None else context, pa.int64()), pa.array(nothing if row is None else row, pa.int32())], names=["block", "head", "body", "context", "row"])
-
     def look_up(rows: pa.Table) -> pa.Table:
-        """A column block: for each row block, the sums of its documents' tokens here, and contexts whose weight is to be added."""
+        """A column block of words: for each row block the sums of its documents' tokens here, and the contexts whose weight is to be asked for."""
         if rows.column("column")[0].as_py() < 0:
-            return found_rows(rows.column("block").to_pylist(), [True] * rows.num_rows, rows.column("word").to_pylist())
-        mine = rows.column("block").is_null()
-        asked, own = rows.filter(pa.compute.invert(mine)), rows.filter(mine)
-        kinds = ("<u8", "<u4", "<u8", "<f8", "<f8", "<f8")
-        words_here, times_here, contexts_here, p, upper_here, total = (np.frombuffer(own.column(c)[0].as_py() if own.num_rows else b"", t) for c, t in zip(MODEL, kinds, strict=True))
-        names, place_of = np.unique(contexts_here, return_inverse=True)
-        key = np.repeat(np.arange(len(words_here)), times_here) * len(names) + place_of
-        out, late = [], []
-        for i in range(asked.num_rows):
-            word, times, where, row = (np.frombuffer(asked.column(c)[i].as_py(), t) for c, t in (("word", "<u8"), ("times", "<u4"), ("context", "<u8"), ("row", "<u4")))
-            at, known = find_in(words_here, word)
-            base, score = np.zeros(len(word)), np.full(len(word), log_unknown)
-            base[known], score[known] = np.log10(total[at[known]] + 1.0), upper_here[at[known]]
-            place, is_hot = find_in(hot, word)
-            base[is_hot], score[is_hot] = hot_base[place[is_hot]], hot_upper[place[is_hot]]
-            near, has = find_in(names, where)
-            pair, seen = find_in(key, at * len(names) + near)
-            seen &= known & has
-            score[seen] = p[pair[seen]]
-            place, is_often = find_in(often_names, where)
-            is_often &= ~seen
-            score[is_often] += often_weights[place[is_often]]
-            known, base, score, asks = (np.repeat(x, times) for x in (known | is_hot, base, score, ~seen & ~is_often))
-            late.append(found_rows([asked.column("block")[i].as_py()] * int(asks.sum()), [False] * int(asks.sum()), [None] * int(asks.sum()), np.repeat(where, times)[asks].view(np.int64), row[asks].astype(np.int32)))
+            return rows
+        by_kind: dict[int, list[dict]] = {}
+        for r in rows.to_pylist():
+            by_kind.setdefault(r["kind"], []).append(r)
+        own = by_kind.get(WORDS, [])
+        names, total, customers, seats = (got(own[0][a], k) if own else np.zeros(0, k) for a, k in zip("abcd", ("<u8", "<u8", "<u8", "<u4"), strict=True))
+        parent = parent_of(told, customers, seats)
+
+        def of_words(word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Whether the training rows have it, log10 of its count + 1, and the parent's probability."""
+            at, known = find_in(names, word)
+            base, p0 = np.zeros(len(word)), np.full(len(word), 10**log_unknown)
+            base[known], p0[known] = np.log10(total[at[known]] + 1.0), parent[at[known]]
+            place, is_hot = find_in(codes.hot, word)
+            is_hot &= told["hot_count"][place] > 0 if len(codes.hot) else False
+            base[is_hot], p0[is_hot] = hot_base[place[is_hot]], hot_parent[place[is_hot]]
+            return known | is_hot, base, p0
+
+        keys, logs = [], []
+        for r in by_kind.get(PAIRS, []):
+            word, context = codes.got_pairs(r)
+            times = got(r["f"], "<u4").astype(np.int64)
+            tables_of = np.full(len(times), SAMPLES, np.int64)
+            tables_of[times > 1] = got(r["g"], "<u4")
+            code, has = find_in(codes.names, context)
+            customers_in, tables_in = told["customers"][code], told["tables"][code]
+            customers_in[~has], tables_in[~has] = got(r["h"], "<u4").reshape(2, -1)
+            start = starts_of(word)
+            p0 = np.repeat(of_words(word[start])[2], np.diff(np.append(start, len(word))))
+            keys.append(pair_key(word, context))
+            logs.append(np.log10(in_context(told, times, tables_of, customers_in, tables_in, p0)))
+        key, log = joined(keys), joined(logs, "<f8")
+        order = np.argsort(key)
+        key, log = key[order], log[order]
+        del keys, logs, order
+        out = []
+        for r in by_kind.get(QUERY, []):
+            firsts, per_word = codes.got(r["a"], r["b"]), got(r["c"], "<u4")
+            known, base, p0 = (np.repeat(x, per_word) for x in of_words(firsts))
+            word, context = np.repeat(firsts, per_word), codes.got(r["d"], r["e"])
+            at, seen = find_in(key, pair_key(word, context))
+            score = np.log10(p0)
+            score[seen] = log[at[seen]]
+            code, has = find_in(codes.names, context)
+            score += np.where(has & ~seen, code_weight[code], 0.0)
+            times, row = got(r["f"], "<u4"), got(r["g"], "<u2")
+            asks = np.repeat(~has & ~seen, times)
+            if asks.any():
+                late, late_row = np.repeat(context, times)[asks], row[asks]
+                column = codes.column(late, late, columns)
+                order = np.lexsort((late_row, late, column))
+                late, late_row = late[order], late_row[order]
+                out += [message(c, LATE, put(late[s], "<u8"), put(late_row[s], "<u2"), block=r["block"]) for c, s in parts(column[order], columns)]
             present, inverse = np.unique(row, return_inverse=True)
-            sums = [np.bincount(inverse, x, len(present)) for x in (known, base, score)]
-            out.append(np.concatenate([present, *sums]).astype("<f8").tobytes())
-        return pa.concat_tables([found_rows(asked.column("block").to_pylist(), [False] * len(out), out), *late])
+            known, base, score = (np.bincount(inverse, np.repeat(x, times), len(present)) for x in (known, base, score))
+            out.append(message(-1, ANSWER, put(np.diff(present, prepend=0), "<u2"), put(known, "<u4"), put(base, "<f8"), put(score, "<f4"), block=r["block"]))
+        return table_of(out)
+
+    def weigh(rows: pa.Table) -> pa.Table:
+        """A block of contexts: the sums of the weights asked for. A context that the training rows do not have gives all to the parent."""
+        rows = rows.to_pylist()
+        own = next((r for r in rows if r["kind"] == CONTEXTS), None)
+        names, customers, tables = (got(own[a], k) if own else np.zeros(0, k) for a, k in zip("abc", ("<u8", "<u4", "<u4"), strict=True))
+        weight = np.log10(context_weight(told, customers, tables))
+        out = []
+        for r in rows:
+            if r["kind"] == LATE:
+                at, has = find_in(names, got(r["a"], "<u8"))
+                present, inverse = np.unique(got(r["b"], "<u2"), return_inverse=True)
+                log = np.zeros(len(at))
+                log[has] = weight[at[has]]
+                none = np.zeros(len(present))
+                out.append(message(-1, ANSWER, put(np.diff(present, prepend=0), "<u2"), put(none, "<u4"), put(none, "<f8"), put(np.bincount(inverse, log, len(present)), "<f4"), block=r["block"]))
+        return table_of(out)
 
     def add(rows: pa.Table) -> pa.Table:
-        whole = rows.filter(rows.column("body").is_valid())
-        head = np.frombuffer(whole.filter(whole.column("head")).column("body")[0].as_py(), "<f8").reshape(6, -1).copy()
-        # Row blocks in a fixed order: sums of floating-point numbers then agree between runs.
-        for body in sorted(whole.filter(pa.compute.invert(whole.column("head"))).column("body").to_pylist()):
-            row, *sums = np.frombuffer(body, "<f8").reshape(4, -1)
-            head[3:, row.astype(np.int64)] += sums
-        late = rows.filter(rows.column("row").is_valid())
-        row, weight = late.column("row").to_numpy(), late.column("weight").to_numpy()
-        order = np.lexsort((weight, row))
-        head[5] += np.bincount(row[order], weight[order], head.shape[1])
-        ids, held_out, count, known, base, score = head
+        rows = rows.to_pylist()
+        head = next(r for r in rows if r["kind"] == HEAD)
+        ids, held_out, count, known, base, score = (got(head[a], k).copy() for a, k in zip("abcdef", ("<i8", "u1", "<u4", "<u4", "<f8", "<f8"), strict=True))
+        # In a fixed order: sums of floating-point numbers then agree between runs.
+        for r in sorted((r for r in rows if r["kind"] == ANSWER), key=lambda r: (r["a"], r["b"], r["c"], r["d"])):
+            at = np.cumsum(got(r["a"], "<u2").astype(np.int64))
+            known[at] += got(r["b"], "<u4")
+            base[at] += got(r["c"], "<f8")
+            score[at] += got(r["d"], "<f4")
         return pa.table(
             {
-                "id": pa.array(ids.view("<i8")), "held_out": pa.array(held_out > 0), "n_tokens": pa.array(count.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)),
+                "id": pa.array(ids), "held_out": pa.array(held_out > 0), "n_tokens": pa.array(count.astype(np.int64)), "n_known": pa.array(known.astype(np.int64)),
                 "base_score": pa.array(base - count * np.log10(n + v + 1.0)), "score": pa.array(score),
             }
         )
 
-    posted = docs.select("id", "held_out", "text").mapInArrow(post, "column int, block long, word binary, times binary, context binary, row binary")
-    both = posted.unionByName(model.drop("pairs"), allowMissingColumns=True)
-    found = checkpointed(both.groupBy("column").applyInArrow(look_up, found_schema))
-    # A word that the training rows do not have is a context without customers: all goes to the parent.
-    late = found.where("context IS NOT NULL").join(weights, F.col("context") == F.col("of"), "left").select("block", "head", "body", "row", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    done = found.where("context IS NULL").select("block", "head", "body", "row", F.lit(None).cast("double").alias("weight"))
+    posted = docs.select("id", "held_out", "text").mapInArrow(tidy(post), SQL_SCHEMA)
+    found = checkpointed(posted.unionByName(model.words).unionByName(model.pairs).groupBy("column").applyInArrow(look_up, SQL_SCHEMA))
+    release(docs.sparkSession)
+    late = found.where(F.col("kind") == LATE).unionByName(model.contexts).groupBy("column").applyInArrow(weigh, SQL_SCHEMA)
+    done = found.where(F.col("kind").isin(HEAD, ANSWER))
     return done.unionByName(late).groupBy("block").applyInArrow(add, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
@@ -562,17 +649,9 @@ def score_texts(df: DataFrame, id_col: str, text_col: str, held_out: Column) ->
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; held_out is over df. Ids are integers; a null id stays null."""
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    columns = max(1, -(-(size // 6) // COLUMN_BLOCK))
-    # A single block needs no words dealt otherwise.
-    hot = frequent(docs) if columns > 1 else NO_WORDS
-    blocks = checkpointed(count_words(docs, columns, hot))
-    release(df.sparkSession)
-    totals = learn(blocks, hot)
-    model = probabilities(blocks, totals)
-    del blocks
-    release(df.sparkSession)
-    scored = score_documents(docs, model, totals, columns)
-    return scored.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(totals["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
+    model = learn(docs, max(1, -(-(size // 6) // COLUMN_BLOCK)))
+    scored = score_documents(docs, model)
+    return scored.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.told["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

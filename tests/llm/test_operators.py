@@ -338,30 +338,6 @@ def test_op10_base_score(results, texts):
         assert math.isfinite(r.score) and r.score <= 0
 
 
-def test_op10_probabilities_sum_to_one(spark):
-    """Over the vocabulary and one unknown word, in each of a few contexts."""
-    import numpy as np
-    from pyspark.sql import functions as F
-
-    from quillgraph.llm import op10_pitman_yor as op
-
-    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 40}" for j in range(60))) for i in range(40)]
-    docs = spark.createDataFrame(rows, "id long, text string").withColumn("held_out", F.lit(False))
-    blocks = op.count_words(docs, 1)
-    totals = op.learn(blocks)
-    one = blocks.first()
-    block = op.Block(*(one[n] for n in op.BLOCK))
-    p, parent = op.logs(block, totals)
-    weight, unknown = op.backoff(totals)
-    # The root's totals are those of the pass before, so its sum is near one only.
-    assert abs(parent.sum() + unknown - 1) < 0.1
-    for c in np.unique(block.context)[:5]:
-        line = weight[c] * parent
-        here = block.context == c
-        line[block.of[here]] = 10 ** p[here]
-        assert abs(line.sum() + weight[c] * unknown - 1) < 0.1
-
-
 def test_op10_held_out_perplexity(spark):
     from quillgraph.llm import op10_pitman_yor as op
 
