@@ -56,7 +56,7 @@ HOT_SHARE, HOT_PAIR = 1 / 1024, 1 / 65536
 #: Words with a code, at most, and the share of the tokens that one of them makes, about.
 CODES, CODE_SHARE = 65_533, 1 / 262_144
 #: Tokens of a row block, and of a column block, about; rows of a row block at most.
-ROW_BLOCK, COLUMN_BLOCK, ROWS = 2_000_000, 4_000_000, 65_535
+ROW_BLOCK, COLUMN_BLOCK, ROWS = 3_000_000, 4_000_000, 65_535
 END = mix(np.array([0xE4D], dtype=np.uint64))[0]
 SEED = 20240607
 #: Stands for a null id within the row blocks.
@@ -89,13 +89,16 @@ def table_of(messages: list[tuple]) -> pa.Table:
 
 
 def put(x: np.ndarray, kind: str) -> bytes:
-    raw = np.ascontiguousarray(x, kind).tobytes()
+    """The numbers as bytes, all first bytes before all second ones and so on, compressed."""
+    x = np.ascontiguousarray(x, kind)
+    raw = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
     return len(raw).to_bytes(8, "little") + (pa.Codec("zstd", 1).compress(raw, asbytes=True) if raw else b"")
 
 
 def got(body: bytes, kind: str) -> np.ndarray:
     size = int.from_bytes(body[:8], "little")
-    return np.frombuffer(pa.Codec("zstd").decompress(body[8:], size, asbytes=True) if size else b"", kind)
+    raw = np.frombuffer(pa.Codec("zstd").decompress(body[8:], size, asbytes=True) if size else b"", np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
 def find_in(names: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,28 +108,57 @@ def find_in(names: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, names[at] == asked if len(names) else np.zeros(len(asked), bool)
 
 
-@dataclass
 class Codes:
-    """names: sorted hashes of frequent words, a code each; hot: sorted hashes of words and contexts that are dealt apart."""
+    """names: sorted hashes of frequent words, a code each; hot: those words and contexts among them that are dealt apart, sorted.
+
+    Names are found by a table of SLOTS places. Of names with the same place but one has it, the others have no code: a hot one has.
+    """
+
+    SLOTS = 20
+
+    def __init__(self, names: np.ndarray, hot: np.ndarray):
+        """names: the hot ones, and others from the most frequent down."""
+        self.hot = np.unique(hot)
+        names = np.concatenate([self.hot, names])
+        self.factor = next(f for f in mix(np.arange(1, 1000, dtype=np.uint64)) | np.uint64(1) if len(np.unique(self.slot(self.hot, f))) == len(self.hot))
+        _, first = np.unique(self.slot(names, self.factor), return_index=True)
+        self.names = np.sort(names[first])
+        self.place: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"place": None}
 
-    names: np.ndarray
-    hot: np.ndarray
+    def slot(self, x: np.ndarray, factor: np.uint64) -> np.ndarray:
+        return (x * factor) >> np.uint64(64 - self.SLOTS)
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The code of each value, and whether it has one."""
+        if self.place is None:
+            self.place = np.zeros(1 << self.SLOTS, np.uint16)
+            self.place[self.slot(self.names, self.factor)] = np.arange(len(self.names))
+            self.heat = find_in(self.hot, self.names)[1]
+        at = self.place[self.slot(x, self.factor)]
+        return at, self.names[at] == x
+
+    def is_hot(self, x: np.ndarray) -> np.ndarray:
+        at, has = self.find(x)
+        return has & self.heat[at]
 
     def put(self, x: np.ndarray) -> tuple[bytes, bytes]:
-        at, has = find_in(self.names, x)
+        at, has = self.find(x)
         return put(np.where(has, at, 0xFFFF), "<u2"), put(x[~has], "<u8")
 
     def got(self, short: bytes, rare: bytes) -> np.ndarray:
         code = got(short, "<u2")
-        out = np.empty(len(code), np.uint64)
-        has = code != 0xFFFF
-        out[has], out[~has] = self.names[code[has]], got(rare, "<u8")
+        out = self.names[np.minimum(code, len(self.names) - 1)]
+        out[code == 0xFFFF] = got(rare, "<u8")
         return out
 
     def column(self, of: np.ndarray, other: np.ndarray, columns: int) -> np.ndarray:
         """The column block of each `of`; of a hot one that of both."""
-        is_hot = find_in(self.hot, of)[1]
-        key = mix(np.where(is_hot, of ^ mix(other + np.uint64(1)), of) ^ np.uint64(0xC01))
+        key = mix(of ^ np.uint64(0xC01))
+        hot = np.flatnonzero(self.is_hot(of))
+        key[hot] = mix(of[hot] ^ mix(other[hot] + np.uint64(1)))
         return ((key >> np.uint64(40)) % np.uint64(columns)).astype(np.int64)
 
     def put_pairs(self, first: np.ndarray, second: np.ndarray) -> tuple[bytes, ...]:
@@ -138,6 +170,21 @@ class Codes:
         return np.repeat(self.got(row["a"], row["b"]), got(row["c"], "<u4")), self.got(row["d"], row["e"])
 
 
+def by_column(column: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A stable order by column in which equal firsts, and in them equal pairs, stand together but for rare exceptions (in messages, whose receivers merge)."""
+    return np.argsort(column.astype(np.uint64) << np.uint64(48) | first >> np.uint64(40) << np.uint64(24) | second >> np.uint64(40), kind="stable")
+
+
+def grouped(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """An order in which equal firsts, and in them equal pairs, stand together."""
+    names, at = np.unique(first, return_inverse=True)
+    bits = 64 - max(1, len(names).bit_length())
+    key = at.astype(np.uint64) << np.uint64(bits) | second >> np.uint64(64 - bits)
+    order = np.argsort(key)
+    tied = (np.diff(key[order]) == 0) & (np.diff(second[order]) != 0)
+    return np.lexsort((second, first)) if tied.any() else order
+
+
 def starts_of(*sorted_: np.ndarray) -> np.ndarray:
     """Where another value, or pair of values, begins."""
     new = np.ones(len(sorted_[0]), dtype=bool)
@@ -226,9 +273,10 @@ def frequent(docs: DataFrame) -> Codes:
     size = (found.where("word IS NULL").first() or (None, 0))[1]
     rows = found.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(CODES).collect()
     name = lambda wanted: np.array([r.word for r in rows if r.n >= wanted], dtype=np.int64).view(np.uint64)
-    hot = np.unique(name(HOT_SHARE / 2 * size))
-    beginning = np.zeros(int(find_in(hot, np.array([END]))[1][0]), np.uint64)
-    return Codes(np.unique(np.concatenate([name(0), np.array([0, END], dtype=np.uint64)])), np.unique(np.concatenate([hot, beginning])))
+    hot = name(HOT_SHARE / 2 * size)
+    # There are as many beginnings as ends.
+    ends = [np.array([0, END], dtype=np.uint64)]
+    return Codes(np.concatenate(ends + [name(0)]), np.concatenate([hot, *(ends if END in hot else [])]))
 
 
 def count_pairs(docs: DataFrame, columns: int, codes: Codes) -> DataFrame:
@@ -242,7 +290,7 @@ def count_pairs(docs: DataFrame, columns: int, codes: Codes) -> DataFrame:
             word, context = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             held.clear()
             column = codes.column(word, context, columns)
-            order = np.lexsort((context, word, column))
+            order = by_column(column, word, context)
             word, context, column = word[order], context[order], column[order]
             new = starts_of(word, context)
             times = np.diff(np.append(new, len(word)))
@@ -263,7 +311,7 @@ def count_pairs(docs: DataFrame, columns: int, codes: Codes) -> DataFrame:
         here = int(rows.column("column")[0].as_py())
         found = [(*codes.got_pairs(r), got(r["f"], "<u4")) for r in rows.to_pylist()]
         word, context, times = joined([f[0] for f in found]), joined([f[1] for f in found]), joined([f[2] for f in found], "<u4")
-        order = np.lexsort((context, word))
+        order = grouped(word, context)
         word, context, times = word[order], context[order], times[order].astype(np.int64)
         new = starts_of(word, context)
         word, context, times = word[new], context[new], np.add.reduceat(times, new)
@@ -275,13 +323,13 @@ def count_pairs(docs: DataFrame, columns: int, codes: Codes) -> DataFrame:
         out += numbers(OF_WORD, place[is_hot], total[is_hot], kinds[is_hot])
         few = kinds[~is_hot]
         out += numbers(OF_ALL, np.arange(4), np.array([times.sum(), len(few), (times == 1).sum(), (few == 1).sum()]), np.array([len(word), 0, (times == 2).sum(), (few == 2).sum()]))
-        code, has = find_in(codes.names, context)
+        code, has = codes.find(context)
         customers, dishes = np.bincount(code[has], times[has], len(codes.names)).astype(np.int64), np.bincount(code[has], minlength=len(codes.names))
         seen = np.flatnonzero(dishes)
         out += numbers(OF_CONTEXT, seen, customers[seen], dishes[seen])
         kinds = np.repeat(kinds, kinds)
         column = codes.column(context, word, columns)
-        order = np.lexsort((word, context, column))
+        order = by_column(column, context, word)
         word, context, times, kinds, column = word[order], context[order], times[order], kinds[order], column[order]
         for c, s in parts(column, columns):
             out.append(message(c, PAIRS, *codes.put_pairs(context[s], word[s]), put(times[s], "<u4"), put(kinds[s][times[s] > 1], "<u4")))
@@ -315,14 +363,14 @@ def seat_contexts(counted: DataFrame, columns: int, codes: Codes, told: dict) ->
             kinds[times > 1] = got(r["g"], "<u4")
             found.append((context, word, times, kinds))
         context, word, times, kinds = (joined([f[i] for f in found], k) for i, k in enumerate(("<u8", "<u8", "<i8", "<i8")))
-        order = np.lexsort((word, context))
+        order = grouped(context, word)
         context, word, times, kinds = context[order], word[order], times[order], kinds[order]
         start = starts_of(context)
         names = context[start]
         of = np.repeat(np.arange(len(names)), np.diff(np.append(start, len(context))))
-        code, has_code = find_in(codes.names, names)
+        code, has_code = codes.find(names)
         # A hot context is in several blocks: its other tables are those of one a dish.
-        elsewhere = np.where(find_in(codes.hot, names)[1], told["dishes"][code] - np.bincount(of), 0)
+        elsewhere = np.where(codes.is_hot(names), told["dishes"][code] - np.bincount(of), 0)
         several = np.flatnonzero(times > 1)
         place, is_hot = find_in(codes.hot, word[several])
         parents_kinds = np.where(is_hot, told["hot_kinds"][place] if len(codes.hot) else 0, kinds[several])
@@ -355,7 +403,7 @@ def seat_contexts(counted: DataFrame, columns: int, codes: Codes, told: dict) ->
         by_word, extra, column = by_word[order], extra[order], column[order]
         out += [message(c, EXTRA, put(by_word[s], "<u8"), put(extra[s], "<u4")) for c, s in parts(column, columns)]
         column = codes.column(word, context, columns)
-        order = np.lexsort((context, word, column))
+        order = by_column(column, word, context)
         column, rare = column[order], ~has_code[of[order]]
         for c, s in parts(column, columns):
             i, r = order[s], order[s][rare[s]]
@@ -468,7 +516,7 @@ def hot_pairs(model: Model, found: DataFrame) -> np.ndarray:
         return np.zeros((0, 4))
     word, context = np.array([got(r.a, "<u8") for r in rows]).T
     times, seats, customers, tables = np.array([got(r.b, "<i8") for r in rows]).T
-    code, has = find_in(codes.names, context)
+    code, has = codes.find(context)
     customers, tables = np.where(has, told["customers"][code], customers), np.where(has, told["tables"][code], tables)
     asked = np.unique(word)
 
@@ -511,7 +559,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             ids, held_out, count, known, base, score, word, context, row = (np.concatenate([h[i] for h in held]) for i in range(9))
             held.clear()
             column = codes.column(word, context, columns)
-            order = np.lexsort((row, context, word, column))
+            order = by_column(column, word, context)
             word, context, row, column = word[order], context[order], row[order], column[order]
             start = starts_of(word, context)
             ends = np.append(start, len(word))
@@ -569,7 +617,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             times = got(r["f"], "<u4").astype(np.int64)
             tables_of = np.full(len(times), SAMPLES, np.int64)
             tables_of[times > 1] = got(r["g"], "<u4")
-            code, has = find_in(codes.names, context)
+            code, has = codes.find(context)
             customers_in, tables_in = told["customers"][code], told["tables"][code]
             customers_in[~has], tables_in[~has] = got(r["h"], "<u4").reshape(2, -1)
             start = starts_of(word)
@@ -588,18 +636,18 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             at, seen = find_in(key, pair_key(word, context))
             score = np.log10(p0)
             score[seen] = log[at[seen]]
-            code, has = find_in(codes.names, context)
+            code, has = codes.find(context)
             score += np.where(has & ~seen, code_weight[code], 0.0)
             times, row = got(r["f"], "<u4"), got(r["g"], "<u2")
             asks = np.repeat(~has & ~seen, times)
             if asks.any():
                 late, late_row = np.repeat(context, times)[asks], row[asks]
                 column = codes.column(late, late, columns)
-                order = np.lexsort((late_row, late, column))
+                order = np.argsort(column, kind="stable")
                 late, late_row = late[order], late_row[order]
                 out += [message(c, LATE, put(late[s], "<u8"), put(late_row[s], "<u2"), block=r["block"]) for c, s in parts(column[order], columns)]
-            present, inverse = np.unique(row, return_inverse=True)
-            known, base, score = (np.bincount(inverse, np.repeat(x, times), len(present)) for x in (known, base, score))
+            present = np.flatnonzero(np.bincount(row))
+            known, base, score = (np.bincount(row, np.repeat(x, times))[present] for x in (known, base, score))
             out.append(message(-1, ANSWER, put(np.diff(present, prepend=0), "<u2"), put(known, "<u4"), put(base, "<f8"), put(score, "<f4"), block=r["block"]))
         return table_of(out)
 
@@ -613,11 +661,12 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for r in rows:
             if r["kind"] == LATE:
                 at, has = find_in(names, got(r["a"], "<u8"))
-                present, inverse = np.unique(got(r["b"], "<u2"), return_inverse=True)
+                row = got(r["b"], "<u2")
+                present = np.flatnonzero(np.bincount(row))
                 log = np.zeros(len(at))
                 log[has] = weight[at[has]]
                 none = np.zeros(len(present))
-                out.append(message(-1, ANSWER, put(np.diff(present, prepend=0), "<u2"), put(none, "<u4"), put(none, "<f8"), put(np.bincount(inverse, log, len(present)), "<f4"), block=r["block"]))
+                out.append(message(-1, ANSWER, put(np.diff(present, prepend=0), "<u2"), put(none, "<u4"), put(none, "<f8"), put(np.bincount(row, log)[present], "<f4"), block=r["block"]))
         return table_of(out)
 
     def add(rows: pa.Table) -> pa.Table:
