@@ -1,7 +1,7 @@
 """Media columns: audio features of 8-bit samples, as fixed-shape tensors with time spans.
 
 A clip is a WAV file of unsigned 8-bit mono samples. `features` reads the stored bytes back and
-computes, block by block, so that a clip of any length takes bounded memory:
+computes; one clip is held at a time (some twenty bytes a sample), transforms are taken in blocks:
 
 - polyphase resampling by a rational factor: one short filter per output phase, applied to windows of
   the input at the input's rate; nothing is computed that the decimation would drop;
@@ -200,8 +200,8 @@ def summary(media: bytes) -> str:
     rows, spans = features(media)
     values = rows.column(0).storage.values
     digest = hashlib.sha256(np.round(np.frombuffer(values.buffers()[1], np.float32, len(values)), 3).tobytes()).hexdigest()[:32]
-    loud = ",".join(f"{a * 1000:.0f}-{b * 1000:.0f}" for a, b in spans[:8])
-    return f"tensors={rows.num_rows}x{FRAMES}x{MELS};end={rows.column(2)[-1].as_py():.3f};segments={len(spans)};first={loud};mel={digest}"
+    loud = ",".join(f"{a * 1000:.0f}-{b * 1000:.0f}" for a, b in spans)
+    return f"tensors={rows.num_rows}x{FRAMES}x{MELS};end={rows.column(2)[-1].as_py():.3f};segments={len(spans)};loud={loud};mel={digest}"
 
 
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
