@@ -5,13 +5,13 @@ learned from labelled pages (those whose markup says where the content is: one `
 element). A word's weight is the log odds of words inside that element over words outside; a tag's weight is the
 log odds of its own name, but never above zero. One linear scan finds the contiguous region of highest score.
 Parts that hold no content wherever they stand (scripts, menus, footers, forms, advertisements, notices,
-reader comments, by element name or by the words of class, id and role) score nothing and are left out of the
+reader comments, by element name or by class, id and role, if all words of a compound name agree) score nothing and are left out of the
 region's text. Where a page has elements for its content, the edges of the outermost ones bound regions and tags within cost
 nothing, nor do tags that only style text: such markup says itself what it holds. All of a page's content elements are one
 region, with all they hold, which competes with the regions outside of them.
 
-Learning counts tokens over all labelled pages by one small aggregation (a row per tag name and partition), so it
-grows with the vocabulary of tags only.
+Learning counts tokens over all labelled pages by one small aggregation (a row per standard tag name and partition; other names
+share one). On pages without such elements the scan alone finds the region, by what the labelled ones taught.
 
 Text: character references are decoded, white space in a block is turned into one space and trimmed, and
 blocks are joined by one space in page order.
@@ -36,15 +36,28 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import batch, table
 
 #: Elements whose content is no text of the page.
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas")
+RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "object", "canvas")
 #: Elements that hold no main text, wherever they stand.
-DROPPED = frozenset((*RAW, "head", "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "figcaption", "label", "input", "option"))
+DROPPED = frozenset((*RAW, "head", "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "label", "input", "option"))
 #: Words in class, id or role that mark an element as no main text.
 MARKED = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup "
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside related recommended share sharing social widget toolbar search login "
     "comment comments comment-list commentlist discussion disqus replies reply respond complementary contentinfo".split()
 )
+#: Words that may stand beside those in a compound name (`comment-list`); with any other word the name says something else (`related-work`).
+BESIDE = frozenset(
+    "a all area articles bar body block bottom box button buttons card cell column container content count dark entry fixed form global group hidden icon icons "
+    "inline inner item items layout left light link links list main mobile outer page panel post posts primary right row secondary section site small sticky stories strip text thread title top unit user users view wrap wrapper zone".split()
+)
+#: Names of elements that have weights of their own (fixed list, those of the HTML standard); other names share one.
+NAMES = frozenset(
+    "a abbr acronym address area article aside audio b base bdi bdo big blockquote body br button canvas caption center cite code col colgroup data datalist dd del details dfn dialog dir div dl dt em embed "
+    "fieldset figcaption figure font footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html i iframe img input ins kbd label legend li link main map mark marquee math menu meta meter nav "
+    "noscript object ol optgroup option output p param picture pre progress q rp rt ruby s samp script search section select slot small source span strike strong style sub summary sup svg table tbody td "
+    "template textarea tfoot th thead time title tr track tt u ul var video wbr".split()
+)
+OTHER = "other"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTENT = ("article", "main")
@@ -61,7 +74,8 @@ RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECAS
 def marked(attributes: str) -> bool:
     for _, a, b, c in ATTRIBUTE.findall(attributes):
         for word in re.split(r"\s+", html.unescape(a or b or c).lower()):
-            if word in MARKED or any(part in MARKED for part in re.split(r"[-_]+", word)):
+            parts = [p for p in re.split(r"[-_]+|\d+", word) if p]
+            if word in MARKED or any(p in MARKED for p in parts) and all(p in MARKED or p in BESIDE for p in parts):
                 return True
     return False
 
@@ -132,16 +146,17 @@ def learn(df: DataFrame, html_col: str) -> tuple[float, dict[str, float]]:
         for rows in batches:
             for page in rows.column(0):
                 a, b, words_in, words_out = count(page.as_py() or "")
-                inside.update(a)
-                outside.update(b)
+                for total, tags in ((inside, a), (outside, b)):
+                    for tag, n in tags.items():
+                        total[named(tag)] += n
                 inside[""] += words_in
                 outside[""] += words_out
         names = sorted({*inside, *outside})
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([inside[x] for x in names], pa.int64()), pa.array([outside[x] for x in names], pa.int64())], names=["tag", "n_in", "n_out"])
 
-    # Only names of HTML's kind: what a page invents as a tag could be anything.
-    rows = df.select(F.col(html_col).alias("html")).mapInArrow(run, "tag string, n_in long, n_out long").where(F.col("tag").rlike("^[a-z][a-z0-9]{0,10}$|^$")).groupBy("tag").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"))
-    found = {r.tag: (r.n_in, r.n_out) for r in rows.orderBy(F.desc(F.col("n_in") + F.col("n_out")), "tag").limit(512).collect()}
+    rows = df.select(F.col(html_col).alias("html")).mapInArrow(run, "tag string, n_in long, n_out long").groupBy("tag").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"))
+    # A row a name of NAMES, one for the others and one for words.
+    found = {r.tag: (r.n_in, r.n_out) for r in rows.collect()}
     odds = lambda a, b: math.log((a + 1) / (b + 1))
     a, b = found.pop("", (0, 0))
     if not a:
@@ -149,6 +164,11 @@ def learn(df: DataFrame, html_col: str) -> tuple[float, dict[str, float]]:
     return max(0.1, odds(a, b)), {tag: min(0.0, odds(*counts)) for tag, counts in found.items()}
 
 
+def named(tag: str) -> str:
+    """The name under which a tag has its weight."""
+    return tag if tag in NAMES else OTHER
+
+
 def region(parts: list[tuple[str, str, bool]], word: float, tags: dict[str, float]) -> list[tuple[int, int]]:
     """The half-open ranges of tokens with the highest sum: one outside of the content elements, or all of these. Of equals the first and longest."""
     best, best_range, total, start = 0.0, (0, 0), 0.0, 0
@@ -176,7 +196,7 @@ def region(parts: list[tuple[str, str, bool]], word: float, tags: dict[str, floa
             continue
         if total < 0:
             total, start = 0.0, i
-        total += gain if not tag or off or name in INLINE else tags.get(name, DEFAULT_TAG)
+        total += gain if not tag or off or name in INLINE else tags.get(named(name), DEFAULT_TAG)
         if total > best or (total == best and best > 0 and start == best_range[0]):
             best, best_range = total, (start, i + 1)
     if opened:
