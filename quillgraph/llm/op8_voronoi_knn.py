@@ -6,7 +6,8 @@ nearest to the pivot) give each query a score that at least k candidates reach:
 from pivot p scores q.p - |q| d at least and q.p + |q| d at most. So a query needs of a cell only
 the vectors farther from its pivot than (reached - q.p) / |q|. The least such distance over the queries of one cell (a
 query group) is the group's bound for the other cell; only vectors beyond it are replicated to the group, and
-each group is solved locally by blocked matrix products. The bounds are on exact integers with room for
+each group is solved locally by blocked matrix products. Cells with few queries are joined to groups of up to QUERY_BLOCK queries
+(a group's bound is the least of its cells'), so a vector is sent at most once for every QUERY_BLOCK queries. The bounds are on exact integers with room for
 rounding, so the result is exact whatever the pivots are.
 
 Copies are collapsed first: of candidates with equal vectors, only the k + 1 smallest ids can be among any
@@ -17,8 +18,8 @@ bound a pair of cells.
 
 Nulls and odd rows: vectors that are null, empty or hold null or non-finite components take no part,
 neither as queries nor as candidates; nor do queries with a null id. Vectors of another length than
-the query's are not its candidates. Components beyond 2**31 in size after scaling are clipped
-there; scores are exact integers (clipped to 64 bits). Ties go to the smaller id. Of rows that repeat an
+the query's are not its candidates. Components beyond 2**59 in size after scaling are clipped
+there, as their products leave Spark's widest numbers; scores are exact integers in the ranking, and shown within 64 bits. Ties go to the smaller id. Of rows that repeat an
 id, the one whose quantised vector is least as bytes takes part. An empty table gives an empty result; columns
 other than the two named are not read.
 """
@@ -26,6 +27,7 @@ other than the two named are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +38,13 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import checkpointed, table
 
 SCALE, K = 256, 5
-#: Pivots of each vector length; a parameter, so what the driver and the tasks hold of them is bounded.
-PIVOTS = 48
+#: Pivots of each vector length: one for VECTORS_A_PIVOT vectors, but within these bounds, so what the driver and the tasks hold of them is bounded.
+PIVOTS, MOST_PIVOTS, VECTORS_A_PIVOT = 48, 512, 16_384
 BLOCK, QUERY_BLOCK = 16384, 2048
 #: Copies of one vector are first thinned within so many parts, so that no task sees all of a large group.
 SALTS = 64
-CLIP = 1 << 31
+CLIP = 1 << 59
+SCORE = pa.decimal128(38, 0)
 
 
 def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,12 +67,11 @@ def matrix(column, dim: int) -> np.ndarray:
 
 
 def products(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Exact inner products: in floating point where every partial sum fits its 53 bits, in Python's integers elsewhere."""
+    """Exact inner products: in floating point where every partial sum fits its 53 bits, as Python's integers elsewhere."""
     most = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * queries.shape[1]
     if most < 2**53:
         return (queries.astype(np.float64) @ data.astype(np.float64).T).astype(np.int64)
-    exact = queries.astype(object) @ data.astype(object).T
-    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
+    return queries.astype(object) @ data.astype(object).T
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -77,6 +79,15 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
 
 
+def walk(centres: np.ndarray) -> list[int]:
+    """All pivots, each followed by the nearest of those that are left."""
+    left, out = list(range(len(centres))), []
+    while left:
+        at = int(((centres[left] - centres[out[-1]]) ** 2).sum(axis=1).argmin()) if out else 0
+        out.append(left.pop(at))
+    return out
+
+
 def thinned(vectors: DataFrame, keep: int) -> DataFrame:
     """Of each distinct vector, the `keep` smallest ids: v, ids."""
     salted = W.partitionBy("v", F.pmod(F.xxhash64("id"), F.lit(SALTS))).orderBy("id")
@@ -86,7 +97,7 @@ def thinned(vectors: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def search(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = K, pivots: int = PIVOTS) -> DataFrame:
+def search(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = K, pivots: int | None = None) -> DataFrame:
     """query_id, rank (from 1), id, score: each query's k best candidates among all other ids. is_query is over a column named id."""
     spark = df.sparkSession
     vectors = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).mapInArrow(quantise, "id long, v binary")
@@ -96,22 +107,23 @@ def search(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int
     asked_vectors = checkpointed(asked.groupBy("v").agg(F.min("id").alias("qid")).withColumn("dim", (F.length("v") / 8).cast("int")))
     dims = sorted(r.dim for r in asked_vectors.select("dim").distinct().collect())
     found = [_of_length(spark, data.where(F.col("dim") == d), asked_vectors.where(F.col("dim") == d), d, k, pivots) for d in dims]
-    empty = spark.createDataFrame([], "v binary, qid long, id long, score long")
-    best = empty
+    best = spark.createDataFrame([], "v binary, qid long, id long, score decimal(38,0)")
     for part in found:
         best = best.unionByName(part)
     best = checkpointed(best)
     # Every query of the vector: its own id is no candidate.
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    shown = F.greatest(F.least("score", F.lit(2**63 - 1)), F.lit(-(2**63))).cast("long")
     pairs = asked.select("v", F.col("id").alias("query_id")).join(best.select("v", "id", "score"), "v").where(F.col("id") != F.col("query_id"))
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", shown.alias("score"))
 
 
-def _of_length(spark: SparkSession, data: DataFrame, asked: DataFrame, dim: int, k: int, n_pivots: int) -> DataFrame:
+def _of_length(spark: SparkSession, data: DataFrame, asked: DataFrame, dim: int, k: int, n_pivots: int | None) -> DataFrame:
     """Each distinct query vector's k + 1 best candidates: v, qid, id, score."""
+    n_pivots = n_pivots or min(MOST_PIVOTS, max(PIVOTS, data.count() // VECTORS_A_PIVOT))
     chosen = [r.v for r in data.orderBy(F.xxhash64("v"), "v").limit(n_pivots).select("v").collect()]
     if not chosen:
-        return spark.createDataFrame([], "v binary, qid long, id long, score long")
+        return spark.createDataFrame([], "v binary, qid long, id long, score decimal(38,0)")
     centres = matrix(chosen, dim).astype(np.float64)
     cells = len(centres)
 
@@ -172,11 +184,22 @@ def _of_length(spark: SparkSession, data: DataFrame, asked: DataFrame, dim: int,
         yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(bounds[g, c]), pa.array(counts[g])], names=["g", "c", "need", "n"])
 
     wanted = groups.select("v", "cell").mapInArrow(bound, "g int, c int, need double, n long").groupBy("g", "c").agg(F.min("need").alias("need"), F.sum("n").alias("n")).collect()
-    need = np.full((cells, cells), np.inf)
-    query_blocks = np.ones(cells, dtype=np.int64)
+    asks = np.zeros(cells, dtype=np.int64)
+    for r in wanted:
+        asks[r.g] = r.n
+    # Cells in the order of a walk from pivot to nearest pivot, joined while their queries fit a block.
+    group_of, query_blocks = np.zeros(cells, dtype=np.int64), []
+    held = QUERY_BLOCK + 1
+    for c in walk(centres):
+        if held + asks[c] > QUERY_BLOCK:
+            query_blocks.append(0)
+            held = 0
+        held += asks[c]
+        group_of[c], query_blocks[-1] = len(query_blocks) - 1, max(1, -(-held // QUERY_BLOCK))
+    query_blocks = np.array(query_blocks)
+    need = np.full((len(query_blocks), cells), np.inf)
     for r in wanted:
-        need[r.g, r.c] = r.need
-        query_blocks[r.g] = -(-r.n // QUERY_BLOCK)
+        need[group_of[r.g], r.c] = min(need[group_of[r.g], r.c], r.need)
     data_blocks = max(1, -(-total // BLOCK))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,9 +221,10 @@ def _of_length(spark: SparkSession, data: DataFrame, asked: DataFrame, dim: int,
     blocks = "g int, part int, block int, v binary, ids array<long>, qid long"
     spread = near.select("v", "ids", "cell", "away", F.pmod(F.xxhash64("v"), F.lit(data_blocks)).cast("int").alias("spread"))
     sent = spread.mapInArrow(replicate, blocks)
-    parts_of = F.element_at(F.array(*[F.lit(int(n)) for n in query_blocks]), F.col("cell") + 1)
-    asking = groups.select(
-        F.col("cell").alias("g"), F.pmod(F.xxhash64("v"), parts_of).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(int(data_blocks) - 1))).alias("block"), "v", F.lit(None).cast("array<long>").alias("ids"), "qid"
+    group = F.element_at(F.array(*[F.lit(int(g)) for g in group_of]), F.col("cell") + 1)
+    parts_of = F.element_at(F.array(*[F.lit(int(n)) for n in query_blocks]), F.col("g") + 1)
+    asking = groups.withColumn("g", group.cast("int")).select(
+        "g", F.pmod(F.xxhash64("v"), parts_of).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(int(data_blocks) - 1))).alias("block"), "v", F.lit(None).cast("array<long>").alias("ids"), "qid"
     )
 
     def solve(rows: pa.Table) -> pa.Table:
@@ -216,16 +240,16 @@ def _of_length(spark: SparkSession, data: DataFrame, asked: DataFrame, dim: int,
                 scores = products(matrix(q_v[at : at + 256], dim), data)
                 kept = min(k + 1, len(data))
                 for j, row in enumerate(scores):
-                    least = np.partition(row, len(row) - kept)[len(row) - kept]
+                    least = np.partition(row, len(row) - kept)[len(row) - kept] if row.dtype != object else sorted(row)[len(row) - kept]
                     top = np.flatnonzero(row >= least)
-                    top = top[np.lexsort((top, -row[top]))][:kept]
+                    top = np.array(sorted(top.tolist(), key=lambda t: (-row[t], t))[:kept])
                     ids = sorted((-int(row[t]), i) for t in top for i in x_ids[by_id[t]])[: k + 1]
                     for minus, i in ids:
                         for column, value in zip(out, (q_v[at + j], q_id[at + j], i, -minus), strict=True):
                             column.append(value)
-        return pa.table({"v": pa.array(out[0], pa.binary()), "qid": pa.array(out[1], pa.int64()), "id": pa.array(out[2], pa.int64()), "score": pa.array(out[3], pa.int64())})
+        return pa.table({"v": pa.array(out[0], pa.binary()), "qid": pa.array(out[1], pa.int64()), "id": pa.array(out[2], pa.int64()), "score": pa.array([Decimal(s) for s in out[3]], SCORE)})
 
-    local = sent.unionByName(asking).groupBy("g", "part", "block").applyInArrow(solve, "v binary, qid long, id long, score long")
+    local = sent.unionByName(asking).groupBy("g", "part", "block").applyInArrow(solve, "v binary, qid long, id long, score decimal(38,0)")
     order = W.partitionBy("v").orderBy(F.desc("score"), "id")
     return local.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
 

@@ -275,11 +275,11 @@ def test_op8_bounds_prune_and_stay_exact(spark, monkeypatch):
     data[600] = [1e200] * 8
     df = spark.createDataFrame(list(data.items()), "k long, e array<double>")
     got = [(x.query_id, x["rank"], x.id, x.score) for x in op.search(df, "k", "e", F.col("id") % 40 == 0, k=3, pivots=12).collect()]
-    ints = {i: [max(-(2**31), min(2**31, math.floor(256 * c))) for c in v] for i, v in data.items()}
+    ints = {i: [math.floor(256 * c) for c in v] for i, v in data.items()}
     want = []
     for q in range(0, 601, 40):
         scores = sorted((-sum(a * b for a, b in zip(ints[q], w, strict=True)), i) for i, w in ints.items() if i != q)[:3]
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+        want += [(q, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(scores)]
     assert sorted(got) == sorted(want)
 
 
