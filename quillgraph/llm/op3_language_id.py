@@ -5,12 +5,12 @@ Four kinds of evidence about a row's language are multiplied and normalised:
 - the text: likelihood under a byte-trigram model of each language (hashed, add-one smoothed);
 - the declared language: a column, or the `lang` attribute of the markup's html element where the text is markup;
 - the address suffix: the country or path label of the row's address, or of the first web or mail address in the text;
-- the host: a prior that is smoothed hierarchically, host towards parent domain towards all rows, from
+- the host: a distribution that is smoothed hierarchically, host towards parent domain towards all rows, from
   counts that grouped aggregations make over all rows' texts.
 
 The trigram models are fitted on a bounded sample, MAX_TRAINING rows, of rows whose declared language is one of LANGUAGES;
-priors are counted over all rows, each by its text's own posterior. The text is read once for learning and
-once for scoring; what lies between is a table of a few numbers a row. The joins with the priors are on host and
+These distributions are counted over all rows, each by its text's own posterior. The text is read once for learning and
+once for scoring; what lies between is a table of a few numbers a row. The joins with them are on host and
 parent, one row each, so a host with a third of all rows is a skewed side that Spark splits.
 
 A row is rejected if it has no evidence from its text (no letters), or if the best language's posterior is
@@ -148,7 +148,7 @@ def evidence(df: DataFrame, key: str, text_col: str, model: np.ndarray, declared
 
 
 def fuse(rows: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFrame:
-    """rows of evidence() -> key, lang, posterior, n: with priors by host, counted over these rows."""
+    """rows of evidence() -> key, lang, posterior, n: with distributions by host, counted over these rows."""
     size = len(languages)
     own = F.expr("transform(text, x -> exp(x) / aggregate(text, cast(0 as double), (a, y) -> a + exp(y)))")
     soft = rows.withColumn("own", own)
@@ -161,18 +161,18 @@ def fuse(rows: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFrame:
     add = lambda names: sum((F.col(n) for n in names[1:]), F.col(names[0]))
     in_parent, in_host = add([f"p{i}" for i in range(size)]), add([f"s{i}" for i in range(size)])
     h, p = by_host.alias("h"), by_parent.alias("p")
-    priors = h.join(p, F.col("h.parent").eqNullSafe(F.col("p.parent"))).select("h.*", *[((F.col(f"p{i}") + PARENT_COUNT * base[i]) / (in_parent + PARENT_COUNT)).alias(f"q{i}") for i in range(size)])
-    priors = priors.select("host", F.array(*[F.log((F.col(f"s{i}") + PARENT_COUNT * F.col(f"q{i}")) / (in_host + PARENT_COUNT)) for i in range(size)]).alias("prior"))
-    r, q = rows.alias("r"), priors.alias("q")
-    joined = r.join(q, F.col("r.host").eqNullSafe(F.col("q.host")), "left").select("r.key", "r.n", "r.text", "r.outside", "q.prior")
-    logs = F.array(*[F.col("text")[i] + F.col("outside")[i] + F.coalesce(F.col("prior")[i], F.lit(float(np.log(base[i])))) for i in range(size)])
+    host_odds = h.join(p, F.col("h.parent").eqNullSafe(F.col("p.parent"))).select("h.*", *[((F.col(f"p{i}") + PARENT_COUNT * base[i]) / (in_parent + PARENT_COUNT)).alias(f"q{i}") for i in range(size)])
+    host_odds = host_odds.select("host", F.array(*[F.log((F.col(f"s{i}") + PARENT_COUNT * F.col(f"q{i}")) / (in_host + PARENT_COUNT)) for i in range(size)]).alias("host_odds"))
+    r, q = rows.alias("r"), host_odds.alias("q")
+    joined = r.join(q, F.col("r.host").eqNullSafe(F.col("q.host")), "left").select("r.key", "r.n", "r.text", "r.outside", "q.host_odds")
+    logs = F.array(*[F.col("text")[i] + F.col("outside")[i] + F.coalesce(F.col("host_odds")[i], F.lit(float(np.log(base[i])))) for i in range(size)])
     joined = joined.withColumn("logs", logs).withColumn("most", F.array_max("logs"))
     names = F.array(*map(F.lit, languages))
     return joined.select("key", "n", F.element_at(names, F.array_position("logs", F.col("most")).cast("int")).alias("lang"), F.expr("1 / aggregate(logs, cast(0 as double), (a, y) -> a + exp(y - most))").alias("posterior"))
 
 
 def identify(df: DataFrame, key: str, text_col: str, declared: Column | None = None, url: Column | None = None, host: Column | None = None) -> DataFrame:
-    """key, lang, posterior, keep of each row. Without a host column rows share one prior; without a url the text's first address counts."""
+    """key, lang, posterior, keep of each row. Without a host column rows share one distribution; without a url the text's first address counts."""
     nothing = F.lit(None).cast("string")
     declared, url, host = (nothing if c is None else c for c in (declared, url, host))
     model = learn(df, text_col, declared)

@@ -129,7 +129,7 @@ def test_op3_evidence(spark):
     de = "der hund und die katze waren mit den kindern in dem haus der stadt"
     rows = [(i, en, "en", "http://a.example.com/en/1", "a.example.com") for i in range(30)] + [(100 + i, de, "de", "http://b.example.de/2", "b.example.de") for i in range(30)]
     rows += [(200, "haus", None, "http://b.example.de/9", "b.example.de"), (201, None, "en", None, None), (202, "12 34", None, None, None), (203, f"<html lang='de'><p>{de}", None, None, "c.example.de"), (203, f"<html lang='de'><p>{de}", None, None, "c.example.de")]
-    df = spark.createDataFrame(rows, "k long, body string, l string, u string, h string").withColumn("n", F.lit(1)).withColumn("prior", F.lit("x"))
+    df = spark.createDataFrame(rows, "k long, body string, l string, u string, h string").withColumn("n", F.lit(1)).withColumn("host_odds", F.lit("x"))
     got = {r.k: r for r in op.identify(df, "k", "body", F.col("l"), F.col("u"), F.col("h")).collect()}
     assert all(got[i].lang == "en" and got[i].keep for i in range(30)) and all(got[100 + i].lang == "de" for i in range(30))
     assert got[200].lang == "de" and got[203].lang == "de"
