@@ -47,14 +47,3 @@ def e01(spark, d):
     nothing = F.lit(None).cast("string")
     records = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("doc_id").alias("id"), "source", F.substring("text", 1, 60).alias("title"), F.lit(None).cast("array<string>").alias("authors"), F.lit(None).cast("int").alias("year"), nothing.alias("url"), nothing.alias("doi"))
     return dedup(records).select("id", "source", "title", "n_versions")
-
-
-@query("t06_bibliography_status", """SELECT doc_id, CASE WHEN text IS NULL OR trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'missing' ELSE 'no_block' END AS status FROM documents""")
-def t06(spark, d):
-    """Which texts have a reference list that parses; the driver's texts have none."""
-    import pandas as pd
-
-    from quillgraph.functions.bibliography import status
-
-    judged = F.pandas_udf(lambda s: pd.Series([status(t) for t in s]), "string")
-    return table(spark, d, "documents").select("doc_id", judged("text").alias("status"))
