@@ -15,6 +15,19 @@ def precision(date: Column) -> Column:
     return F.when(F.length(date) >= 10, F.lit("day")).when(F.length(date) >= 7, F.lit("month")).when(F.length(date) >= 4, F.lit("year"))
 
 
+def dated(day: Column, source: Column, arxiv_id: Column, year: Column) -> Column:
+    """date, precision, source: the earlier month of a source's day and an arXiv id (the day within the same month), else the year's first day, else empty."""
+    month = F.concat(of_arxiv(arxiv_id), F.lit("-01"))
+    one = lambda date, coarse, kind, of: F.struct(F.substring(date, 1, 7).alias("m"), F.lit(coarse).alias("coarse"), date.alias("date"), F.lit(kind).alias("precision"), of.alias("source"))
+    real = F.array_min(F.array_compact(F.array(F.when(day.isNotNull() & source.isNotNull(), one(F.left(day, F.lit(10)), 0, "day", source)), F.when(month.isNotNull(), one(month, 1, "month", F.lit("arxiv_id"))))))
+    some = lambda date, kind, of: F.struct(date.alias("date"), F.lit(kind).alias("precision"), F.lit(of).alias("source"))
+    return (
+        F.when(real.isNotNull(), F.struct(real["date"].alias("date"), real["precision"].alias("precision"), real["source"].alias("source")))
+        .when(year.isNotNull(), some(F.concat(year.cast("string"), F.lit("-01-01")), "year", "year_fallback"))
+        .otherwise(some(F.lit(""), "", ""))
+    )
+
+
 def resolve(day: Column, month: Column, year: Column) -> Column:
     """The earlier of a day and a month (a day within the month wins), else the year's first day, else empty."""
     options = F.array_compact(F.array(

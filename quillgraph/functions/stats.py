@@ -27,15 +27,6 @@ def log_choose(n: Column, k: Column) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.log((n - m + i) / i))
 
 
-def recall_stop(found: Column, screened: Column, total: Column, target: float = 0.95) -> Column:
-    """Chance of finding at most `found` relevant among `screened` of `total`, had the rest held enough to miss the target."""
-    missing = F.greatest(F.ceil(found / target).cast("int") - found + 1, F.lit(1))
-    relevant = found + missing
-    ks = F.sequence(F.lit(0), F.least(found, screened).cast("int"))
-    term = lambda k: F.exp(log_choose(relevant, k) + log_choose(total - relevant, screened - k) - log_choose(total, screened))
-    return F.aggregate(F.filter(ks, lambda k: screened - k <= total - relevant), F.lit(0.0), lambda acc, k: acc + term(k))
-
-
 def hypergeometric_survival(least: Column, total: Column, relevant: Column, screened: Column) -> Column:
     """Chance of at least `least` relevant among `screened` drawn of `total`, of which `relevant` are."""
     low, high = F.greatest(F.lit(0), screened - (total - relevant)), F.least(screened, relevant)
@@ -56,7 +47,7 @@ def recall_reached(found: Column, screened: Column, total: Column, target: float
 
 
 def single_trust(confidence: Column, similarity: Column) -> Column:
-    return F.lit(0.7) * confidence + F.lit(0.3) * similarity
+    return F.round(F.lit(0.7) * confidence + F.lit(0.3) * similarity, 2)
 
 
 def single_tier(confidence: Column, similarity: Column) -> Column:

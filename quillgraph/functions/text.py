@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-REVIEW = r"(?i)\b(survey|review|overview|systematic review|meta-analysis)\b"
+#: Titles of reviews (fixed value).
+REVIEW = r"(?i)\bsurvey\b|\bsystematic review\b|\b(a|comprehensive) review\b|\breview of\b|:\s*a review\b|\boverview of\b"
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 
@@ -98,8 +99,8 @@ def salvage_json(text: Column) -> Column:
 def scope_parts(topic: Column) -> tuple[Column, Column]:
     """A topic's inclusions and exclusions: what follows "out of scope" is excluded; without it the exclusions equal the inclusions."""
     at = F.instr(F.lower(topic), "out of scope")
-    inside = F.when(at > 0, F.expr("left(topic, instr(lower(topic), 'out of scope') - 1)")).otherwise(topic)
-    outside = F.when(at > 0, F.expr("substring(topic, instr(lower(topic), 'out of scope') + 12)")).otherwise(topic)
+    inside = F.when(at > 0, F.left(topic, at - 1)).otherwise(topic)
+    outside = F.when(at > 0, F.substring(topic, at + 12, F.length(topic))).otherwise(topic)
     return inside, outside
 
 
@@ -116,4 +117,5 @@ def metric_status(value: Column, good: float) -> Column:
 
 
 def is_review(kind: Column, title: Column) -> Column:
-    return (kind == "review") | title.rlike(REVIEW)
+    """By the work's type, whatever its case, or its title; nulls say no."""
+    return (F.lower(F.coalesce(kind, F.lit(""))) == "review") | F.coalesce(title, F.lit("")).rlike(REVIEW)

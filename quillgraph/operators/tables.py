@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], mark: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """old with new's rows merged by key: new values win where they are not null; columns in `keep` hold their old values."""
-    n = new.select(*[F.col(c).alias(f"__new_{c}") for c in new.columns])
+    """old with new's rows merged by key: new values win, nulls too; columns in `keep` hold their old values where they have one.
+
+    Keys that are null match nothing; a key that new has twice gives two rows; columns that old lacks are dropped.
+    """
+    n = new.select(*[F.col(c).alias(f"__new_{c}") for c in new.columns], F.lit(True).alias("__new"))
     same = None
     for k in keys:
         c = F.col(k) == F.col(f"__new_{k}")
         same = c if same is None else same & c
     joined = old.join(n, same, "full_outer")
-    columns = [F.coalesce(*([c, f"__new_{c}"] if c in keep else [f"__new_{c}", c])).alias(c) if c in new.columns else F.col(c) for c in old.columns]
+    fresh = F.col("__new")
+    value = lambda c: F.coalesce(c, f"__new_{c}") if c in keep or c in keys else F.when(fresh, F.col(f"__new_{c}")).otherwise(F.col(c))
+    columns = [value(c).alias(c) if c in new.columns else F.col(c) for c in old.columns]
     if mark:
-        columns.append(F.col(f"__new_{keys[0]}").isNotNull().alias(mark))
+        columns.append(F.coalesce(fresh, F.lit(False)).alias(mark))
     return joined.select(*columns)
 
 

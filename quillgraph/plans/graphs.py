@@ -144,13 +144,13 @@ def g26(spark, d):
     return stated.unionByName(c.where("contribution IS NOT NULL").select("src", F.col("contribution").alias("dst"), F.lit("supports_contrib").alias("rel"))).distinct()
 
 
-KNN = """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM embeddings q JOIN embeddings e ON {0} WHERE q.vec_id % 100 = 0)
+KNN = """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM embeddings q JOIN embeddings e ON {0} WHERE q.vec_id % 50 = 0)
   SELECT query_id, id, round(c, 6) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id)::INT AS rank FROM s) WHERE rank <= {1}"""
 
 
 def _knn(spark, d, k, allowed):
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("query_label"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("query_label"))
     return R.knn(e, "vec_id", "embedding", q, "query_id", "query_vector", k, allowed).select("query_id", "id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
@@ -177,12 +177,12 @@ def v03(spark, d):
     return R.top(s.where("score > 0"), "query_id", "score", "id", 5)
 
 
-@query("j07_lexical_neighbours", f"""WITH c AS (SELECT conv_id * 1000 + turn AS id, conv_id, text FROM conversations), {OKAPI.format('id', 'c')}, q AS (SELECT id AS query_id, unnest({TOKENS.format('text')}) AS term FROM c WHERE id % 1000 = 0),
+@query("j07_lexical_neighbours", f"""WITH c AS (SELECT conv_id * 1000 + turn AS id, conv_id, text FROM conversations), {OKAPI.format('id', 'c')}, q AS (SELECT id AS query_id, unnest({TOKENS.format('text')}) AS term FROM c WHERE id % 50 = 0),
   s AS (SELECT query_id, id, round(sum(weight), 6) AS score FROM q JOIN w USING (term) WHERE query_id // 1000 <> id // 1000 GROUP BY 1, 2) SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s) WHERE rank <= 3""")
 def j07(spark, d):
-    """Neighbours from other conversations, the best three."""
+    """Neighbours from other conversations, the best three, of the turns whose id is divisible by 50."""
     c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    s = R.bm25(c, "id", "text", c.where("id % 1000 = 0").select(F.col("id").alias("first"), "text"), "first", "text").where(F.floor(F.col("query_id") / 1000) != F.floor(F.col("id") / 1000))
+    s = R.bm25(c, "id", "text", c.where("id % 50 = 0").select(F.col("id").alias("first"), "text"), "first", "text").where(F.floor(F.col("query_id") / 1000) != F.floor(F.col("id") / 1000))
     return R.top(s.withColumn("score", F.round("score", 6)), "query_id", "score", "id", 3)
 
 
@@ -201,16 +201,14 @@ def v06(spark, d):
     return both.select("src", "dst", T.jaccard(F.col("a"), F.col("b")).alias("jaccard"), "rel")
 
 
-@query("m02_recall_stop", """WITH x AS (SELECT c_custkey AS id, 3 + c_custkey % 5 AS found, 40 + c_custkey % 30 AS screened, 200 AS total FROM customer WHERE c_custkey < 200), y AS (SELECT *, found + greatest(ceil(found / 0.95::DOUBLE)::INT - found + 1, 1) AS relevant FROM x),
-  t AS (SELECT id, k, exp(lgamma(relevant + 1) - lgamma(k + 1) - lgamma(relevant - k + 1) + lgamma(total - relevant + 1) - lgamma(screened - k + 1) - lgamma(total - relevant - screened + k + 1) - lgamma(total + 1) + lgamma(screened + 1) + lgamma(total - screened + 1)) AS p FROM (SELECT *, unnest(range(0, found + 1)) AS k FROM y))
-  SELECT id, round(sum(p), 8) AS p FROM t GROUP BY id""")
-def m02(spark, d):
-    x = table(spark, d, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("id"), (3 + F.col("c_custkey") % 5).cast("int").alias("found"), (40 + F.col("c_custkey") % 30).cast("int").alias("screened"), F.lit(200).alias("total"))
-    return x.select("id", F.round(S.recall_stop(F.col("found"), F.col("screened"), F.col("total")), 8).alias("p"))
+SURVIVAL = """WITH x AS (SELECT c_custkey AS id, 3 + c_custkey % 5 AS found, 40 + c_custkey % 30 AS screened, 200 AS total FROM customer), y AS (SELECT *, least(total, ceil(found / 0.95::DOUBLE)::INT) AS relevant FROM x),
+  t AS (SELECT id, exp(lgamma(relevant + 1) - lgamma(k + 1) - lgamma(relevant - k + 1) + lgamma(total - relevant + 1) - lgamma(screened - k + 1) - lgamma(total - relevant - screened + k + 1) - lgamma(total + 1) + lgamma(screened + 1) + lgamma(total - screened + 1)) AS p
+    FROM (SELECT *, unnest(range(found, least(relevant, screened) + 1)) AS k FROM y))
+  SELECT id, round(sum(p), 8) AS p, sum(p) < 0.05 AS reached FROM t GROUP BY id"""
 
 
-@query("m02_recall_reached")  # no SQL: tested against brute force
-def m02b(spark, d):
+@query("m02_recall_reached", SURVIVAL)
+def m02(spark, d):
     """The survival probability of each customer's search, and whether it may stop."""
     x = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (3 + F.col("c_custkey") % 5).cast("int").alias("found"), (40 + F.col("c_custkey") % 30).cast("int").alias("screened"), F.lit(200).alias("total"))
     state = (F.col("found"), F.col("screened"), F.col("total"))

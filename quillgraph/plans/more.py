@@ -85,10 +85,10 @@ def j18(spark, d):
     return e.where("year % 2 = 1").groupBy("dst").agg(F.min("rel").alias("gate")).join(a, "dst", "left").select("dst", "gate", "other", F.coalesce(F.col("other") == F.col("gate"), F.lit(False)).alias("agree"))
 
 
-@query("j21_unique_target", f"WITH {EDGES} SELECT src, min(dst) AS dst FROM edges WHERE src <> dst AND year = 1997 GROUP BY src HAVING count(DISTINCT dst) = 1")
+@query("j21_unique_target", f"WITH {EDGES} SELECT src, min(dst) AS dst FROM edges WHERE src <> dst GROUP BY src HAVING count(DISTINCT dst) = 1")
 def j21(spark, d):
     """Accepted only where the target is unique (also J-05)."""
-    return edges(spark, d).where("src <> dst AND year = 1997").groupBy("src").agg(F.min("dst").alias("dst"), F.count_distinct("dst").alias("n")).where("n = 1").select("src", "dst")
+    return edges(spark, d).where("src <> dst").groupBy("src").agg(F.min("dst").alias("dst"), F.count_distinct("dst").alias("n")).where("n = 1").select("src", "dst")
 
 
 @query("j23_identity_state", """WITH x AS (SELECT c_custkey AS id, s_suppkey AS target FROM customer JOIN supplier ON s_suppkey = c_custkey UNION SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON s_nationkey = c_nationkey AND s_acctbal > 9500)
@@ -150,11 +150,11 @@ def k07(spark, d):
     return tag_untagged(p, "default").groupBy("collection").agg(F.count("*").alias("n"))
 
 
-@query("r09_resume", "SELECT event_id FROM events WHERE event_id NOT IN (SELECT doc_id FROM labels) AND event_type = 'click'")
+@query("r09_resume", "SELECT event_id FROM events WHERE event_id NOT IN (SELECT doc_id FROM labels)")
 def r09(spark, d):
     """What a checkpoint table does not hold yet."""
     done = table(spark, d, "labels").select(F.col("doc_id").alias("event_id"))
-    return table(spark, d, "events").where("event_type = 'click'").select("event_id").join(done, "event_id", "left_anti")
+    return table(spark, d, "events").select("event_id").join(done, "event_id", "left_anti")
 
 
 @query("w10_by_year_desc", f"WITH {WORKS} SELECT id, year FROM works ORDER BY year DESC NULLS FIRST, id LIMIT 30")

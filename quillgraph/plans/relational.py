@@ -264,9 +264,14 @@ def a38(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("decision"))
 
 
-@query("f01_review_filter", r"SELECT p_partkey FROM part WHERE p_type = 'review' OR regexp_matches(p_name, '(?i)\b(ring|widget)\b')")
+REVIEWS = "CASE WHEN doc_id % 11 = 0 THEN 'Review' END"
+REVIEW_TITLE = "CASE doc_id % 5 WHEN 0 THEN 'A survey of ' WHEN 1 THEN 'Preview of ' WHEN 2 THEN 'Notes: a review. ' ELSE '' END || coalesce(substr(text, 1, 60), '')"
+
+
+@query("f01_review_filter", rf"SELECT doc_id FROM documents WHERE lower({REVIEWS}) = 'review' OR regexp_matches({REVIEW_TITLE}, '\bsurvey\b|\bsystematic review\b|\b(a|comprehensive) review\b|\breview of\b|:\s*a review\b|\boverview of\b', 'i')")
 def f01(spark, d):
-    return table(spark, d, "part").where((F.col("p_type") == "review") | F.col("p_name").rlike(r"(?i)\b(ring|widget)\b")).select("p_partkey")
+    """Reviews by their type, or by their title; types and beginnings of titles are made from the id."""
+    return table(spark, d, "documents").where(T.is_review(F.expr(REVIEWS), F.expr(REVIEW_TITLE))).select("doc_id")
 
 
 @query("f03_abstract_suspect", f"""WITH {PAPERS}, t AS (SELECT id, list_distinct(list_filter({TOKENS.format('title')}, lambda x: length(x) >= 4)) AS a, {TOKENS.format('substr(text, 61)')} AS b FROM papers)
@@ -361,40 +366,34 @@ def j17(spark, d):
     return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("j22_mutual_unique", f"WITH {EDGES}, p AS (SELECT DISTINCT src, dst FROM edges WHERE rel = 'contradicts' AND year = 1996) SELECT src, dst FROM (SELECT *, count(*) OVER (PARTITION BY src) AS a, count(*) OVER (PARTITION BY dst) AS b FROM p) WHERE a = 1 AND b = 1")
+@query("j22_mutual_unique", f"WITH {EDGES}, p AS (SELECT DISTINCT src, dst FROM edges) SELECT src, dst FROM (SELECT *, count(*) OVER (PARTITION BY src) AS a, count(*) OVER (PARTITION BY dst) AS b FROM p) WHERE a = 1 AND b = 1")
 def j22(spark, d):
     """Pairs of which neither end is in another pair."""
-    p = edges(spark, d).where("rel = 'contradicts' AND year = 1996").select("src", "dst").distinct()
+    p = edges(spark, d).select("src", "dst").distinct()
     a, b = p.groupBy("src").count().where("count = 1").select("src"), p.groupBy("dst").count().where("count = 1").select("dst")
     return p.join(a, "src", "left_semi").join(b, "dst", "left_semi")
 
 
-@query("j26_best_title_match", f"""WITH w AS (SELECT p_partkey AS id, list_distinct({TOKENS.format("p_name || ' ' || p_type || ' ' || p_brand")}) AS ws FROM part), n AS (SELECT p_partkey AS id, list_distinct({TOKENS.format("p_name || ' ' || p_type || ' ' || p_brand")}) AS ws FROM part WHERE p_size = 1),
+@query("j26_best_title_match", f"""WITH w AS (SELECT p_partkey AS id, list_distinct({TOKENS.format("p_name || ' ' || p_type || ' ' || p_brand")}) AS ws FROM part), n AS (SELECT p_partkey AS id, list_distinct({TOKENS.format("p_name || ' ' || p_type || ' ' || p_brand")}) AS ws FROM part WHERE p_partkey % 50 = 0),
   s AS (SELECT n.id AS a_id, w.id AS b_id, len(list_intersect(n.ws, w.ws))::DOUBLE / len(list_distinct(list_concat(n.ws, w.ws))) AS jaccard FROM n JOIN w ON n.id <> w.id)
   SELECT a_id, b_id, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY jaccard DESC, b_id) AS r FROM s WHERE jaccard >= 0.6) WHERE r = 1""")
 def j26(spark, d):
-    """Best match of the parts of size 1, by Jaccard of at least 0.6."""
+    """Best match among all parts of those whose id is divisible by 50, by Jaccard of at least 0.6."""
     from quillgraph.operators.retrieval import set_join, top
 
     words = F.array_distinct(T.tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand")))
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), words.alias("words"), "p_size")
-    return top(set_join(part.where("p_size = 1"), part, 0.6).where("a_id <> b_id"), "a_id", "jaccard", "b_id", 1).drop("rank")
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), words.alias("words"))
+    return top(set_join(part.where("id % 50 = 0"), part, 0.6).where("a_id <> b_id"), "a_id", "jaccard", "b_id", 1).drop("rank")
 
 
-@query("j20_containment_scan", "SELECT doc_id, item_id FROM documents JOIN benchmark ON length(benchmark.text) >= 25 AND contains(documents.text, benchmark.text)")
+@query("j20_containment_scan", "WITH b AS (SELECT item_id, text FROM benchmark UNION ALL SELECT -1 - doc_id, substr(text, instr(text, ' '), 40) FROM documents WHERE doc_id % 50 = 0) SELECT doc_id, item_id FROM documents JOIN b ON length(b.text) >= 25 AND contains(documents.text, b.text)")
 def j20(spark, d):
-    """Documents that contain a benchmark text. Candidates share the text's rarest word; only they are searched."""
-    b = table(spark, d, "benchmark").where("length(text) >= 25").select("item_id", F.col("text").alias("passage"))
-    words = lambda c: F.array_distinct(F.split(c, r"\s+"))
-    # Inner words only: the first and the last may be parts of longer words in the document.
-    inner = b.select("item_id", "passage", F.explode(F.expr("array_distinct(slice(split(passage, '\\\\s+'), 2, greatest(size(split(passage, '\\\\s+')) - 2, 0)))")).alias("word"))
-    doc_words = table(spark, d, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("word"))
-    wanted = inner.select("word").distinct()
-    df = doc_words.join(wanted, "word").groupBy("word").agg(F.count("*").alias("df"))
-    rare = inner.join(df, "word").groupBy("item_id").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
-    pairs = doc_words.join(rare, "word").select("doc_id", "item_id")
-    texts = table(spark, d, "documents").select("doc_id", "text")
-    return pairs.join(texts, "doc_id").join(b, "item_id").where(F.contains("text", "passage")).select("doc_id", "item_id")
+    """Documents that contain a benchmark text, or a passage of 40 characters of a document whose id is divisible by 50."""
+    from quillgraph.operators.retrieval import containing
+
+    docs = table(spark, d, "documents")
+    own = docs.where("doc_id % 50 = 0").select((-1 - F.col("doc_id")).alias("item_id"), F.expr("substr(text, instr(text, ' '), 40)").alias("text"))
+    return containing(docs, table(spark, d, "benchmark").select("item_id", "text").unionByName(own))
 
 
 @query("e02_dedup_by_key", f"WITH {PAPERS}, k AS (SELECT id, source, {KEY.format('title')} AS t FROM papers) SELECT arg_min(id, id) AS id, arg_min(source, id) AS source FROM k GROUP BY CASE WHEN length(t) >= 8 THEN 'title:' || t ELSE id::VARCHAR END")
@@ -490,12 +489,12 @@ def u03(spark, d):
     return e.where("event_type = 'purchase'").select("user_id").subtract(e.where("event_type = 'error'").select("user_id"))
 
 
-@query("k01_upsert", "SELECT coalesce(n.id, o.id) AS id, coalesce(n.price, o.price) AS price, n.id IS NOT NULL AS fresh FROM (SELECT p_partkey AS id, p_retailprice AS price FROM part WHERE p_size <= 30) o FULL JOIN (SELECT p_partkey AS id, p_retailprice * 2 AS price FROM part WHERE p_size >= 25) n ON o.id = n.id")
+@query("k01_upsert", "SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.price ELSE o.price END AS price, n.id IS NOT NULL AS fresh FROM (SELECT p_partkey AS id, p_retailprice AS price FROM part WHERE p_size <= 30) o FULL JOIN (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 > 0 THEN p_retailprice * 2 END AS price FROM part WHERE p_size >= 25) n ON o.id = n.id")
 def k01(spark, d):
     from quillgraph.operators.tables import upsert
 
     p = table(spark, d, "part")
-    old, new = p.where("p_size <= 30").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price")), p.where("p_size >= 25").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") * 2).alias("price"))
+    old, new = p.where("p_size <= 30").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price")), p.where("p_size >= 25").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 5 > 0, F.col("p_retailprice") * 2).alias("price"))
     return upsert(old, new, ["id"], mark="fresh")
 
 
@@ -529,7 +528,7 @@ def m01(spark, d):
     return x.select(*[v.alias(n) for n, v in c.items()])
 
 
-@query("m03_consensus", f"WITH {EDGES} SELECT src, dst, rel, max(0.7 * confidence + 0.3 * similarity) AS trust, min(CASE WHEN confidence >= 0.65 AND similarity >= 0.5 THEN 'triple' WHEN confidence >= 0.65 OR similarity >= 0.5 THEN 'double' ELSE 'single' END) AS tier FROM edges GROUP BY 1, 2, 3")
+@query("m03_consensus", f"WITH {EDGES} SELECT src, dst, rel, max(round((0.7::DOUBLE * confidence + 0.3::DOUBLE * similarity)::VARCHAR::DECIMAL(38, 18), 2)::DOUBLE) AS trust, min(CASE WHEN confidence >= 0.65 AND similarity >= 0.5 THEN 'triple' WHEN confidence >= 0.65 OR similarity >= 0.5 THEN 'double' ELSE 'single' END) AS tier FROM edges GROUP BY 1, 2, 3")
 def m03(spark, d):
     e = edges(spark, d)
     return e.groupBy("src", "dst", "rel").agg(F.max(S.single_trust(F.col("confidence"), F.col("similarity"))).alias("trust"), F.min(S.single_tier(F.col("confidence"), F.col("similarity"))).alias("tier"))

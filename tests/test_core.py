@@ -59,11 +59,6 @@ def test_capture_recapture(spark):
     assert estimate(100, 95, 92).recall > 0.9 and estimate(50, 50, 0).estimate is None
 
 
-def test_recall_stop(spark):
-    # With nothing found the chance of seeing none of one relevant item is the share that was not screened.
-    assert math.isclose(one(spark, S.recall_stop(F.lit(0), F.lit(60), F.lit(100)).alias("p")).p, 0.4, rel_tol=1e-9)
-
-
 def test_consensus(spark):
     df = spark.createDataFrame([(0.8, 0.6, "triple"), (0.8, 0.2, "double"), (0.3, 0.7, "double"), (0.3, 0.1, "single")], "c double, s double, want string")
     assert all(r.want == r.got for r in df.select("want", S.single_tier(F.col("c"), F.col("s")).alias("got")).collect())
