@@ -61,10 +61,14 @@ def arbiter_trust(first: Column, second: Column, similarity: Column) -> Column:
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the ROC curve by ranks, ties averaged: one row. Ranks come from counts by score, so only distinct scores are ordered."""
+    """Area under the ROC curve by ranks, ties averaged: one row. Only distinct scores are ordered, within ranges whose sizes are summed first; rows with nulls don't count."""
     by = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.withColumn("rank", before + (F.col("n") + 1) / 2)
+    ranged = by.repartitionByRange(score).withColumn("range", F.spark_partition_id())
+    sizes = ranged.groupBy("range").agg(F.sum("n").alias("size"))
+    # A row a range.
+    start = sizes.select("range", F.coalesce(F.sum("size").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    within = F.coalesce(F.sum("n").over(W.partitionBy("range").orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = ranged.withColumn("within", within).join(start, "range").withColumn("rank", F.col("start") + F.col("within") + (F.col("n") + 1) / 2)
     p, q = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
     return ranked.agg(p.alias("positives"), q.alias("negatives"), F.when((p > 0) & (q > 0), (F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2) / (p * q)).alias("auc"))
 

@@ -6,11 +6,16 @@ Iterative operators keep their state in reliable checkpoints and stop on an empt
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Tables of levels that a closure reads side by side.
+MOST_LEVELS = 4
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the cluster's folder; a folder of this machine only where none is named."""
     spark = df.sparkSession
@@ -46,28 +51,44 @@ def closure(edges: DataFrame, starts: DataFrame, rounds: int | None = None) -> D
     """start, node of all nodes that edges lead to from a start (column node), itself only by a cycle."""
     step = edges.select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct()
     frontier = checkpointed(starts.select(F.col("node").alias("start")).distinct().join(step, F.col("start") == F.col("at")).select("start", F.col("to").alias("node")).distinct())
-    seen, n = frontier, 1
+    levels, n = [frontier], 1
+    parts = max(1, frontier.rdd.getNumPartitions())
     while (rounds is None or n < rounds) and not frontier.isEmpty():
         reached = frontier.join(step, F.col("node") == F.col("at")).select("start", F.col("to").alias("node")).distinct()
-        frontier = checkpointed(reached.join(seen, ["start", "node"], "left_anti"))
-        seen = checkpointed(seen.unionByName(frontier))
+        frontier = checkpointed(reached.join(reduce(DataFrame.unionByName, levels), ["start", "node"], "left_anti"))
+        # What is seen is the union of a few tables; it is written anew only when they are many.
+        levels = [*levels, frontier] if len(levels) < MOST_LEVELS else [checkpointed(reduce(DataFrame.unionByName, [*levels, frontier]).coalesce(parts))]
         n += 1
-    return seen
+    return reduce(DataFrame.unionByName, levels)
+
+
+def with_least(edges: DataFrame) -> DataFrame:
+    """u, v and the least v of each u. The aggregate has a row a node, so a node of very many edges is a skewed key of a join, which Spark splits."""
+    least = edges.groupBy(F.col("u").alias("at")).agg(F.min("v").alias("least"))
+    return edges.join(least, edges["u"] == least["at"]).select("u", "v", "least")
+
+
+def star(edges: DataFrame) -> DataFrame:
+    """A large and a small star: every neighbour above a node is hung on the least around it, then every one below."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    above = with_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
+    below = with_least(above)
+    rest = below.where(F.col("v") != F.col("least")).select(F.col("v").alias("u"), F.col("least").alias("v"))
+    return rest.unionByName(below.select("u", F.col("least").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (the least node) of every node that has an edge: labels spread, and labels of labels are taken."""
-    both = checkpointed(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
-    labels = checkpointed(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("component", F.col("node")))
+    """node, component (the least node) of every node that has an edge, by alternating large and small stars: rounds grow with the logarithm of the size, not with the diameter."""
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).where("node IS NOT NULL").distinct()
+    hung = checkpointed(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    seen = None
     while True:
-        near = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("least"))
-        spread = labels.join(near, F.col("node") == F.col("src"), "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("least", "component")).alias("component"))
-        jump = spread.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
-        spread = checkpointed(spread.join(jump, F.col("component") == F.col("n2")).select("node", "old", F.least("component", "c2").alias("component")))
-        changed = not spread.where("old <> component").isEmpty()
-        labels = spread.drop("old")
-        if not changed:
-            return labels
+        hung = checkpointed(star(hung))
+        # Two numbers reach the driver: enough to see that nothing changed.
+        now = hung.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == seen or now[0] == 0:
+            return nodes.join(hung, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component"))
+        seen = now
 
 
 def ranks(edges: DataFrame) -> DataFrame:

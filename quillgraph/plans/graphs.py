@@ -182,7 +182,7 @@ def v03(spark, d):
 def j07(spark, d):
     """Neighbours from other conversations, the best three, of the turns whose id is divisible by 50."""
     c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    s = R.bm25(c, "id", "text", c.where("id % 50 = 0").select(F.col("id").alias("first"), "text"), "first", "text").where(F.floor(F.col("query_id") / 1000) != F.floor(F.col("id") / 1000))
+    s = R.bm25(c, "id", "text", c.where("id % 50 = 0").select(F.col("id").alias("first"), "text"), "first", "text", F.floor(F.col("query_id") / 1000) != F.floor(F.col("id") / 1000))
     return R.top(s.withColumn("score", F.round("score", 6)), "query_id", "score", "id", 3)
 
 
