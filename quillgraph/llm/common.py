@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgraph.operators.graph import checkpointed  # noqa: F401  (the operators take it from here)
+
 #: Bytes of text that the vectorised helpers look at together; bounds their memory whatever the batch holds.
 CHUNK_BYTES = 1 << 20
 
@@ -30,18 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is absent (tests, a single machine) a folder of this machine is used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 def release(spark: SparkSession) -> None:
     """Lets go of finished steps' shuffles and checkpoints: Spark deletes their files once the driver has collected the objects that name them."""
     gc.collect()
