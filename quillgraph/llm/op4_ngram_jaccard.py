@@ -53,7 +53,7 @@ POSTINGS_A_TASK = 100_000
 #: Ids that are sent to every task, at most.
 BROADCAST_ROWS = 200_000
 #: Classes that a task remembers to have posted.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 _SHIFTS = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 #: Stands for "no single class" in a row block, and is the most classes of one: their places are 16 bits.
