@@ -16,24 +16,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import op2_toxicity, op3_language_id, op4_ngram_jaccard, op7_mixing, op9_bpe
-from quillgraph.llm.common import table
+from quillgraph.llm.common import small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose calibrated toxicity is 0.7 or more, each row by its own text; the model learns from the labelled ones among docs. Empty texts stay unless most labelled ones are toxic."""
+    small_batches(spark)
     model = op2_toxicity.fitted(spark, sf_dir, docs)
     return op2_toxicity.keep_clean(docs.select(*COLUMNS), model)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which no language is probable, or that hold no letters (so empty texts go). Rows of one id, or all without one, go only together: they stay if any of them does. A null source is a host of its own."""
+    small_batches(spark)
     return op3_language_id.keep_known(docs.select(*COLUMNS), "doc_id", "text", F.col("lang"), F.col("source"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component of near duplicates the document with the smallest id (without an id only if none has one). Different texts under one id are told apart; texts without words all stay."""
+    small_batches(spark)
     return op4_ngram_jaccard.keep_one(docs.select(*COLUMNS), "doc_id", "text")
 
 
@@ -44,6 +47,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document in byte-level BPE, its digests, and the round trip's."""
+    small_batches(spark)
     return op9_bpe.digests(docs, "doc_id", "text", *op9_bpe.vocabulary())
 
 
