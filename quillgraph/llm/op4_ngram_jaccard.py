@@ -47,7 +47,7 @@ N = 5
 #: The threshold as a fraction of integers.
 OVERLAP, UNION = 3, 4
 #: N-grams of a row block, and of a column block, about.
-ROW_BLOCK, COLUMN_BLOCK = 2_000_000, 1_000_000
+ROW_BLOCK, COLUMN_BLOCK = 1_200_000, 1_000_000
 #: Postings of a task: what is left of the lists is not spread thinner.
 POSTINGS_A_TASK = 100_000
 #: Ids that are sent to every task, at most.
