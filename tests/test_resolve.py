@@ -25,15 +25,18 @@ def test_leaders_depend_on_order(spark):
 def test_entries():
     numbered = "Body 2001.\n\nReferences\n[1] A. Lee. First work on graphs. 2019.\n[2] B. Chen. Second work, see [1]. 2020.\n[3] C. Wu. Third work with no date at all.\nAppendix A\n[4] no"
     assert [(e[0], e[1]) for e in B.entries(B.block(numbered))] == [("1", "numeric"), ("2", "numeric"), ("3", "numeric")]
-    named = "References\nLee, A. (2019). First work on graphs.\nChen, B. (2020). Second work\n on networks.\n"
-    assert [e[2] for e in B.entries(B.block(named))] == ["Lee, A. (2019). First work on graphs.", "Chen, B. (2020). Second work on networks."]
+    named = "References\nLee et al. (2019). First work on graphs.\nChen (2020). Second work\n on networks.\n"
+    assert B.entries(B.block(named)) == [("Lee et al.|2019", "author_year", "Lee et al. (2019). First work on graphs."), ("Chen|2020", "author_year", "Chen (2020). Second work on networks.")]
+    # Initials between name and year are no marker, and without blank lines nothing else parts the entries.
+    initials = "References\nLee, A. (2019). First work on graphs.\nChen, B. (2020). Second work\n on networks.\n"
+    assert B.entries(B.block(initials)) == [(None, "unmarked", "Lee, A. (2019). First work on graphs. Chen, B. (2020). Second work on networks.")]
     blank = "bibliography\n\nfirst work on graphs by lee, 2019\n\nno year in this entry at all\n\nsecond work on graphs, 2020"
     assert len(B.entries(B.block(blank))) == 2
     many = "References\n" + "".join(f"[{i}] Author {i}. A title number {i}. 2020.\n" for i in range(1, 700))
     assert len(B.entries(B.block(many))) == 500
-    assert (B.status(None), B.status("text"), B.status("References\nnone"), B.status(numbered)) == ("missing", "no_block", "empty_block", "parsed")
+    assert (B.status(None), B.status("text"), B.status("text " * 3000), B.status("text " * 3000 + "\nReferences\nnone"), B.status(numbered)) == ("text_unavailable", "short_or_stub", "heading_absent", "reference_block_unsegmented", "parsed")
 
 
 def test_references(spark):
-    df = spark.createDataFrame([(1, "References\nLee, A. (2019). First work on graphs.\nChen, B. (2020). Second work on nets."), (2, None)], "id long, text string")
+    df = spark.createDataFrame([(1, "References\nLee (2019). First work on graphs.\nChen et al. (2020). Second work on nets."), (2, None)], "id long, text string")
     assert [(r.id, r.pos, r.style) for r in B.references(df, "id", "text").orderBy("pos").collect()] == [(1, 0, "author_year"), (1, 1, "author_year")]
