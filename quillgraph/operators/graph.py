@@ -9,6 +9,7 @@ import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -119,6 +120,25 @@ def relaxed_depth(edges: DataFrame, rounds: int = 8) -> DataFrame:
     return depth
 
 
+def lineage_order(edges: DataFrame) -> DataFrame:
+    """node, family (its least node), place in the family: the order in which a depth-first walk from the roots, children by name, meets the nodes.
+
+    In a lineage without cycles that walk meets nodes by their least path of names, so paths are relaxed until none gets smaller; rounds grow with the
+    depth. Nodes that no root reaches (behind cycles) come last, by name. Repeated links and loops count once and not at all.
+    """
+    links = checkpointed(edges.select("src", "dst").where("src <> dst").distinct())
+    roots = links.select(F.col("src").alias("node")).distinct().join(links.select(F.col("dst").alias("node")), "node", "left_anti")
+    known = checkpointed(roots.select("node", F.array("node").alias("path")))
+    fresh = known
+    while not fresh.isEmpty():
+        longer = fresh.join(links, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        best = longer.groupBy("node").agg(F.min("path").alias("path"))
+        fresh = checkpointed(best.join(known.withColumnRenamed("path", "old"), "node", "left").where("old IS NULL OR path < old").select("node", "path"))
+        known = checkpointed(known.unionByName(fresh).groupBy("node").agg(F.min("path").alias("path")))
+    place = F.row_number().over(W.partitionBy("family").orderBy(F.col("path").isNull(), "path", "node")) - 1
+    return components(links).withColumnRenamed("component", "family").join(known, "node", "left").select("node", "family", place.alias("place"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """node, degree: each end of each edge counts."""
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
@@ -185,16 +205,12 @@ def greedy_communities(edges: DataFrame, most_edges: int = 200_000) -> DataFrame
 
     found = joined.groupBy("component").applyInPandas(merge, f"node {kind}, least {kind}, size long")
     order = found.select("least", "size").distinct()
-    from pyspark.sql import Window as W
-
     ranked = order.withColumn("community", F.row_number().over(W.orderBy(F.desc("size"), "least")) - 1)
     return found.join(ranked.select("least", "community"), "least").select("node", "community")
 
 
 def ring_layout(nodes: DataFrame, community: Column, order: Column, radius: float = 100.0, golden: float = 2.399963229728653) -> DataFrame:
     """nodes with x and y: communities on a ring, their nodes on a spiral by the golden angle around it."""
-    from pyspark.sql import Window as W
-
     ranked = nodes.withColumn("community", community).withColumn("at", F.row_number().over(W.partitionBy("community").orderBy(order)) - 1)
     count = ranked.agg(F.max("community").alias("last"))
     centre = 2 * 3.141592653589793 * F.col("community") / (F.col("last") + 1)

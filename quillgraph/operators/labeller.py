@@ -40,3 +40,10 @@ def clamp_verdict(rows: DataFrame, verdicts: tuple[str, ...] = ("correct", "inco
 def keyword_labeller(ident: str, text: str, words: tuple[str, ...]) -> Labeller:
     """The stand-in: in scope if the text holds one of the words."""
     return lambda rows: pd.DataFrame({ident: rows[ident], "in_scope": [any(w in str(t).lower() for w in words) for t in rows[text]]})
+
+
+def restating(rows: pd.DataFrame) -> pd.DataFrame:
+    """A reader's stand-in: each contribution is claimed once, each claim supports the next."""
+    claims = [[{"text": f"On {c['statement']}", "claim_type": "empirical", "evidence": "", "confidence": 0.75, "contribution": i} for i, c in enumerate(cs)] for cs in rows["contributions"]]
+    links = [[{"src": i, "dst": i + 1, "relation": "supports", "evidence": ""} for i in range(len(cs))] for cs in rows["contributions"]]
+    return pd.DataFrame({"paper_id": rows["paper_id"], "claims": claims, "local_edges": links})

@@ -6,7 +6,7 @@ without collecting anything: rounds of joins decide every record whose earlier m
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import identity as I
@@ -28,28 +28,34 @@ def described(records: DataFrame) -> DataFrame:
     )
 
 
-def candidate_pairs(d: DataFrame) -> DataFrame:
-    """a < b, positions of all pairs that some branch of the predicate could accept.
+def blocks(d: DataFrame, few: bool) -> DataFrame:
+    """pos, block: aliases, keys, and surname with title word, with `few` only of the words of which one is shared.
 
-    Blocks are aliases, keys, and surname with title word: of the smaller title at most 12 % of the words may miss in the other, so one of
-    its first words beyond that number is shared.
+    Of the smaller title at most 12 % of the words may miss in the other, so one of its first words beyond that number is shared.
     """
-    few = F.slice("tokens", 1, (F.floor(F.size("tokens") * 0.12) + 1).cast("int"))
     by = lambda column, tag: d.select("pos", F.explode(column).alias("x")).select("pos", F.concat(F.lit(tag), "x").alias("block"))
-    names = d.where(F.size("tokens") >= 6).select("pos", F.explode(F.array_distinct("surnames")).alias("name"), "tokens")
-    words = lambda tokens: names.select("pos", "name", F.explode(tokens).alias("word")).select("pos", F.concat_ws("\x01", F.lit("n"), "name", "word").alias("block"))
-    left = by("aliases", "a").unionByName(by(F.array("key"), "k")).unionByName(words(few))
-    right = by("aliases", "a").unionByName(by(F.array("key"), "k")).unionByName(words(F.col("tokens")))
-    pairs = left.join(right.withColumnRenamed("pos", "other"), "block").where("pos <> other")
+    words = F.slice("tokens", 1, (F.floor(F.size("tokens") * 0.12) + 1).cast("int")) if few else F.col("tokens")
+    named = d.where(F.size("tokens") >= 6).select("pos", F.explode(F.array_distinct("surnames")).alias("name"), "tokens").select("pos", "name", F.explode(words).alias("word"))
+    return by("aliases", "a").unionByName(by(F.array("key"), "k")).unionByName(named.select("pos", F.concat_ws("\x01", F.lit("n"), "name", "word").alias("block")))
+
+
+def candidate_pairs(d: DataFrame) -> DataFrame:
+    """a < b, positions of all pairs that some branch of the predicate could accept."""
+    pairs = blocks(d, True).join(blocks(d, False).withColumnRenamed("pos", "other"), "block").where("pos <> other")
     return pairs.select(F.least("pos", "other").alias("a"), F.greatest("pos", "other").alias("b")).distinct()
 
 
+def agrees() -> Column:
+    """The predicate on the structs ra and rb."""
+    return I.same_work({n: F.col(f"ra.{n}") for n in FIELDS}, {n: F.col(f"rb.{n}") for n in FIELDS})
+
+
 def matches(records: DataFrame) -> DataFrame:
     """a < b of the pairs that are one work."""
     d = checkpointed(described(records))
     side = lambda tag: d.select(F.col("pos").alias(tag), F.struct(*FIELDS).alias(f"r{tag}"))
     pairs = candidate_pairs(d).join(side("a"), "a").join(side("b"), "b")
-    return pairs.where(I.same_work({n: F.col(f"ra.{n}") for n in FIELDS}, {n: F.col(f"rb.{n}") for n in FIELDS})).select("a", "b")
+    return pairs.where(agrees()).select("a", "b")
 
 
 def leaders(positions: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -87,3 +93,28 @@ def dedup(records: DataFrame) -> DataFrame:
     joined = records.join(led, "pos")
     versions = F.array_sort(F.collect_list(F.struct("pos", F.col("id").cast("string").alias("id"), "source")))
     return joined.groupBy("leader").agg(F.min_by(F.struct("id", "source", "title"), F.struct(rank, "pos")).alias("best"), versions.alias("versions")).select("best.id", "best.source", "best.title", F.size("versions").alias("n_versions"), "versions")
+
+
+def incoming(held: DataFrame, returned: DataFrame, seen: DataFrame) -> DataFrame:
+    """src, dst: links from held works to the targets that records citing them were returned for.
+
+    `held` has the fields of `described` with pos as the work; `returned` those with pos as the record, and target. A record links only if it is one
+    work with exactly one held work other than its target; `seen` (src, dst) are left out. Records and works that the predicate cannot tell apart go
+    as one class, of which two works at most matter: a record that matches three is never unique.
+    """
+    h = checkpointed(described(held).groupBy(*FIELDS).agg(F.count("*").alias("n"), F.min("pos").alias("pos"), F.max("pos").alias("last")))
+    full = checkpointed(described(returned).join(returned.select("pos", "target"), "pos"))
+    r = checkpointed(full.groupBy(*FIELDS).agg(F.min("pos").alias("pos")))
+    pairs = lambda few: blocks(r, few).withColumnRenamed("pos", "a").join(blocks(h, not few).withColumnRenamed("pos", "b"), "block").select("a", "b")
+    left = r.select(F.col("pos").alias("a"), F.struct(*FIELDS).alias("ra"))
+    right = h.select(F.col("pos").alias("b"), F.struct(*FIELDS).alias("rb"), "n", "last")
+    same = pairs(True).unionByName(pairs(False)).distinct().join(left, "a").join(right, "b").where(agrees())
+    works = same.groupBy("a").agg(F.sum("n").alias("n"), F.min("b").alias("first"), F.max("b").alias("second"), F.max("last").alias("last"))
+    # Two works are one class's first and last, or the firsts of two classes.
+    works = works.where("n <= 2").select("a", F.array_distinct(F.array("first", F.when(F.col("first") == F.col("second"), F.col("last")).otherwise(F.col("second")))).alias("works"))
+    alike = F.lit(True)
+    for f in FIELDS:
+        alike = alike & full[f].eqNullSafe(r[f])
+    asked = full.join(r.withColumnRenamed("pos", "a"), alike).select("a", "target").distinct()
+    others = asked.join(works, "a").select("target", F.filter("works", lambda w: w != F.col("target")).alias("works")).where(F.size("works") == 1)
+    return others.select(F.get("works", F.lit(0)).alias("src"), F.col("target").alias("dst")).distinct().join(seen.select("src", "dst"), ["src", "dst"], "left_anti")

@@ -17,4 +17,4 @@ def query(name: str, sql: str | None = None):
 
     return add
 
-from quillgraph.plans import citations, graphs, matching, more, relational, streams  # noqa: E402, F401  (they register their queries)
+from quillgraph.plans import citations, graphs, matching, more, reading, relational, streams  # noqa: E402, F401  (they register their queries)
