@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from quillgraph.operators import retrieval as RT
+
 # Thresholds of matches, words that write, ways to name a work's page.
 GOLD_TITLE, TWIN_TITLE, TWIN_WORDS, CONTAINED = 0.82, 0.85, 4, 0.7
 WRITES = r"(?i)\b(CREATE|MERGE|DELETE|SET|REMOVE|DROP|DETACH|LOAD|CALL|FOREACH|USING|GRANT|REVOKE|DENY|START|ALTER|RENAME)\b"
@@ -161,3 +163,20 @@ def claim_label(verdict: Column, supporting: Column, contradicting: Column) -> C
         .when((supporting > contradicting) | (verdict == "established"), "SUPPORT")
         .otherwise("NOINFO")
     )
+
+
+def gold_anchors(gold: DataFrame, works: DataFrame, least: float = 0.6) -> DataFrame:
+    """gold_id, work_id, by of gold records (id, arxiv, doi, words) found among works of the same columns.
+
+    A record with an arXiv id goes by that alone; another by its DOI, or else by the most similar title, `least` or more, ties to the smaller id.
+    """
+    w = works.select(F.col("id").alias("work_id"), "arxiv", "doi")
+
+    def exact(rows: DataFrame, name: str) -> DataFrame:
+        named = w.where(F.col(name).isNotNull()).groupBy(name).agg(F.min("work_id").alias("work_id"))
+        return rows.select(F.col("id").alias("gold_id"), name).join(named, name).select("gold_id", "work_id", F.lit(name).alias("by"))
+
+    by_doi = exact(gold.where("arxiv IS NULL AND doi IS NOT NULL"), "doi")
+    rest = gold.where("arxiv IS NULL").join(by_doi.select(F.col("gold_id").alias("id")), "id", "left_anti")
+    titles = RT.set_join(rest.select("id", "words"), works.select("id", "words"), least).groupBy(F.col("a_id").alias("gold_id")).agg(F.min_by("b_id", F.struct(-F.col("jaccard"), "b_id")).alias("work_id"))
+    return exact(gold.where("arxiv IS NOT NULL"), "arxiv").unionByName(by_doi).unionByName(titles.withColumn("by", F.lit("title")))

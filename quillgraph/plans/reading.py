@@ -6,12 +6,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgraph.functions import alignment as A
+from quillgraph.functions import markup
 from quillgraph.operators import graph as G
+from quillgraph.operators import matching as M
 from quillgraph.operators import reading as R
 from quillgraph.operators import resolve as RS
+from quillgraph.operators import tables as TB
 from quillgraph.operators.labeller import restating
 from quillgraph.plans.base import CITES, cites, table
 from quillgraph.plans.citations import REFS, refs
+from quillgraph.plans.matching import PARTS, parts
 from quillgraph.plans.registry import query
 
 ITEMS = """items AS (SELECT l_orderkey AS p, l_partkey AS part, l_suppkey AS supp, row_number() OVER w AS n, count(*) OVER (PARTITION BY l_orderkey) AS k FROM lineitem
@@ -155,3 +159,58 @@ def g15(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("n"))
     b = o.where("n <> 3").select("c", F.col("id").alias("dst"), F.explode(F.array(F.expr("n div 2"), F.expr("n div 3"))).alias("n")).distinct()
     return G.lineage_order(o.withColumnRenamed("id", "src").join(b, ["c", "n"]).select("src", "dst"))
+
+
+@query("x11_markdown")
+def x11(spark, d):
+    """All pages as Markdown."""
+    return markup.markdown(table(spark, d, "pages"), "page_id", "html")
+
+
+@query("s29_gold_anchors", f"""WITH {PARTS}, g AS (SELECT id, list_concat(words, ['extra']) AS words, CASE WHEN id % 4 = 0 THEN 'x' || doi ELSE doi END AS doi, arxiv FROM parts WHERE id % 50 = 0),
+  t AS (SELECT g.id AS gold_id, p.id AS work_id, len(list_intersect(g.words, p.words))::DOUBLE / len(list_distinct(list_concat(g.words, p.words))) AS score FROM g, parts p WHERE g.arxiv IS NULL AND (g.doi IS NULL OR g.id % 4 = 0))
+  SELECT g.id AS gold_id, p.id AS work_id, CASE WHEN g.arxiv IS NULL THEN 'doi' ELSE 'arxiv' END AS "by" FROM g JOIN parts p ON g.arxiv = p.arxiv OR (g.arxiv IS NULL AND g.doi = p.doi)
+  UNION ALL SELECT gold_id, work_id, 'title' FROM (SELECT *, row_number() OVER (PARTITION BY gold_id ORDER BY score DESC, work_id) AS r FROM t WHERE score >= 0.6) WHERE r = 1""")
+def s29(spark, d):
+    """Gold records (ids divisible by 50, with a word more, some with foreign DOIs) resolved by arXiv id, DOI or title."""
+    i = F.col("id")
+    gold = parts(spark, d).where(i % 50 == 0).select("id", F.concat("words", F.array(F.lit("extra"))).alias("words"), F.when(i % 4 == 0, F.concat(F.lit("x"), "doi")).otherwise(F.col("doi")).alias("doi"), "arxiv")
+    return M.gold_anchors(gold, parts(spark, d))
+
+
+@query("r06_proposals", """WITH f AS (SELECT p_partkey AS paper_id, 'batch-2024-01-02' AS batch, p_partkey % 2 AS half FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 7 <> 0)
+  SELECT paper_id, batch, 'proposed' AS status, (row_number() OVER (ORDER BY half, paper_id))::INT AS place FROM f""")
+def r06(spark, d):
+    """Parts found by two scans of one day, but for those known by an id or a title."""
+    key = F.col("p_partkey")
+    part = table(spark, d, "part")
+    found = part.select(key.alias("paper_id"), F.array(F.concat(F.lit("id:"), key.cast("string")), F.concat(F.lit("title:"), key.cast("string"))).alias("keys"))
+    known = part.where("p_partkey % 3 = 0 OR p_partkey % 7 = 0").select(F.concat(F.when(key % 3 == 0, "id:").otherwise("title:"), key.cast("string")).alias("key"))
+    fresh = TB.proposed(found, known, "2024-01-02")
+    empty = fresh.where("false").withColumn("place", F.lit(0))
+    first = TB.merged_batch(empty, fresh.where("paper_id % 2 = 0"))
+    return TB.merged_batch(first, fresh.where("paper_id % 2 = 1"))
+
+
+@query("k10_event_ledger", """SELECT user_id AS run_id, event_id AS source_event, (row_number() OVER w)::BIGINT AS "order", user_id || ':e' || lpad((row_number() OVER w)::VARCHAR, 6, '0') AS event_id
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id % 2, ts, event_id)""")
+def k10(spark, d):
+    """Users' events as runs: half of them are in the ledger, the rest goes behind."""
+    events = table(spark, d, "events").select(F.col("user_id").alias("run_id"), "ts", F.col("event_id").alias("source_event"))
+    held = TB.event_rows(events.where("source_event % 2 = 0"), "ts")
+    return held.unionByName(TB.event_rows(events.where("source_event % 2 = 1"), "ts", held)).select("run_id", "source_event", "order", "event_id")
+
+
+@query("g25_staged_view", f"""WITH {ITEMS}, c AS (SELECT p || '-' || lpad(n::VARCHAR, 2, '0') AS id, p, n, k, 'item of part ' || part || ' made by the supplier ' || supp AS s FROM items)
+  SELECT 1 AS stage, p::VARCHAR AS id, coalesce(min(o_orderdate::DATE::VARCHAR), p::VARCHAR) AS label, NULL AS src, NULL AS dst FROM c LEFT JOIN orders ON o_orderkey = p AND p % 9 <> 0 GROUP BY p
+  UNION ALL SELECT 2, id, CASE WHEN length(s) <= 38 THEN s ELSE rtrim(substr(s, 1, 37)) || '…' END, NULL, NULL FROM c
+  UNION ALL SELECT 2, NULL, 'stated_in', id, p::VARCHAR FROM c
+  UNION ALL SELECT 3, NULL, CASE WHEN n % 2 = 1 THEN 'refines' ELSE 'supports' END, id, p || '-' || lpad((n + 1)::VARCHAR, 2, '0') FROM c WHERE n < k""")
+def g25(spark, d):
+    """Orders, their items and relations between neighbours, by stage; some orders are not held."""
+    name = lambda n: F.concat(F.col("p").cast("string"), F.lit("-"), F.lpad(n.cast("string"), 2, "0"))
+    rows = items(spark, d).withColumn("next", F.lead("n").over(W.partitionBy("p").orderBy("n")))
+    statement = F.concat(F.lit("item of part "), F.col("part").cast("string"), F.lit(" made by the supplier "), F.col("supp").cast("string"))
+    held = table(spark, d, "orders").where("o_orderkey % 9 <> 0").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("title"))
+    links = rows.where("next IS NOT NULL").select(name(F.col("n")).alias("src"), name(F.col("next")).alias("dst"), F.when(F.col("n") % 2 == 1, "refines").otherwise("supports").alias("relation"))
+    return TB.staged(held, rows.select(name(F.col("n")).alias("id"), F.col("p").alias("paper_id"), statement.alias("statement")), links)
