@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from quillgraph.functions import citations as C
+from quillgraph.functions import identity as I
 from quillgraph.operators import retrieval as RT
 
 # Thresholds of matches, words that write, ways to name a work's page.
@@ -59,6 +61,22 @@ def nearest(asked: DataFrame, others: DataFrame) -> DataFrame:
     return best.select("a_id", "best.b_id", (-F.col("best.s")).alias("jaccard"))
 
 
+def stated_works(references: DataFrame, held: DataFrame) -> DataFrame:
+    """id, dst of references (id, raw) that state the arXiv id or DOI of a held work (dst, title, stated).
+
+    Of several works with one id those count whose title the reference holds; where it holds none of them, all do.
+    """
+    works = held.select("stated", "dst", I.title_key(F.col("title")).alias("title")).distinct()
+    shared = works.groupBy("stated").agg(F.count_distinct("dst").alias("works"))
+    found = references.select("id", "raw", C.stated_id(F.col("raw")).alias("stated"))
+    single = found.join(works.join(shared.where("works = 1"), "stated"), "stated").select("id", "dst")
+    several = found.join(works.join(shared.where("works > 1"), "stated"), "stated")
+    several = several.withColumn("named", F.coalesce((F.col("title") != "") & I.title_key(F.col("raw")).contains(F.col("title")), F.lit(False)))
+    by_raw = several.groupBy("id", "raw").agg(F.collect_set(F.struct("dst", "named")).alias("works")).select("id", "works", F.exists("works", lambda w: w["named"]).alias("any"))
+    chosen = by_raw.select("id", "any", F.explode("works").alias("w")).where("w.named OR NOT any").select("id", "w.dst")
+    return single.unionByName(chosen)
+
+
 def as_of(left: DataFrame, right: DataFrame, by: str, time: str, value: str) -> DataFrame:
     """left with `value`: that of the last row of right with the same `by` not later than left's time; of equal times the larger value. Null where there is none.
 

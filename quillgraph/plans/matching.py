@@ -65,8 +65,8 @@ def j27(spark, d):
 def j24(spark, d):
     """Citations whose reference states the arXiv id or DOI of a held work."""
     r = refs(spark, d)
-    held = r.select(F.col("part").alias("dst"), F.regexp_replace("ident", "^arXiv:", "arxiv:").alias("stated")).distinct().where("dst % 3 < 2")
-    return r.select("id", C.stated_id(F.col("raw")).alias("stated")).join(held, "stated").select("id", "dst").distinct()
+    held = r.select(F.col("part").alias("dst"), "title", F.regexp_replace("ident", "^arXiv:", "arxiv:").alias("stated")).distinct().where("dst % 3 < 2")
+    return M.stated_works(r.select("id", "raw"), held).select("id", "dst").distinct()
 
 
 @query("j30_abstract_repair", "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 1 THEN p_name || ' anew' ELSE p_name END AS abstract, p_partkey % 4 = 1 AS changed FROM part")
