@@ -67,7 +67,10 @@ def x15(spark, d):
 
 
 def matched(spark, d):
-    """id, part, pos, label, style: of each citation the first entry that states the part's arXiv id or DOI or holds its title (J-35)."""
+    """id, part, pos, label, style: of each citation the entry that states the part's arXiv id or DOI or holds its title (J-35).
+
+    Parts may share an arXiv id: of several entries that with the most evidence counts, then the first.
+    """
     found = B.references(fulltexts(spark, d), "id", "text")
     r = refs(spark, d).select("id", "part", "title", "ident")
     norm = I.title_key(F.col("raw"))
@@ -75,7 +78,8 @@ def matched(spark, d):
     doi = F.col("ident").startswith("doi:") & F.lower("raw").contains(F.substring("ident", 5, 40))
     title = (F.length(I.title_key(F.col("title"))) >= C.LEAST_TITLE) & norm.contains(I.title_key(F.col("title")))
     both = r.join(found, "id").where(arxiv | doi | title)
-    return both.groupBy("id", "part").agg(F.min_by(F.struct("pos", "label", "style"), "pos").alias("e")).select("id", "part", "e.pos", "e.label", "e.style")
+    evidence = (arxiv | doi).cast("int") + title.cast("int")
+    return both.groupBy("id", "part").agg(F.min_by(F.struct("pos", "label", "style"), F.struct(-evidence, "pos")).alias("e")).select("id", "part", "e.pos", "e.label", "e.style")
 
 
 @query("j35_matching_entry", f"WITH {REFS} SELECT id, part, (n - 1)::INT AS pos FROM refs WHERE id % 4 <> 3")
