@@ -13,17 +13,21 @@ from pyspark.sql.types import ArrayType, DataType, StructType
 from quillgraph.functions import citations as C
 from quillgraph.functions import identity as I
 from quillgraph.operators import retrieval as RT
+from quillgraph.operators.graph import checkpointed
 
 # Thresholds of matches, words that write, ways to name a work's page.
 GOLD_TITLE, TWIN_TITLE, TWIN_WORDS, CONTAINED = 0.82, 0.85, 4, 0.7
+#: Nearest neighbours are looked for down to these similarities, in turn.
+NEAR = (0.7, 0.5, 0.3, 0.0)
 WRITES = r"(?i)\b(CREATE|MERGE|DELETE|SET|REMOVE|DROP|DETACH|LOAD|CALL|FOREACH|USING|GRANT|REVOKE|DENY|START|ALTER|RENAME)\b"
 
 
-def shared_words(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a_id, b_id, na, nb, both of rows (id, words: distinct) with a common word. Joined on words: one that very many rows of both sides have makes as many pairs."""
-    x = a.select(F.col("id").alias("a_id"), F.size("words").alias("na"), F.explode("words").alias("word"))
-    y = b.select(F.col("id").alias("b_id"), F.size("words").alias("nb"), F.explode("words").alias("word"))
-    return x.join(y, "word").groupBy("a_id", "b_id", "na", "nb").agg(F.count("*").alias("both"))
+def _of_longer(both, na, nb):
+    return both / (F.greatest(na, nb) if isinstance(na, Column) else max(na, nb))
+
+
+def _of_shorter(both, na, nb):
+    return both / (F.least(na, nb) if isinstance(na, Column) else min(na, nb))
 
 
 def gold_matches(gold: DataFrame, works: DataFrame, least: float = GOLD_TITLE) -> DataFrame:
@@ -31,34 +35,36 @@ def gold_matches(gold: DataFrame, works: DataFrame, least: float = GOLD_TITLE) -
 
     Null identifiers match nothing; records without words match by identifiers only.
     """
-    from quillgraph.operators.retrieval import set_join
-
     exact = [gold.select(F.col("id").alias("a_id"), name).join(works.select(F.col("id").alias("b_id"), name), name).select("a_id", "b_id", F.lit(1.0).alias("score")) for name in ("doi", "arxiv")]
-    found = exact[0].unionByName(exact[1]).unionByName(set_join(gold, works, least).withColumnRenamed("jaccard", "score"))
+    found = exact[0].unionByName(exact[1]).unionByName(RT.closest(gold, works, RT.by_jaccard, lambda s: s >= least))
     best = found.groupBy("a_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "b_id")).alias("best"))
     return best.select("a_id", "best.b_id", (-F.col("best.s")).alias("score"))
 
 
 def title_twins(asked: DataFrame, works: DataFrame, least: float = TWIN_TITLE, words: int = TWIN_WORDS) -> DataFrame:
     """a_id, b_id: the smallest work id whose title shares more than `least` of the longer title's words with one of `words` words at least."""
-    pairs = shared_words(asked.where(F.size("words") >= words), works).where(F.col("both") / F.greatest("na", "nb") > least)
-    return pairs.groupBy("a_id").agg(F.min("b_id").alias("b_id"))
+    return RT.closest(asked.where(F.size("words") >= words), works, _of_longer, lambda s: s > least, ranked=False).select("a_id", "b_id")
 
 
 def contained_titles(asked: DataFrame, works: DataFrame, least: float = CONTAINED) -> DataFrame:
     """a_id, b_id: the work by DOI, else that whose title holds most of the smaller title's words, more than `least` of them."""
     by_doi = asked.join(works.select(F.col("id").alias("b_id"), "doi"), "doi").groupBy(F.col("id").alias("a_id")).agg(F.min("b_id").alias("b_id"))
-    share = F.col("both") / F.least("na", "nb")
     rest = asked.join(by_doi, F.col("id") == F.col("a_id"), "left_anti")
-    by_title = shared_words(rest, works).where(share > least).groupBy("a_id").agg(F.min(F.struct((-share).alias("s"), "b_id")).alias("best"))
-    return by_doi.unionByName(by_title.select("a_id", "best.b_id"))
+    return by_doi.unionByName(RT.closest(rest, works, _of_shorter, lambda s: s > least).select("a_id", "b_id"))
 
 
 def nearest(asked: DataFrame, others: DataFrame) -> DataFrame:
     """a_id, b_id, jaccard: the most similar other row by Jaccard of words; ties go to the smaller id. Rows that share no word with any have none."""
-    jaccard = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    best = shared_words(asked, others).where("a_id <> b_id").groupBy("a_id").agg(F.min(F.struct((-jaccard).alias("s"), "b_id")).alias("best"))
-    return best.select("a_id", "best.b_id", (-F.col("best.s")).alias("jaccard"))
+    left, found = asked, None
+    # Most rows have a near neighbour; only those without one look further.
+    for least in NEAR:
+        part = RT.closest(left, others, RT.by_jaccard, lambda s, least=least: s >= least if least else s > 0, apart=True)  # noqa: B023
+        part = checkpointed(part.withColumnRenamed("score", "jaccard"))
+        found = part if found is None else found.unionByName(part)
+        left = left.join(part, F.col("id") == F.col("a_id"), "left_anti")
+        if left.isEmpty():
+            break
+    return found
 
 
 def stated_works(references: DataFrame, held: DataFrame) -> DataFrame:
@@ -196,5 +202,5 @@ def gold_anchors(gold: DataFrame, works: DataFrame, least: float = 0.6) -> DataF
 
     by_doi = exact(gold.where("arxiv IS NULL AND doi IS NOT NULL"), "doi")
     rest = gold.where("arxiv IS NULL").join(by_doi.select(F.col("gold_id").alias("id")), "id", "left_anti")
-    titles = RT.set_join(rest.select("id", "words"), works.select("id", "words"), least).groupBy(F.col("a_id").alias("gold_id")).agg(F.min_by("b_id", F.struct(-F.col("jaccard"), "b_id")).alias("work_id"))
+    titles = RT.closest(rest, works, RT.by_jaccard, lambda s: s >= least).select(F.col("a_id").alias("gold_id"), F.col("b_id").alias("work_id"))
     return exact(gold.where("arxiv IS NOT NULL"), "arxiv").unionByName(by_doi).unionByName(titles.withColumn("by", F.lit("title")))
