@@ -274,7 +274,7 @@ def r04(spark, d):
 @query("v02_merged_retrieval", f"WITH k AS ({KNN.format('true', 8)}) SELECT asked, id, cosine FROM (SELECT query_id // 150 AS asked, id, cosine, row_number() OVER (PARTITION BY query_id // 150, id ORDER BY query_id, rank) AS r FROM k) WHERE r = 1")
 def v02(spark, d):
     """Three queries are one question: their neighbours, each once, as first seen."""
-    k = _knn(spark, d, 8, None).withColumn("asked", F.floor(F.col("query_id") / 150))
+    k = _knn(spark, d, 8).withColumn("asked", F.floor(F.col("query_id") / 150))
     return k.groupBy("asked", "id").agg(F.min(F.struct("query_id", "rank", "cosine")).alias("first")).select("asked", "id", "first.cosine")
 
 
