@@ -108,11 +108,14 @@ def bags(texts: list[str]) -> np.ndarray:
 def similar_titles(asked: DataFrame, titles: DataFrame, least: float = LEAST_RATIO, most: int = MOST_SHOWN, block: int = 2000) -> DataFrame:
     """raw, paper_id, score, rank: for each distinct text of `asked` (raw) the papers of `titles` (paper_id, title) with the most similar titles.
 
-    For people to look at, never to link by. Texts are asked in blocks, each of which reads the titles once; lengths and letters
-    common to both bound the ratio before it is computed. Equal scores go by paper_id; null texts and short titles take no part.
+    For people to look at, never to link by. Texts are asked in blocks, each of which reads the titles once, of those whose length allows the ratio
+    with some title; lengths and letters common to both bound it before it is computed. Equal scores go by paper_id; null texts and short titles take no part.
     """
     held = titles.select("paper_id", I.title_key(F.col("title")).alias("key")).where(F.length("key") >= LEAST_TITLE).distinct()
     wanted = asked.select("raw", I.title_key(F.col("raw")).alias("key")).where("key <> ''").distinct()
+    sizes = [[r[0] for r in x.select(F.length("key")).distinct().collect()] for x in (wanted, held)]
+    near = lambda n, others: any(2 * min(n, o) >= least * (n + o) for o in others)
+    wanted, held = (x.where(F.length("key").isin([n for n in mine if near(n, others)])) for x, mine, others in ((wanted, *sizes), (held, *sizes[::-1])))
     blocks = max(1, -(-wanted.count() // block))
     schema = f"raw string, paper_id {titles.schema['paper_id'].dataType.simpleString()}, score double"
     found = None

@@ -117,6 +117,7 @@ def ledger(works: DataFrame, entries: DataFrame, titles: DataFrame, ids: DataFra
         rows = rows.join(done.select("reference_id"), "reference_id", "left_anti")
     rows = checkpointed(rows.withColumn("unfit", unfit).withColumn("stated", F.lower(C.stated_id(F.col("raw")))).join(known, "stated", "left"))
     texts = rows.where("unfit IS NULL AND stated IS NULL").select("raw").distinct().withColumn("doc_id", F.xxhash64("raw")).withColumn("text", I.title_key(F.col("raw")))
+    titles = checkpointed(titles.select("paper_id", "title").where("title IS NOT NULL").distinct())
     named = titles.select("paper_id", I.title_key(F.col("title")).alias("text")).distinct()
     # Titles are told by their text: works of one title are one passage.
     passages = named.select(F.xxhash64("text").alias("item_id"), "text").distinct()

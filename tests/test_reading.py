@@ -98,3 +98,8 @@ def test_lineage_order_is_a_depth_first_walk(spark):
         mine = [r.node for r in sorted((r for r in got if r.family == family), key=lambda r: r.place)]
         assert mine == [x for x in seen if x in mine] and family == min(mine)
     assert {r.node for r in got} == nodes
+
+
+def test_similar_titles_of_lengths_too_far_apart(spark):
+    long, short = [(f"{i:03} " + "many words about one thing " * 3,) for i in range(40)], [(i, f"{i:03} words about one thing") for i in range(40)]
+    assert A.similar_titles(spark.createDataFrame(long, "raw string"), spark.createDataFrame(short, "paper_id int, title string"), block=1).count() == 0
