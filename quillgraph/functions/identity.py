@@ -53,25 +53,38 @@ def namespace(alias: Column) -> Column:
     return F.substring_index(alias, ":", 1)
 
 
-def same_work(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Of two records with aliases, key, tokens (distinct title words), surnames and year: whether they are one work.
+def spaces(aliases: Column) -> Column:
+    return F.array_distinct(F.transform(aliases, namespace))
 
-    A shared alias says yes; without one, aliases of one namespace on both sides say no; then equal keys say
-    yes; then titles of six words or more whose smaller is contained to 0.88, with a common surname and years at most two apart.
-    """
-    spaces = lambda x: F.array_distinct(F.transform(x["aliases"], namespace))
+
+def spaces_mask(aliases: Column) -> Column:
+    """1 for arxiv and 2 for doi, added, of what `aliases` gives: sorted names of these two."""
+    first, last = F.get(aliases, F.lit(0)), F.get(aliases, F.size(aliases) - 1)
+    return F.coalesce(first.startswith("arxiv:"), F.lit(False)).cast("int") + F.coalesce(last.startswith("doi:"), F.lit(False)).cast("int") * 2
+
+
+def close(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Titles of six words or more whose smaller is contained to 0.88, with a common surname and years at most two apart."""
     both = F.size(F.array_intersect(a["tokens"], b["tokens"])) / F.least(F.size(a["tokens"]), F.size(b["tokens"]))
-    close = (
+    return F.coalesce(
         (F.least(F.size(a["tokens"]), F.size(b["tokens"])) >= 6)
         & (both >= 0.88)
         & F.arrays_overlap(a["surnames"], b["surnames"])
-        & (a["year"].isNull() | b["year"].isNull() | (F.abs(a["year"] - b["year"]) <= 2))
+        & (a["year"].isNull() | b["year"].isNull() | (F.abs(a["year"] - b["year"]) <= 2)),
+        F.lit(False),
     )
+
+
+def same_work(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Of two records with aliases, key, tokens (distinct title words), surnames and year: whether they are one work.
+
+    A shared alias says yes; without one, aliases of one namespace on both sides say no; then equal keys say yes; then `close`.
+    """
     return (
         F.when(F.arrays_overlap(a["aliases"], b["aliases"]), True)
-        .when(F.arrays_overlap(spaces(a), spaces(b)), False)
+        .when(F.arrays_overlap(spaces(a["aliases"]), spaces(b["aliases"])), False)
         .when(a["key"] == b["key"], True)
-        .otherwise(F.coalesce(close, F.lit(False)))
+        .otherwise(close(a, b))
     )
 
 

@@ -96,14 +96,13 @@ def j05(spark, d):
     empty = {"authors": F.lit(None).cast("array<string>"), "year": F.lit(None).cast("int"), "url": F.lit(None).cast("string")}
     key = F.col("o_orderkey").cast("string")
     held = orders.select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("held:"), key).alias("id"), title.alias("title"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("10.1000/order."), key)).alias("doi")).withColumns(empty)
-    known = cites(spark, d)
     src = F.col("src")
     foreign = F.concat(F.when(src % 3 == 1, "10.1000/order.").otherwise("10.1000/other."), src.cast("string"))
-    back = known.join(held.select(F.col("pos").alias("src"), "title"), "src").select(
-        F.xxhash64("src", "dst").alias("pos"), F.concat(F.lit("back:"), src.cast("string")).alias("id"), F.when(src % 3 == 1, F.concat(F.lit("Preprint number "), src.cast("string"))).otherwise(F.col("title")).alias("title"),
+    back = cites(spark, d, "o_orderpriority", "o_orderdate").select(
+        F.xxhash64("src", "dst").alias("pos"), F.concat(F.lit("back:"), src.cast("string")).alias("id"), F.when(src % 3 == 1, F.concat(F.lit("Preprint number "), src.cast("string"))).otherwise(title).alias("title"),
         F.when(src % 3 != 0, foreign).alias("doi"), F.col("dst").alias("target"),
     ).withColumns(empty)
-    return RS.incoming(held, back, known.where("src % 4 = 0"))
+    return RS.incoming(held, back, cites(spark, d).where("src % 4 = 0"))
 
 
 @query("t11_ledger", f"""WITH {REFS}, r AS (SELECT *, part % 3 < 2 AS stated, part % 5 <> 0 AS listed, part % 7 <> 0 AS titled FROM refs WHERE id % 4 <> 3)
