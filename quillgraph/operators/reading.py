@@ -112,11 +112,15 @@ def ledger(works: DataFrame, entries: DataFrame, titles: DataFrame, ids: DataFra
     reference = F.concat(F.col("citing").cast("string"), F.lit("::ref"), F.when(F.col("pos") < 10_000, F.lpad(F.col("pos").cast("string"), 4, "0")).otherwise(F.col("pos").cast("string")))
     known = ids.groupBy(F.lower("alias").alias("stated")).agg(F.min("paper_id").alias("by_id"))
     unfit = F.when(F.col("raw").rlike(f"(?i){B.NAVIGATION.pattern}"), "non_bibliographic").when(F.length("raw") > B.MOST_LENGTH, "malformed")
-    rows = entries.select(reference.alias("reference_id"), "citing", F.coalesce("raw", F.lit("")).alias("raw"))
+    # What a reference says is read once for each text; the rows carry its hashes only.
+    raw = F.coalesce("raw", F.lit(""))
+    hashes = (F.xxhash64("raw").alias("doc_id"), F.hash("raw").alias("check"))
+    rows = entries.select(reference.alias("reference_id"), "citing", raw.alias("raw"))
     if done is not None:
         rows = rows.join(done.select("reference_id"), "reference_id", "left_anti")
-    rows = checkpointed(rows.withColumn("unfit", unfit).withColumn("stated", F.lower(C.stated_id(F.col("raw")))).join(known, "stated", "left"))
-    texts = rows.where("unfit IS NULL AND stated IS NULL").select("raw").distinct().withColumn("doc_id", F.xxhash64("raw")).withColumn("text", I.title_key(F.col("raw")))
+    said = rows.select("raw").distinct().withColumn("unfit", unfit).withColumn("stated", F.lower(C.stated_id(F.col("raw"))))
+    said = checkpointed(said.join(known, "stated", "left").select("*", *hashes))
+    texts = said.where("unfit IS NULL AND stated IS NULL").select("raw", "doc_id", I.title_key(F.col("raw")).alias("text"))
     titles = checkpointed(titles.select("paper_id", "title").where("title IS NOT NULL").distinct())
     named = titles.select("paper_id", I.title_key(F.col("title")).alias("text")).distinct()
     # Titles are told by their text: works of one title are one passage.
@@ -124,7 +128,8 @@ def ledger(works: DataFrame, entries: DataFrame, titles: DataFrame, ids: DataFra
     hits = RT.containing(texts, passages).join(named.withColumn("item_id", F.xxhash64("text")), "item_id").groupBy("doc_id").agg(F.array_sort(F.collect_set("paper_id")).alias("exact"))
     by_title = checkpointed(texts.join(hits, "doc_id", "left").select("raw", "exact"))
     alike = A.similar_titles(by_title.where("exact IS NULL"), titles).groupBy("raw").agg(F.array_sort(F.collect_list(F.struct("rank", "paper_id"))).alias("similar"))
-    found = rows.join(by_title, "raw", "left").join(alike, "raw", "left")
+    verdicts = said.join(by_title, "raw", "left").join(alike, "raw", "left").drop("raw")
+    found = rows.select("reference_id", "citing", *hashes).join(verdicts, ["doc_id", "check"])
     of_kind = titles.schema["paper_id"].dataType.simpleString()
     target = F.coalesce("by_id", F.when(F.size("exact") == 1, F.get("exact", F.lit(0))))
     state = (
