@@ -102,34 +102,56 @@ def non_primary(title: Column, text: Column) -> Column:
     return F.nullif(F.concat_ws("; ", signal("title", title, NON_PRIMARY_TITLE), signal("framing", text, NON_PRIMARY_TEXT)), F.lit(""))
 
 
+def _by_alias(ids: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """stated, by_id, several of each id: the work that counts where no title decides, and whether there are several; of those with several works stated, text, paper_id by title."""
+    fit = named.where(F.length("text") >= I.LEAST_TITLE)
+    held = checkpointed(ids.select(F.lower("alias").alias("stated"), "paper_id").distinct()).join(fit, "paper_id", "left")
+    # A work without a title goes before those whose titles the reference lacks.
+    known = held.groupBy("stated").agg(F.coalesce(F.min(F.when(F.col("text").isNull(), F.col("paper_id"))), F.min("paper_id")).alias("by_id"), (F.min("paper_id") != F.max("paper_id")).alias("several"))
+    by_text = held.where("text IS NOT NULL").groupBy("stated", "text").agg(F.min("paper_id").alias("paper_id"))
+    return known, by_text.join(known.where("several").select("stated"), "stated")
+
+
+def _by_title(said: DataFrame, shared: DataFrame) -> DataFrame:
+    """doc_id, stated, chosen of references (raw, doc_id, stated) whose id several works have: that whose title the reference holds.
+
+    Of several such titles the longest counts, then the smallest paper_id. Where it holds none, the smallest work without a title is taken, else the smallest of all.
+    """
+    texts = said.select("doc_id", I.title_key(F.col("raw")).alias("text"))
+    hits = RT.containing(texts, shared.select(F.col("text").alias("item_id"), "text").distinct(), I.LEAST_TITLE).withColumnRenamed("item_id", "text")
+    found = said.select("doc_id", "stated").join(hits, "doc_id").join(shared, ["stated", "text"])
+    return found.groupBy("doc_id", "stated").agg(F.min_by("paper_id", F.struct(-F.length("text"), "paper_id")).alias("chosen"))
+
+
 def ledger(works: DataFrame, entries: DataFrame, titles: DataFrame, ids: DataFrame, done: DataFrame | None = None) -> DataFrame:
     """reference_id, citing, state, method, target, candidates of each reference.
 
-    `works` has citing; `entries` citing, pos (from 1), raw; `titles` paper_id, title; `ids` alias, paper_id. An id that the reference states decides;
-    else one work whose whole title it holds; several are ambiguous, and so are several merely similar titles, which never make a link.
+    `works` has citing; `entries` citing, pos (from 1), raw; `titles` paper_id, title; `ids` alias, paper_id. An id that the reference states decides
+    (of several works that have it, see `_by_title`); else one work whose whole title it holds; several are ambiguous, and so are several merely similar titles, which never make a link.
     A work's reference to itself is no reference. Works without entries have one row. Rows of `done` stay as they are, so a ledger can be resumed.
     """
     reference = F.concat(F.col("citing").cast("string"), F.lit("::ref"), F.when(F.col("pos") < 10_000, F.lpad(F.col("pos").cast("string"), 4, "0")).otherwise(F.col("pos").cast("string")))
-    known = ids.groupBy(F.lower("alias").alias("stated")).agg(F.min("paper_id").alias("by_id"))
+    titles = checkpointed(titles.select("paper_id", "title").where("title IS NOT NULL").distinct())
+    named = titles.select("paper_id", I.title_key(F.col("title")).alias("text")).distinct()
+    known, shared = _by_alias(ids, named)
     unfit = F.when(F.col("raw").rlike(f"(?i){B.NAVIGATION.pattern}"), "non_bibliographic").when(F.length("raw") > B.MOST_LENGTH, "malformed")
     # What a reference says is read once for each text; the rows carry its hashes only.
     raw = F.coalesce("raw", F.lit(""))
     hashes = (F.xxhash64("raw").alias("doc_id"), F.hash("raw").alias("check"))
     rows = entries.select(reference.alias("reference_id"), "citing", raw.alias("raw"))
-    if done is not None:
-        rows = rows.join(done.select("reference_id"), "reference_id", "left_anti")
-    said = rows.select("raw").distinct().withColumn("unfit", unfit).withColumn("stated", F.lower(C.stated_id(F.col("raw"))))
+    fresh = (lambda df: df) if done is None else lambda df: df.join(done.select("reference_id"), "reference_id", "left_anti")
+    said = fresh(rows.select("reference_id", "raw")).select("raw").distinct().withColumn("unfit", unfit).withColumn("stated", F.lower(C.stated_id(F.col("raw"))))
     said = checkpointed(said.join(known, "stated", "left").select("*", *hashes))
+    chosen = _by_title(said.where("unfit IS NULL AND several"), shared)
     texts = said.where("unfit IS NULL AND stated IS NULL").select("raw", "doc_id", I.title_key(F.col("raw")).alias("text"))
-    titles = checkpointed(titles.select("paper_id", "title").where("title IS NOT NULL").distinct())
-    named = titles.select("paper_id", I.title_key(F.col("title")).alias("text")).distinct()
     # Titles are told by their text: works of one title are one passage.
     passages = named.select(F.xxhash64("text").alias("item_id"), "text").distinct()
     hits = RT.containing(texts, passages).join(named.withColumn("item_id", F.xxhash64("text")), "item_id").groupBy("doc_id").agg(F.array_sort(F.collect_set("paper_id")).alias("exact"))
     by_title = checkpointed(texts.join(hits, "doc_id", "left").select("raw", "exact"))
     alike = A.similar_titles(by_title.where("exact IS NULL"), titles).groupBy("raw").agg(F.array_sort(F.collect_list(F.struct("rank", "paper_id"))).alias("similar"))
+    said = said.join(chosen, ["doc_id", "stated"], "left").withColumn("by_id", F.coalesce("chosen", "by_id"))
     verdicts = said.join(by_title, "raw", "left").join(alike, "raw", "left").drop("raw")
-    found = rows.select("reference_id", "citing", *hashes).join(verdicts, ["doc_id", "check"])
+    found = fresh(rows.select("reference_id", "citing", *hashes)).join(verdicts, ["doc_id", "check"])
     of_kind = titles.schema["paper_id"].dataType.simpleString()
     target = F.coalesce("by_id", F.when(F.size("exact") == 1, F.get("exact", F.lit(0))))
     state = (
