@@ -112,12 +112,12 @@ def j05(spark, d):
 def t11(spark, d):
     """The references of all orders against a corpus that lacks some ids and some titles, resumed from a ledger of one order in two."""
     entries = refs(spark, d).where("id % 4 <> 3").select(F.col("id").alias("citing"), F.col("n").alias("pos"), "raw", "title", "part", "ident")
-    papers = entries.select("part", "title", "ident").distinct()
+    papers = G.checkpointed(entries.select("part", "title", "ident").distinct())
     titles = papers.where("part % 7 <> 0").select(F.col("part").alias("paper_id"), "title")
     ids = papers.where("part % 5 <> 0 AND ident <> 'In press'").select(F.regexp_replace("ident", "^arXiv:", "arxiv:").alias("alias"), F.col("part").alias("paper_id"))
     works = table(spark, d, "orders").select(F.col("o_orderkey").alias("citing"))
     even = F.col("citing") % 2 == 0
-    done = R.ledger(works.where(even), entries.where(even), titles, ids)
+    done = G.checkpointed(R.ledger(works.where(even), entries.where(even), titles, ids))
     return R.ledger(works, entries, titles, ids, done).select("reference_id", "state", "method", "target")
 
 
